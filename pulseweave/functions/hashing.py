@@ -11,21 +11,16 @@ WORD = 1 << 32
 
 
 def string_hash32(text: Column) -> Column:
-    """Signed 32-bit rolling hash of a string, as used for graph node ids."""
-    codes = F.transform(F.split(text, ""), lambda ch: F.when(ch == "", F.lit(0)).otherwise(_code(ch)))
+    """Signed 32-bit rolling hash over UTF-16 units, as used for graph node ids."""
+    units = F.regexp_extract_all(F.hex(F.encode(text, "UTF-16BE")), F.lit("(.{4})"), 1)
     folded = F.aggregate(
-        F.filter(codes, lambda c: c >= 0),
+        units,
         F.lit(0).cast("long"),
-        lambda acc, c: F.pmod(acc * HASH_FACTOR + c, F.lit(WORD)),
+        lambda acc, u: F.pmod(acc * HASH_FACTOR + F.conv(u, 16, 10).cast("long"), F.lit(WORD)),
     )
     return F.when(folded >= WORD // 2, folded - WORD).otherwise(folded)
 
 
-def _code(ch: Column) -> Column:
-    """Code point of a one-character string."""
-    return F.conv(F.hex(F.encode(ch, "UTF-32BE")), 16, 10).cast("long")
-
-
 def sample_key(item: Column, seed: str) -> Column:
     """Order key of a repeatable random sample."""
     return F.md5(F.concat(item.cast("string"), F.lit(seed)))

@@ -43,7 +43,7 @@ STOPWORDS_AR = tuple(
     """.split()
 )
 
-STOPWORDS = {"en": STOPWORDS_EN, "ar": STOPWORDS_AR, "ru": ("rt", "amp")[:0]}
+STOPWORDS = {"en": STOPWORDS_EN, "ar": STOPWORDS_AR, "ru": ()}
 
 
 def is_special(word: Column) -> Column:
