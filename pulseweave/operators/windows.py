@@ -60,17 +60,19 @@ def window_retry_state(
     """
     hit = F.min(F.when(F.col("n_posts") >= min_posts, F.col("poll")))
     seen = polls.groupBy(*window).agg(hit.alias("first_hit"), F.max("poll").alias("last_poll"))
-    runs = F.col("first_hit").isNotNull() & (F.col("first_hit") <= limit)
-    skipped = F.col("last_poll") >= limit
-    whole_limit = F.lit(limit == int(limit))
+    if limit == int(limit):
+        runs = F.coalesce(F.col("first_hit") <= limit, F.lit(False))
+        skipped = F.col("last_poll") >= limit
+    else:  # the retry count never equals a fraction, so nothing is skipped
+        runs, skipped = F.col("first_hit").isNotNull(), F.lit(False)
     retries = (
         F.when(runs, F.col("first_hit"))
-        .when(skipped & whole_limit, F.lit(int(limit)))
+        .when(skipped, F.lit(int(limit)))
         .otherwise(F.col("last_poll") + 1)
     )
     return seen.select(
         *window,
-        F.when(runs, "running").when(skipped & whole_limit, "skip").otherwise("new").alias("state"),
+        F.when(runs, "running").when(skipped, "skip").otherwise("new").alias("state"),
         retries.cast("long").alias("retries"),
     )
 
