@@ -111,7 +111,7 @@ def neighbour_partition(edges: DataFrame) -> DataFrame:
     """Start partition: each node with the smallest id among itself and its neighbours."""
     seen = both_ways(undirected(edges))
     return seen.groupBy("g", F.col("n").alias("node")).agg(
-        F.least(F.min("m"), F.first("n")).alias("community")
+        F.min(F.least("m", "n")).alias("community")
     )
 
 
