@@ -44,7 +44,7 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
 def plan_bytes(df: DataFrame) -> int:
     """The optimizer's size estimate of ``df`` in bytes."""
     stats = df._jdf.queryExecution().optimizedPlan().stats()
-    return int(stats.sizeInBytes().toString())
+    return int(str(stats.sizeInBytes()))
 
 
 def broadcast_if_small(df: DataFrame, limit_bytes: int = 64 << 20) -> DataFrame:

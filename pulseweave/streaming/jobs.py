@@ -74,8 +74,8 @@ def stream_window_counts(
 class EveryNth(StatefulProcessor):
     """Lets the last of every ``cycle`` rows of a key through, in arrival order."""
 
-    def __init__(self, cycle: int, order: str) -> None:
-        self.cycle, self.order = cycle, order
+    def __init__(self, cycle: int) -> None:
+        self.cycle = cycle
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         schema = T.StructType([T.StructField("seen", T.LongType())])
@@ -93,7 +93,7 @@ class EveryNth(StatefulProcessor):
         pass
 
 
-def stream_govern(posts: DataFrame, rate: float, order: str, lanes: Sequence[str]) -> DataFrame:
+def stream_govern(posts: DataFrame, rate: float, lanes: Sequence[str]) -> DataFrame:
     """Every-nth admission per lane.
 
     The counter lives in one state row per lane (partition, shard or source), so
@@ -101,7 +101,7 @@ def stream_govern(posts: DataFrame, rate: float, order: str, lanes: Sequence[str
     """
     cycle = math.ceil(1 / rate) + 1
     return posts.groupBy(*lanes).transformWithStateInPandas(
-        EveryNth(cycle, order), posts.schema, "Append", "None"
+        EveryNth(cycle), posts.schema, "Append", "None"
     )
 
 
