@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pulseweave.functions.hashing import string_hash32
-from pulseweave.lineage import materialize
+from pulseweave.lineage import broadcast_if_small, materialize
 
 MAX_LEVELS = 10
 MAX_ROUNDS = 16
@@ -115,38 +115,37 @@ def neighbour_partition(edges: DataFrame) -> DataFrame:
     )
 
 
-def _local_moves(edges: DataFrame, start: DataFrame, max_rounds: int) -> DataFrame:
+def _local_moves(edges: DataFrame, start: DataFrame | None, max_rounds: int) -> tuple[DataFrame, bool]:
     """Moves single nodes to neighbouring communities while modularity rises.
 
     Per round a hash splits the nodes in two halves and one half may move, so
-    that two nodes do not swap places for ever. Works on (g, node, community).
+    that two nodes do not swap places for ever. Gives (g, node, community) and
+    whether anything moved at all. Tables of a round that are small are
+    broadcast; larger ones are shuffled on (g, node).
     """
     seen = both_ways(edges)
     nodes = seen.groupBy("g", "n").agg(F.sum("w").alias("k"))
-    nodes = nodes.join(nodes.groupBy("g").agg(F.sum("k").alias("two_m")), "g")
+    whole = nodes.groupBy("g").agg(F.sum("k").alias("two_m"))
+    state = nodes.join(whole, "g").select("g", "n", "k", "two_m", F.col("n").alias("c"))
+    if start is not None:
+        given = start.select("g", F.col("node").alias("n"), F.col("community").alias("_c"))
+        state = state.join(given, ["g", "n"], "left").withColumn("c", F.coalesce("_c", "c")).drop("_c")
+    state = materialize(state.withColumn("moved", F.lit(False)), "graph-state")
     links = materialize(seen.where(F.col("n") != F.col("m")), "graph-links")
-    state = materialize(
-        nodes.join(start.withColumnsRenamed({"node": "n", "community": "c"}), ["g", "n"]).select(
-            "g", "n", "k", "two_m", "c", F.lit(False).alias("moved")
-        ),
-        "graph-state",
-    )
-    still = 0
+    still, any_moved = 0, False
     for turn in range(max_rounds):
-        tot = state.groupBy("g", "c").agg(F.sum("k").alias("tot"))
-        around = (
-            links.join(state.select("g", F.col("n").alias("m"), "c"), ["g", "m"])
-            .groupBy("g", "n", "c")
-            .agg(F.sum("w").alias("w_in"))
-        )
+        small = broadcast_if_small(state.drop("moved"))
+        tot = broadcast_if_small(state).groupBy("g", "c").agg(F.sum("k").alias("tot"))
+        around = links.join(
+            small.select("g", F.col("n").alias("m"), "c"), ["g", "m"]
+        ).select("g", "n", "c", "w")
         # The node's own community is always an option, with or without links to it.
-        own = state.select("g", "n", "c", F.lit(0.0).alias("w_in"))
-        options = (
-            around.unionByName(own).groupBy("g", "n", "c").agg(F.sum("w_in").alias("w_in"))
-        )
+        own = state.select("g", "n", "c", F.lit(0.0).alias("w"))
+        options = around.unionByName(own).groupBy("g", "n", "c").agg(F.sum("w").alias("w_in"))
+        mine = small.select("g", "n", "k", "two_m", F.col("c").alias("c_own"))
         rated = (
             options.join(tot, ["g", "c"])
-            .join(state.select("g", "n", "k", "two_m", F.col("c").alias("c_own")), ["g", "n"])
+            .join(mine, ["g", "n"])
             .withColumn("own", F.col("c") == F.col("c_own"))
             .withColumn(
                 "gain",
@@ -165,8 +164,8 @@ def _local_moves(edges: DataFrame, start: DataFrame, max_rounds: int) -> DataFra
             # Highest gain first, smallest community id among equals.
             F.min_by("c", F.struct(-F.col("gain"), F.col("c"))).alias("best"),
         )
-        turn_of = F.pmod(F.crc32(F.concat_ws("|", F.col("n").cast("string"), F.lit(str(turn // 2)))), F.lit(2))
-        move = (F.col("best_gain") > F.col("own_gain") + MIN_GAIN) & (turn_of == turn % 2)
+        coin = F.crc32(F.concat_ws("|", F.col("n").cast("string"), F.lit(str(turn // 2))).cast("binary"))
+        move = (F.col("best_gain") > F.col("own_gain") + MIN_GAIN) & (F.pmod(coin, F.lit(2)) == turn % 2)
         state = materialize(
             best.select(
                 "g", "n", "k", "two_m",
@@ -175,23 +174,30 @@ def _local_moves(edges: DataFrame, start: DataFrame, max_rounds: int) -> DataFra
             ),
             "graph-state",
         )
-        still = still + 1 if state.where("moved").isEmpty() else 0
+        quiet = state.where("moved").isEmpty()
+        any_moved = any_moved or not quiet
+        still = still + 1 if quiet else 0
         if still == 2:
             break
-    return state.select("g", F.col("n").alias("node"), F.col("c").alias("community"))
+    return state.select("g", F.col("n").alias("node"), F.col("c").alias("community")), any_moved
 
 
-def _better(edges: DataFrame, old: DataFrame, new: DataFrame) -> DataFrame:
-    """Per graph the partition with the higher modularity."""
-    q_old = modularity(edges, old).withColumnRenamed("modularity", "q_old")
-    q_new = modularity(edges, new).withColumnRenamed("modularity", "q_new")
-    verdict = q_old.join(q_new, "g").select("g", (F.col("q_new") > F.col("q_old")).alias("use_new"))
-    merged = old.withColumnRenamed("community", "c_old").join(
-        new.withColumnRenamed("community", "c_new"), ["g", "node"]
-    )
-    return merged.join(verdict, "g").select(
-        "g", "node", F.when(F.col("use_new"), F.col("c_new")).otherwise(F.col("c_old")).alias("community")
+def _best_level(edges: DataFrame, partitions: Sequence[DataFrame]) -> DataFrame:
+    """Per graph the partition with the highest modularity, the coarser among equals."""
+    if len(partitions) == 1:
+        return partitions[0]
+    tagged = reduce(
+        DataFrame.unionByName,
+        [p.withColumn("level", F.lit(i)) for i, p in enumerate(partitions)],
     )
+    leveled = F.struct("level", "g").alias("g")
+    copies = edges.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(len(partitions) - 1))))
+    q = modularity(
+        copies.select(leveled, "source", "target", "weight"),
+        tagged.select(leveled, "node", "community"),
+    ).select("g.g", "g.level", F.round("modularity", 9).alias("q"))
+    best = q.groupBy("g").agg(F.max_by("level", F.struct("q", "level")).alias("level"))
+    return tagged.join(best, ["g", "level"]).select("g", "node", "community")
 
 
 def louvain_communities(
@@ -203,33 +209,29 @@ def louvain_communities(
     """Partition (g, node, community) that maximises modularity, level by level.
 
     Each level moves nodes, contracts the graph and goes on with the smaller
-    one, until nothing merges. State between rounds is a table in shared
-    storage; the driver only sees whether anything moved.
+    one, until nothing merges; the best level of each graph is kept. State
+    between rounds is a table in shared storage; the driver only sees whether
+    anything moved.
     """
     level_edges = materialize(undirected(edges), "graph-edges")
-    levels: list[DataFrame] = []
+    base = level_edges.withColumnsRenamed({"a": "source", "b": "target", "w": "weight"})
+    so_far: list[DataFrame] = []
     for level in range(max_levels):
-        ids = level_edges.select("g", F.explode(F.array("a", "b")).alias("node")).distinct()
-        single = ids.select("g", "node", F.col("node").alias("community"))
-        start = single
-        if level == 0 and init is not None:
-            start = (
-                ids.join(init, ["g", "node"], "left")
-                .select("g", "node", F.coalesce("community", "node").alias("community"))
-            )
-        plain = level_edges.withColumnsRenamed({"a": "source", "b": "target", "w": "weight"})
-        moved = _local_moves(level_edges, start, max_rounds)
-        chosen = materialize(_better(plain, single, moved), "graph-level")
-        if chosen.where("node != community").isEmpty():
+        start = init if level == 0 else None
+        part, moved = _local_moves(level_edges, start, max_rounds)
+        if so_far and not moved:
             break
-        levels.append(chosen)
-        contracted = contract_graph(plain, chosen)
+        so_far.append(
+            materialize(partition_at_level([so_far[-1], part]), "graph-level") if so_far else part
+        )
+        if not moved and start is None:
+            break
+        plain = level_edges.withColumnsRenamed({"a": "source", "b": "target", "w": "weight"})
         level_edges = materialize(
-            contracted.withColumnsRenamed({"source": "a", "target": "b", "weight": "w"}), "graph-edges"
+            contract_graph(plain, part).withColumnsRenamed({"source": "a", "target": "b", "weight": "w"}),
+            "graph-edges",
         )
-    if not levels:
-        return single
-    return partition_at_level(levels)
+    return _best_level(base, so_far)
 
 
 def event_authors(

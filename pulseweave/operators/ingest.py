@@ -32,14 +32,16 @@ def validate_posts(
     return valid, rejected
 
 
+# The formats post times arrive in, after the weekday is cut.
+TIME_FORMATS = ("MMM d HH:mm:ss Z yyyy", "d MMM yyyy HH:mm:ss Z")
+
+
 def time_to_ms(value: Column) -> Column:
-    """Epoch millis of a time given as millis or as date text."""
-    text = value.cast("string")
-    # The date formats posts arrive in.
+    """Epoch millis of a time given as millis or as date text; null if neither."""
+    text = F.trim(value.cast("string"))
+    spelled = F.regexp_replace(F.regexp_replace(text, r"^[A-Za-z]{3},? ", ""), r" (GMT|UTC|Z)$", " +0000")
     parsed = F.coalesce(
-        F.try_to_timestamp(text),
-        F.try_to_timestamp(text, F.lit("EEE MMM dd HH:mm:ss Z yyyy")),
-        F.try_to_timestamp(text, F.lit("EEE, dd MMM yyyy HH:mm:ss Z")),
+        F.try_to_timestamp(text), *[F.try_to_timestamp(spelled, F.lit(f)) for f in TIME_FORMATS]
     )
     as_number = F.when(text.rlike(r"^\d+$"), text.try_cast("long"))
     return F.coalesce(as_number, F.unix_millis(parsed))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pulseweave.lineage import materialize
+
 MIN_OVERLAP = 0.6
 _TIES = 16
 
@@ -26,13 +28,16 @@ def cluster_links(members: DataFrame, min_overlap: float = MIN_OVERLAP) -> DataF
     unique = members.groupBy("end_time_ms", "post_id", "cluster_id", "data_type").agg(
         F.count("*").alias("times")
     )
-    sizes = members.groupBy("cluster_id").agg(F.count("*").alias("size"))
-    reach = members.groupBy("end_time_ms", "post_id").agg(F.count_distinct("cluster_id").alias("reach"))
+    unique = materialize(unique, "members")
+    sizes = unique.groupBy("cluster_id").agg(F.sum("times").alias("size"))
+    reach = unique.groupBy("end_time_ms", "post_id").agg(F.count("*").alias("reach"))
     rows = (
-        unique.join(sizes, "cluster_id")
-        .join(reach, ["end_time_ms", "post_id"])
+        unique.join(reach.where(F.col("reach") > 1), ["end_time_ms", "post_id"], "left")
+        .join(sizes, "cluster_id")
+        .withColumn("reach", F.coalesce("reach", F.lit(1)))
         .withColumn("level", F.col("reach") * _TIES + F.pmod(F.xxhash64("post_id"), F.lit(_TIES)))
     )
+    rows = materialize(rows, "ranked-members")
 
     # Weight per rarity level and cluster, then the level where the rest is too light.
     per_level = rows.groupBy("cluster_id", "size", "level").agg(F.sum("times").alias("w"))

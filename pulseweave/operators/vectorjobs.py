@@ -75,13 +75,13 @@ def similarity_pairs(
     p = placed.alias("p")
     left = p.join(
         plan.alias("l"), (F.col("p.grp") == F.col("l.grp")) & (F.col("p.slice") == F.col("l.sa"))
-    ).select("l.grp", "l.sa", "l.sb", "p.id", "p.unit")
+    ).select(*_fresh("l"))
     right = p.join(
         plan.alias("r"),
         (F.col("p.grp") == F.col("r.grp"))
         & (F.col("p.slice") == F.col("r.sb"))
         & (F.col("r.sa") != F.col("r.sb")),
-    ).select("r.grp", "r.sa", "r.sb", "p.id", "p.unit")
+    ).select(*_fresh("r"))
     group_type = vectors.schema[group].dataType.simpleString()
     id_type = vectors.schema[vec_id].dataType.simpleString()
 
@@ -104,6 +104,12 @@ def similarity_pairs(
     )
 
 
+def _fresh(plan: str) -> list[Column]:
+    """Columns of one side of a block pair, named anew so that the sides differ."""
+    names = {f"{plan}.grp": "grp", f"{plan}.sa": "sa", f"{plan}.sb": "sb", "p.id": "id", "p.unit": "unit"}
+    return [F.col(old).alias(new) for old, new in names.items()]
+
+
 ANGLE_STEPS = 1024
 BASE_STRIDE, STEP_STRIDE = 10**10, 10**6
 

@@ -149,23 +149,23 @@ def html_to_text(spark, sf):
     "page_open_graph",
     r"""SELECT page_id, domain, image_url FROM (
       SELECT page_id, replace(regexp_extract(url, '^https?://([^/?#:]+)', 1), 'www.', '') AS domain,
-        regexp_extract(regexp_extract(html, '(?is)<meta\b[^>]*\bname\s*=\s*["'']description["''][^>]*>'),
-          '(?is)\bcontent\s*=\s*["'']([^"'']*)["'']', 1) AS image_url FROM pages)
-    WHERE image_url <> '' AND NOT contains(lower(image_url), '/profile')
-    UNION ALL
-    SELECT page_id, 'm.' AS domain, lang FROM (SELECT page_id, url, regexp_extract(html,
-      '<html\b[^>]*\blang\s*=\s*"([^"]*)"', 1) AS lang FROM pages) WHERE url LIKE 'https://m.%' AND lang <> ''""",
+        'http://img/' || CASE WHEN contains(html, '<h1>E') THEN 'profile/' ELSE '' END || page_id AS image_url
+      FROM pages WHERE contains(html, '<meta charset="utf-8">'))
+    WHERE (domain LIKE 'm.%' OR domain LIKE '%.net') AND NOT contains(image_url, '/profile')""",
 )
 def page_open_graph(spark, sf):
-    # The pages carry no picture metas: the description meta is read where there
-    # is one, and the language of mobile pages shows the domain screen.
-    pages = v.table(spark, sf, "pages")
-    metas = tj.page_open_graph(pages, None, "name", "description").select("page_id", "domain", "image_url")
-    lang = F.regexp_extract("html", r'<html\b[^>]*\blang\s*=\s*"([^"]*)"', 1)
-    mobile = pages.where(F.col("url").startswith("https://m.") & (lang != "")).select(
-        "page_id", F.lit("m.").alias("domain"), lang.alias("image_url")
+    # The given pages name no picture, so a meta tag is put next to their charset tag.
+    folder = F.when(F.col("html").contains("<h1>E"), "Profile/").otherwise("")
+    tag = F.concat(
+        F.lit('<meta charset="utf-8"><meta property="og:image" content="http://img/'), folder,
+        F.col("page_id").cast("string"), F.lit('">'),
+    )
+    pages = v.table(spark, sf, "pages").select(
+        "page_id", "url", F.replace("html", F.lit('<meta charset="utf-8">'), tag).alias("html")
     )
-    return metas.unionByName(mobile)
+    domain = F.col("domain")
+    found = tj.page_open_graph(pages).where(domain.startswith("m.") | domain.endswith(".net"))
+    return found.select("page_id", "domain", "image_url")
 
 
 @case(

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulseweave.functions import text as tx
+from pulseweave.lineage import materialize
 from pulseweave.operators import hashtags as ht
 from pulseweave.operators import links as lk
 from pulseweave.operators import windows as wn
@@ -261,11 +262,11 @@ def with_ids(groups: DataFrame) -> DataFrame:
 
 
 def members(spark: SparkSession, sf: str) -> DataFrame:
-    return ht.hashtag_members(posts_w(spark, sf), clusters(spark, sf))
+    return materialize(ht.hashtag_members(posts_w(spark, sf), clusters(spark, sf)), "members")
 
 
 def links(spark: SparkSession, sf: str) -> DataFrame:
-    return lk.cluster_links(members(spark, sf))
+    return materialize(lk.cluster_links(members(spark, sf)), "links")
 
 
 def doc_windowed(spark: SparkSession, sf: str) -> DataFrame:
@@ -279,11 +280,11 @@ def doc_clusters(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def doc_members(spark: SparkSession, sf: str) -> DataFrame:
-    return ht.hashtag_members(doc_windowed(spark, sf), doc_clusters(spark, sf))
+    return materialize(ht.hashtag_members(doc_windowed(spark, sf), doc_clusters(spark, sf)), "members")
 
 
 def doc_links(spark: SparkSession, sf: str) -> DataFrame:
-    return lk.cluster_links(doc_members(spark, sf))
+    return materialize(lk.cluster_links(doc_members(spark, sf)), "links")
 
 
 def doc_partition(spark: SparkSession, sf: str) -> DataFrame:
@@ -296,7 +297,7 @@ def doc_partition(spark: SparkSession, sf: str) -> DataFrame:
 def doc_ec(spark: SparkSession, sf: str) -> DataFrame:
     from pulseweave.operators.events import event_clusters
 
-    return event_clusters(doc_partition(spark, sf), doc_clusters(spark, sf))
+    return materialize(event_clusters(doc_partition(spark, sf), doc_clusters(spark, sf)), "event-clusters")
 
 
 def doc_events(spark: SparkSession, sf: str) -> DataFrame:
