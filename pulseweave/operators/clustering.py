@@ -27,6 +27,7 @@ from pulseweave.operators.vectorjobs import HIGH_SIZE, MEDIUM_SIZE
 
 CHUNK_ROWS = 20_000
 MAX_MERGE_LEVELS = 6
+MIN_SHRINK = 0.01
 DEFAULT_THRESHOLD = 0.5
 
 
@@ -121,13 +122,19 @@ def leader_clusters(
     owner = assigned.select(*keys, "item", "leader")
     width = dim or items.select(F.size("vector")).first()[0]
     level_items = _micro_clusters(items, owner, keys, width)
+    stale = 0
     for level in range(MAX_MERGE_LEVELS):
-        level_items = materialize(_rechunk(level_items, keys, oversized, chunk_rows, level, width), "leader-level")
+        level_items = materialize(
+            _rechunk(level_items, keys, oversized, chunk_rows, level, width), "leader-level"
+        )
         mapping = materialize(_pass(level_items, keys, threshold), "leader-merge")
         owner = _compose(owner, mapping, keys)
-        shrunk = mapping.where("item = leader").groupBy(*keys).agg(F.count("*").alias("n"))
-        pending = level_items.groupBy(*keys).agg(F.countDistinct("chunk").alias("c")).where("c > 1")
-        if pending.isEmpty() or shrunk.where(F.col("n") > 1).isEmpty():
+        merged, total = mapping.agg(F.count_if(F.col("item") != F.col("leader")), F.count("*")).first()
+        chunk_max = level_items.agg(F.max("chunk")).first()[0]
+        # Chunk 0 alone means every group was seen whole; two fruitless directions in
+        # a row mean that what is left is not similar.
+        stale = stale + 1 if merged < MIN_SHRINK * total else 0
+        if not chunk_max or stale == 2:
             break
         level_items = _micro_clusters(
             level_items, mapping.select(*keys, "item", "leader"), keys, width

@@ -164,7 +164,8 @@ def _local_moves(edges: DataFrame, start: DataFrame | None, max_rounds: int) ->
             # Highest gain first, smallest community id among equals.
             F.min_by("c", F.struct(-F.col("gain"), F.col("c"))).alias("best"),
         )
-        coin = F.crc32(F.concat_ws("|", F.col("n").cast("string"), F.lit(str(turn // 2))).cast("binary"))
+        # Not a CRC: that one is linear, so two nodes would stay in step for ever.
+        coin = F.xxhash64("n", F.lit(turn // 2))
         move = (F.col("best_gain") > F.col("own_gain") + MIN_GAIN) & (F.pmod(coin, F.lit(2)) == turn % 2)
         state = materialize(
             best.select(
