@@ -35,11 +35,14 @@ def log_gamma_plus_one(a: Column) -> Column:
 
 def _series(a: Column, x: Column) -> Column:
     terms = F.ceil(x + 10.0 * F.sqrt(x) + 50.0).cast("int")
-    # The running term and the sum travel as a two-element array.
+    # The running term, the sum and both arguments travel as one array, so that
+    # the arguments are evaluated once per row and not once per term.
     total = F.aggregate(
         F.sequence(F.lit(1), terms),
-        F.array(F.lit(1.0), F.lit(1.0)),
-        lambda acc, n: F.array(acc[0] * x / (a + n), acc[1] + acc[0] * x / (a + n)),
+        F.array(F.lit(1.0), F.lit(1.0), a, x),
+        lambda acc, n: F.array(
+            acc[0] * acc[3] / (acc[2] + n), acc[1] + acc[0] * acc[3] / (acc[2] + n), acc[2], acc[3]
+        ),
         lambda acc: acc[1],
     )
     return F.exp(a * F.log(x) - x - log_gamma_plus_one(a)) * total

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulseweave.functions.vector import usable
+from pulseweave.functions.vector import dot, usable
 from pulseweave.lineage import materialize
 from pulseweave.operators.vectorjobs import HIGH_SIZE, MEDIUM_SIZE
 
@@ -188,7 +188,7 @@ def _rechunk(
     if total == 0:
         return sized.drop("n").withColumn("chunk", F.lit(0).cast("long"))
     direction = np.random.default_rng(level).standard_normal(dim)
-    along = sum(F.col("vector")[i] * F.lit(float(direction[i])) for i in range(dim))
+    along = dot(F.col("vector"), F.array(*[F.lit(float(x)) for x in direction]))
     ranged = sized.withColumn("_along", along).repartitionByRange(
         math.ceil(total / chunk_rows), *keys, "_along", "item"
     )

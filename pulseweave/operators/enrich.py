@@ -30,18 +30,17 @@ def enricher(name: str) -> Enricher:
 MAX_GRAM = 3
 
 
-def word_grams(text: Column, longest: int = MAX_GRAM) -> Column:
-    """Word runs of a text and their neighbours joined, up to ``longest`` words."""
-    words = F.regexp_extract_all(F.lower(text), F.lit(WORD_RUN), 1)
-    grams = [words]
+def word_grams(words: Column, longest: int = MAX_GRAM) -> Column:
+    """Words of a text and their neighbours joined, up to ``longest`` words.
+
+    Each longer run is the shorter one zipped with the words further on, so the
+    work stays linear in the length of the text.
+    """
+    runs = [words]
     for n in range(2, longest + 1):
-        starts = F.when(
-            F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - (n - 1))
-        ).otherwise(F.array().cast("array<int>"))
-        grams.append(
-            F.transform(starts, lambda i, n=n: F.array_join(F.slice(words, i, F.lit(n)), " "))
-        )
-    return F.array_distinct(F.concat(*grams))
+        ahead = F.slice(words, n, F.greatest(F.size(words), F.lit(1)))
+        runs.append(F.zip_with(runs[-1], ahead, lambda a, b: F.concat(a, F.lit(" "), b)))
+    return F.array_distinct(F.array_compact(F.concat(*runs)))
 
 
 def extract_entities(
@@ -56,7 +55,8 @@ def extract_entities(
     names = gazetteer.select("label", "tag")
     if tag is not None:
         names = names.where(F.col("tag") == tag)
-    grams = docs.select(doc_id, F.explode(word_grams(F.col(text), longest)).alias("label"))
+    words = docs.select(doc_id, F.regexp_extract_all(F.lower(text), F.lit(WORD_RUN), 1).alias("words"))
+    grams = words.select(doc_id, F.explode(word_grams(F.col("words"), longest)).alias("label"))
     return grams.join(broadcast_if_small(names.distinct()), "label").select(doc_id, "label", "tag")
 
 

@@ -9,8 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pulseweave.functions.vector import dot, norm, summed, usable
-from pulseweave.lineage import broadcast_if_small
+from pulseweave.functions.vector import cosine, summed, usable
+from pulseweave.lineage import broadcast_if_small, materialize
 
 BLOCK_ROWS = 4096
 
@@ -25,16 +25,18 @@ def skip_unusable_vectors(
     return df.where(cond)
 
 
+def _unit_rows(vectors: pd.Series) -> np.ndarray:
+    rows = np.stack(vectors.to_numpy()).astype(float)
+    return rows / np.linalg.norm(rows, axis=1, keepdims=True)
+
+
 def _block_matches(left: pd.DataFrame, right: pd.DataFrame, same: bool, threshold: float):
-    a = np.stack(left["unit"].to_numpy())
-    b = np.stack(right["unit"].to_numpy())
-    sims = a @ b.T
+    a, b = _unit_rows(left["v"]), _unit_rows(right["v"])
     # A margin below the threshold; the exact test follows on the pairs kept.
-    i, j = np.nonzero(sims > threshold - 1e-6)
+    i, j = np.nonzero(a @ b.T > threshold - 1e-6)
     ids_a, ids_b = left["id"].to_numpy()[i], right["id"].to_numpy()[j]
     keep = ids_a < ids_b if same else ids_a != ids_b
-    i, j = i[keep], j[keep]
-    ids_a, ids_b = ids_a[keep], ids_b[keep]
+    i, j, ids_a, ids_b = i[keep], j[keep], ids_a[keep], ids_b[keep]
     exact = np.einsum("ij,ij->i", a[i], b[j])
     hit = exact > threshold
     lo, hi = np.minimum(ids_a[hit], ids_b[hit]), np.maximum(ids_a[hit], ids_b[hit])
@@ -57,10 +59,7 @@ def similarity_pairs(
     rows = vectors.where(usable(F.col(vector))).select(
         F.col(group).alias("grp"), F.col(vec_id).alias("id"), F.col(vector).alias("v")
     )
-    unit = rows.withColumn("_n", norm(F.col("v"))).select(
-        "grp", "id", F.transform("v", lambda x: x.cast("double") / F.col("_n")).alias("unit")
-    )
-    placed, slices = _angle_slices(unit, block_rows)
+    placed, slices = _angle_slices(rows, block_rows)
     reach = float(np.arccos(max(-1.0, min(1.0, threshold)))) + 1e-6
     a, b = slices.alias("a"), slices.alias("b")
     plan = a.join(
@@ -106,7 +105,7 @@ def similarity_pairs(
 
 def _fresh(plan: str) -> list[Column]:
     """Columns of one side of a block pair, named anew so that the sides differ."""
-    names = {f"{plan}.grp": "grp", f"{plan}.sa": "sa", f"{plan}.sb": "sb", "p.id": "id", "p.unit": "unit"}
+    names = {f"{plan}.grp": "grp", f"{plan}.sa": "sa", f"{plan}.sb": "sb", "p.id": "id", "p.v": "v"}
     return [F.col(old).alias(new) for old, new in names.items()]
 
 
@@ -114,18 +113,21 @@ ANGLE_STEPS = 1024
 BASE_STRIDE, STEP_STRIDE = 10**10, 10**6
 
 
-def _angle_slices(unit: DataFrame, block_rows: int) -> tuple[DataFrame, DataFrame]:
+def _angle_slices(rows: DataFrame, block_rows: int) -> tuple[DataFrame, DataFrame]:
     """Places vectors in slices of the angle to one vector of their group.
 
     Slices come from a histogram of angle steps per group, so they hold about
     ``block_rows`` vectors each; a single step larger than that is cut further
     by a hash of the id. Slice numbers rise with the angle.
     """
-    pivots = unit.groupBy("grp").agg(F.min_by("unit", "id").alias("pivot"))
-    angle = F.acos(F.greatest(F.least(dot(F.col("unit"), F.col("pivot")), F.lit(1.0)), F.lit(-1.0)))
+    pivots = rows.groupBy("grp").agg(F.min_by("v", "id").alias("pivot"))
+    bounded = F.greatest(F.least(cosine(F.col("v"), F.col("pivot")), F.lit(1.0)), F.lit(-1.0))
     step_width = float(np.pi / ANGLE_STEPS)
-    stepped = unit.join(broadcast_if_small(pivots), "grp").select(
-        "grp", "id", "unit", F.floor(angle / step_width).cast("long").alias("step")
+    stepped = materialize(
+        rows.join(broadcast_if_small(pivots), "grp").select(
+            "grp", "id", "v", F.floor(F.acos(bounded) / step_width).cast("long").alias("step")
+        ),
+        "angles",
     )
     before = Window.partitionBy("grp").orderBy("step").rowsBetween(Window.unboundedPreceding, -1)
     hist = (
@@ -146,7 +148,7 @@ def _angle_slices(unit: DataFrame, block_rows: int) -> tuple[DataFrame, DataFram
     slices = placed.groupBy("grp", "slice").agg(
         (F.min("step") * step_width).alias("lo"), ((F.max("step") + 1) * step_width).alias("hi")
     )
-    return placed.select("grp", "slice", "id", "unit"), slices
+    return placed.select("grp", "slice", "id", "v"), slices
 
 
 def centroids(members: DataFrame, by: Sequence[str], vector: str, dim: int) -> DataFrame:

@@ -387,14 +387,14 @@ def geocode_cached(spark, sf):
 @case(
     "translate_cached",
     """SELECT DISTINCT text AS phrase, CASE WHEN length(text) > 200 THEN 'd' ELSE 't' END AS type,
-      CASE WHEN role = 'user' THEN upper(text) ELSE lower(text) END AS result
+      CASE WHEN role = 'user' THEN md5(text) ELSE lower(text) END AS result
     FROM conversations WHERE text <> ''""",
 )
 def translate_cached(spark, sf):
     rows = v.table(spark, sf, "conversations").select(
         F.col("text").alias("phrase"), F.when(F.length("text") > 200, "d").otherwise("t").alias("type"), "role"
     )
-    cache = rows.where("role = 'user'").select("phrase", "type", F.upper("phrase").alias("result")).distinct()
+    cache = rows.where("role = 'user'").select("phrase", "type", F.md5("phrase").alias("result")).distinct()
     en.register_enricher("lower", lambda missing: missing.withColumn("result", F.lower("phrase")))
     found, _ = en.translate_cached(rows, cache, en.enricher("lower"))
     return found

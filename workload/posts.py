@@ -21,11 +21,15 @@ REQUIRED_SQL = """
 
 def raw(spark, sf):
     """Events as posts the way they arrive: fields missing here and there."""
-    e = v.table(spark, sf, "events")
+    return raw_from(v.table(spark, sf, "events"))
+
+
+def raw_from(e):
     kind = F.col("event_type")
     sid = F.col("event_id").cast("string")
     return e.select(
         "event_id",
+        "ts",
         sid.alias("post_id"),
         kind.alias("post_type"),
         F.when(F.col("value") > 2, F.concat(F.lit("http://posts/"), sid)).alias("post_url"),

@@ -87,7 +87,7 @@ def leader_clusters(spark, sf):
 @case("leader_clusters_distributed")
 def leader_clusters_distributed(spark, sf):
     """The same with chunks far smaller than the groups."""
-    rows = assigned(spark, sf, chunk_rows=16)
+    rows = assigned(spark, sf, chunk_rows=40)
     return rows.select("label", "vec_id", "leader", F.round("similarity", 9).alias("similarity"))
 
 
