@@ -110,7 +110,9 @@ def dedupe_posts(df: DataFrame, arrival: str, key: Sequence[str] = POST_KEY) ->
 
     The ranked filter keeps one row per key on the map side already.
     """
-    rest = [c for c in df.columns if c not in key and c != arrival and _orderable(df, c)]
+    rest = [
+        F.col(f"`{c}`") for c in df.columns if c not in key and c != arrival and _orderable(df, c)
+    ]
     w = Window.partitionBy(*key).orderBy(arrival, *rest)
     return df.withColumn("_rank", F.row_number().over(w)).where("_rank = 1").drop("_rank")
 
