@@ -53,3 +53,15 @@ def broadcast_if_small(df: DataFrame, limit_bytes: int = 64 << 20) -> DataFrame:
     Beyond the limit the frame is returned as it is, and the join shuffles.
     """
     return F.broadcast(df) if plan_bytes(df) <= limit_bytes else df
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Spreads a scan that has fewer partitions than there are cores.
+
+    A small or badly split file would keep all but a few cores idle in jobs that
+    spend their time on expressions. Large tables have partitions enough and
+    are returned as they are, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    parts = df._jdf.queryExecution().toRdd().getNumPartitions()
+    return df.repartition(cores, *keys) if parts < cores else df

@@ -56,7 +56,7 @@ def extract_entities(
     if tag is not None:
         names = names.where(F.col("tag") == tag)
     words = docs.select(doc_id, F.regexp_extract_all(F.lower(text), F.lit(WORD_RUN), 1).alias("words"))
-    grams = words.select(doc_id, F.explode(word_grams(F.col("words"), longest)).alias("label"))
+    grams = words.select(doc_id, F.explode_outer(word_grams(F.col("words"), longest)).alias("label"))
     return grams.join(broadcast_if_small(names.distinct()), "label").select(doc_id, "label", "tag")
 
 

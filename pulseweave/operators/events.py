@@ -98,7 +98,7 @@ def event_words(sampled: DataFrame, stopwords: Iterable[str] = STOPWORDS_EN) ->
     """Display tokens of sampled posts without stop words, with their kind."""
     rows = sampled.select(
         "event_id", "cluster_id", "post_id",
-        F.explode(display_tokens(F.col("text"), F.col("lang"))).alias("word"),
+        F.explode_outer(display_tokens(F.col("text"), F.col("lang"))).alias("word"),
     )
     return rows.where(~F.col("word").isin(list(stopwords))).withColumn("kind", word_kind(F.col("word")))
 

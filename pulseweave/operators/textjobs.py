@@ -16,8 +16,12 @@ PROBE_DOCS = 100
 
 
 def token_rows(docs: DataFrame, doc_id: str, tokens: Column) -> DataFrame:
-    """One row per document and token."""
-    return docs.select(doc_id, F.explode(tokens).alias("token"))
+    """One row per document and token.
+
+    The outer form with a check afterwards keeps the optimizer from testing the
+    array for size first, which would tokenize each text twice.
+    """
+    return docs.select(doc_id, F.explode_outer(tokens).alias("token")).where("token is not null")
 
 
 def stopword_filter(tokens: DataFrame, stopwords: DataFrame) -> DataFrame:
@@ -69,23 +73,30 @@ def idf_scaled_word_vectors(model: DataFrame, idf: DataFrame) -> DataFrame:
     return model.join(idf, "token").select("token", scale(F.col("vector"), F.col("idf")).alias("vector"))
 
 
-def text_vectors(tokens: DataFrame, docs: DataFrame, model: DataFrame, doc_id: str, dim: int) -> DataFrame:
+def text_vectors(
+    tokens: DataFrame, docs: DataFrame, model: DataFrame, doc_id: str, dim: int, min_tokens: int = 3
+) -> DataFrame:
     """Sum of the model vectors of each document's known tokens.
 
-    ``tokens`` holds rows of scoreable documents. Every document of ``docs`` is
-    in the result; one without known tokens has a zero vector if it is
-    scoreable and an empty one if it is not.
+    Every document of ``docs`` is in the result. One with fewer than
+    ``min_tokens`` tokens is not scoreable and has an empty vector; a scoreable
+    one without known tokens has a zero vector.
     """
     known = broadcast_if_small(model.select("token", "vector"))
-    summed_rows = (
+    scored = (
         tokens.join(known, "token", "left")
         .groupBy(doc_id)
-        .agg(summed("vector", dim, lambda c: F.coalesce(F.sum(c), F.lit(0.0))).alias("vector"))
+        .agg(
+            F.count("*").alias("_n"),
+            summed("vector", dim, lambda c: F.coalesce(F.sum(c), F.lit(0.0))).alias("vector"),
+        )
+        .where(F.col("_n") >= min_tokens)
+        .drop("_n")
     )
     empty = F.array().cast("array<double>")
     return (
         docs.select(doc_id)
-        .join(summed_rows, doc_id, "left")
+        .join(scored, doc_id, "left")
         .select(doc_id, F.coalesce("vector", empty).alias("vector"))
     )
 
@@ -248,7 +259,8 @@ def cloud_words(text: Column, stopwords: Iterable[str] = CLOUD_STOPWORDS) -> Col
 def word_cloud(texts: DataFrame, text: str) -> DataFrame:
     """Count and font size per word over all texts."""
     counts = (
-        texts.select(F.explode(cloud_words(F.col(text))).alias("word"))
+        texts.select(F.explode_outer(cloud_words(F.col(text))).alias("word"))
+        .where("word is not null")
         .groupBy("word")
         .agg(F.count("*").alias("n"))
     )
@@ -282,7 +294,7 @@ def joined_texts(sampled: DataFrame, by: Sequence[str], order: str, text: str =
 
 def kinds_of_tokens(docs: DataFrame, doc_id: str, tokens: Column) -> DataFrame:
     """Display tokens with their kind; url tokens carry a scheme."""
-    rows = docs.select(doc_id, F.explode(tokens).alias("token"))
+    rows = token_rows(docs, doc_id, tokens)
     kind = tx.word_kind(F.col("token"))
     return rows.select(
         doc_id,

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from pulseweave.lineage import materialize
 from pulseweave.operators import enrich as en
 from pulseweave.operators import events as ev
 from workload import views as v
@@ -75,9 +76,9 @@ def sample_cluster_posts(spark, sf):
     return ev.sample_cluster_posts(v.doc_members(spark, sf), 30).select("cluster_id", "post_id")
 
 
-def sampled(spark, sf, ec=None):
-    ec = ec if ec is not None else v.doc_ec(spark, sf)
-    return ev.sampled_event_posts(ec, v.doc_members(spark, sf), v.text_posts(spark, sf))
+def sampled(spark, sf, doc=None):
+    doc = doc or v.doc_graph(spark, sf)
+    return ev.sampled_event_posts(doc.ec, doc.members, v.text_posts(spark, sf))
 
 
 v.cte(
@@ -126,7 +127,8 @@ def event_urls(spark, sf):
     ),
 )
 def event_images(spark, sf):
-    return ev.event_images(v.doc_ec(spark, sf), v.doc_members(spark, sf), v.text_posts(spark, sf))
+    doc = v.doc_graph(spark, sf)
+    return ev.event_images(doc.ec, doc.members, v.text_posts(spark, sf))
 
 
 v.cte(
@@ -147,8 +149,8 @@ v.cte(
     v.sql("SELECT event_id, campaign, round(share, 9) AS share FROM doc_campaigns", "doc_campaigns"),
 )
 def event_campaigns(spark, sf):
-    ec = v.doc_ec(spark, sf)
-    return ev.event_campaigns(ec, sampled(spark, sf, ec)).withColumn("share", F.round("share", 9))
+    doc = v.doc_graph(spark, sf)
+    return ev.event_campaigns(doc.ec, sampled(spark, sf, doc)).withColumn("share", F.round("share", 9))
 
 
 v.cte(
@@ -169,12 +171,12 @@ def place_names(spark, sf):
     return v.gazetteer(spark, sf).select(F.col("place").alias("label"), F.lit("LOCATION").alias("tag"))
 
 
-def doc_locations(spark, sf):
-    posts = sampled(spark, sf).select(
-        F.concat_ws("|", "event_id", "cluster_id", "post_id").alias("key"), "event_id", "post_id", "text"
-    )
-    found = en.extract_entities(posts, "key", "text", place_names(spark, sf), "LOCATION", longest=1)
-    ents = found.join(posts.select("key", "event_id", "post_id"), "key")
+def doc_locations(spark, sf, picked=None):
+    picked = picked if picked is not None else materialize(sampled(spark, sf), "sampled-posts")
+    # Posts are looked at once, however many clusters they were sampled for.
+    posts = picked.select("post_id", "text").distinct()
+    found = en.extract_entities(posts, "post_id", "text", place_names(spark, sf), "LOCATION", longest=1)
+    ents = found.join(picked.select("event_id", "cluster_id", "post_id"), "post_id")
     places = v.gazetteer(spark, sf).withColumn("state", F.lit(None).cast("string"))
     return ev.event_locations(ents, places, threshold=2.0)
 
@@ -258,11 +260,11 @@ def export_events(spark, sf):
 
 
 def export_rows(spark, sf):
-    ec = v.doc_ec(spark, sf)
-    picked = sampled(spark, sf, ec)
+    doc = v.doc_graph(spark, sf)
+    picked = materialize(sampled(spark, sf, doc), "sampled-posts")
     return ev.export_events(
-        ev.event_rollup(ec), ev.event_hashtags(ec), ev.event_keywords(ev.event_words(picked)),
-        ev.event_campaigns(ec, picked), doc_locations(spark, sf), threshold=0.4,
+        ev.event_rollup(doc.ec), ev.event_hashtags(doc.ec), ev.event_keywords(ev.event_words(picked)),
+        ev.event_campaigns(doc.ec, picked), doc_locations(spark, sf, picked), threshold=0.4,
     )
 
 
@@ -309,7 +311,7 @@ def extract_entities(spark, sf):
         .union(v.table(spark, sf, "nation").select(F.lower("n_name"), F.lit("LOCATION")))
         .union(spark.sql("SELECT * FROM VALUES ('is he', 'PERSON'), ('reti', 'PERSON')"))
     )
-    return en.extract_entities(v.table(spark, sf, "documents"), "doc_id", "text", names, longest=2)
+    return en.extract_entities(v.wide(spark, sf, "documents", "doc_id"), "doc_id", "text", names, longest=2)
 
 
 def entities(spark, sf):

@@ -109,7 +109,7 @@ TRACKED = ("the", "and", "reti", "ing")
       ['the', 'and', 'reti', 'ing'])""",
 )
 def keyword_track(spark, sf):
-    return tw.keyword_track(v.table(spark, sf, "documents"), TRACKED).select("doc_id", "lang")
+    return tw.keyword_track(v.wide(spark, sf, "documents", "doc_id"), TRACKED).select("doc_id", "lang")
 
 
 def feeds(spark, sf):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from pulseweave.lineage import materialize
 from pulseweave.operators import graph as gr
 from pulseweave.operators import hashtags as ht
 from pulseweave.operators import links as lk
@@ -119,7 +120,8 @@ def cluster_links(spark, sf):
     ),
 )
 def link_common_posts(spark, sf):
-    return lk.link_common_posts(v.links(spark, sf), v.members(spark, sf))
+    members = v.members(spark, sf)
+    return lk.link_common_posts(lk.cluster_links(members), members)
 
 
 @case(
@@ -276,8 +278,6 @@ def community_members(spark, sf):
 @case("louvain_trade")
 def louvain_trade(spark, sf):
     """Communities and modularity of the trade graphs."""
-    from pulseweave.lineage import materialize
-
     edges = materialize(gr.undirected(trade(spark, sf)), "trade").withColumnsRenamed(
         {"a": "source", "b": "target", "w": "weight"}
     )
@@ -307,7 +307,8 @@ v.cte(
 
 
 def authors(spark, sf):
-    return gr.event_authors(v.doc_ec(spark, sf), v.doc_members(spark, sf), v.text_posts(spark, sf))
+    doc = v.doc_graph(spark, sf)
+    return materialize(gr.event_authors(doc.ec, doc.members, v.text_posts(spark, sf)), "authors")
 
 
 def follows(spark, sf):

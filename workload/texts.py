@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pulseweave.functions import text as tx
+from pulseweave.lineage import materialize
 from pulseweave.operators import textjobs as tj
 from workload import views as v
 from workload.registry import case
 
 
 def docs(spark, sf):
-    return v.table(spark, sf, "documents")
+    return v.wide(spark, sf, "documents", "doc_id")
 
 
 def token_case(name, spark_tokens, sql_tokens, where="true"):
@@ -141,7 +142,7 @@ def strip_non_ascii(spark, sf):
         '&amp;', '&'), '[\s\p{Z}]+', ' ', 'g')) AS t FROM pages)""",
 )
 def html_to_text(spark, sf):
-    t = v.table(spark, sf, "pages").select("page_id", tx.html_to_text(F.col("html")).alias("t"))
+    t = v.wide(spark, sf, "pages", "page_id").select("page_id", tx.html_to_text(F.col("html")).alias("t"))
     return t.select("page_id", F.md5("t").alias("h"), F.length("t").cast("long").alias("n_chars"))
 
 
@@ -160,7 +161,7 @@ def page_open_graph(spark, sf):
         F.lit('<meta charset="utf-8"><meta property="og:image" content="http://img/'), folder,
         F.col("page_id").cast("string"), F.lit('">'),
     )
-    pages = v.table(spark, sf, "pages").select(
+    pages = v.wide(spark, sf, "pages", "page_id").select(
         "page_id", "url", F.replace("html", F.lit('<meta charset="utf-8">'), tag).alias("html")
     )
     domain = F.col("domain")
@@ -315,15 +316,11 @@ v.cte(
 
 
 def text_vector_table(spark, sf):
-    d = docs(spark, sf)
-    tokens = tx.tokenize_en(F.col("text"))
-    rows = (
-        d.where("lang = 'en'")
-        .select("doc_id", tokens.alias("t"))
-        .where(tx.is_scoreable(F.col("t")))
-        .select("doc_id", F.explode("t").alias("token"))
-    )
-    return tj.text_vectors(rows, d, model(spark, sf), "doc_id", 4)
+    # Tokens feed both the model and the vectors: one table, written once.
+    tokens = materialize(v.doc_tokens(spark, sf), "tokens")
+    words = v.word_model(tj.document_frequency(tokens))
+    ids = v.table(spark, sf, "documents").select("doc_id")
+    return tj.text_vectors(tokens, ids, words, "doc_id", 4)
 
 
 @case("text_vectors", v.sql("SELECT doc_id, empty, v0, v1, v2, v3 FROM doc_vectors", "doc_vectors"))
@@ -350,7 +347,10 @@ def text_vectors(spark, sf):
     ),
 )
 def text_vector_variants(spark, sf):
-    rows = tj.text_vector_variants(v.doc_tokens(spark, sf), model(spark, sf), idf(spark, sf), "doc_id", 4)
+    tokens = materialize(v.doc_tokens(spark, sf), "tokens")
+    df = tj.document_frequency(tokens)
+    weights = tj.idf_weights(df, tj.document_count(docs(spark, sf).where("lang = 'en'")), min_df=20)
+    rows = tj.text_vector_variants(tokens, v.word_model(df), weights, "doc_id", 4)
     return rows.select(
         "doc_id", F.col("plain")[0].alias("p0"), F.col("plain")[1].alias("p1"),
         F.round(F.col("weighted")[0], 6).alias("w0"), F.round(F.col("weighted")[3], 6).alias("w3"),

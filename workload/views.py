@@ -6,14 +6,17 @@ rows. ``sql(text, *views)`` puts the needed expressions in front of a query.
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulseweave.functions import text as tx
-from pulseweave.lineage import materialize
+from pulseweave.lineage import materialize, spread
 from pulseweave.operators import hashtags as ht
 from pulseweave.operators import links as lk
 from pulseweave.operators import windows as wn
+from pulseweave.operators.textjobs import token_rows
 
 DAY_MS = 86_400_000
 MIN_TAG_POSTS = 5
@@ -50,6 +53,11 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def wide(spark: SparkSession, sf: str, name: str, key: str) -> DataFrame:
+    """A table for work that is heavy per row, spread over all cores."""
+    return spread(table(spark, sf, name), key)
+
+
 # posts: every event as a post with two tags ---------------------------------
 
 
@@ -123,7 +131,7 @@ def posts_w(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def text_posts(spark: SparkSession, sf: str) -> DataFrame:
-    d = table(spark, sf, "documents").select("doc_id", "text", "lang", "source")
+    d = wide(spark, sf, "documents", "doc_id").select("doc_id", "text", "lang", "source")
     e = table(spark, sf, "events").select("event_id", "ts", "user_id")
     doc = F.col("doc_id").cast("string")
     place = F.concat(F.lit(" in nation"), (F.col("doc_id") % 25).cast("string"))
@@ -283,21 +291,28 @@ def doc_members(spark: SparkSession, sf: str) -> DataFrame:
     return materialize(ht.hashtag_members(doc_windowed(spark, sf), doc_clusters(spark, sf)), "members")
 
 
-def doc_links(spark: SparkSession, sf: str) -> DataFrame:
-    return materialize(lk.cluster_links(doc_members(spark, sf)), "links")
+class DocGraph(NamedTuple):
+    members: DataFrame
+    links: DataFrame
+    partition: DataFrame
+    ec: DataFrame
 
 
-def doc_partition(spark: SparkSession, sf: str) -> DataFrame:
+def doc_graph(spark: SparkSession, sf: str) -> DocGraph:
+    """Members, links, communities and event clusters of the documents, each made once."""
+    from pulseweave.operators.events import event_clusters
     from pulseweave.operators.graph import neighbour_partition
 
-    edges = doc_links(spark, sf).select(F.col("end_time_ms").alias("g"), "source", "target", "weight")
-    return neighbour_partition(edges)
+    clusters = materialize(doc_clusters(spark, sf), "clusters")
+    rows = materialize(ht.hashtag_members(doc_windowed(spark, sf), clusters), "members")
+    found = materialize(lk.cluster_links(rows), "links")
+    edges = found.select(F.col("end_time_ms").alias("g"), "source", "target", "weight")
+    partition = neighbour_partition(edges)
+    return DocGraph(rows, found, partition, materialize(event_clusters(partition, clusters), "event-clusters"))
 
 
 def doc_ec(spark: SparkSession, sf: str) -> DataFrame:
-    from pulseweave.operators.events import event_clusters
-
-    return materialize(event_clusters(doc_partition(spark, sf), doc_clusters(spark, sf)), "event-clusters")
+    return doc_graph(spark, sf).ec
 
 
 def doc_events(spark: SparkSession, sf: str) -> DataFrame:
@@ -412,8 +427,8 @@ cte(
 
 
 def doc_tokens(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents").where(F.col("lang") == "en")
-    return docs.select("doc_id", F.explode(tx.tokenize_en(F.col("text"))).alias("token"))
+    docs = wide(spark, sf, "documents", "doc_id").where(F.col("lang") == "en")
+    return token_rows(docs, "doc_id", tx.tokenize_en(F.col("text")))
 
 
 def word_model(df: DataFrame) -> DataFrame:

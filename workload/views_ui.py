@@ -109,9 +109,9 @@ v.cte(
 )
 
 
-def event_sample(spark, sf, ec=None):
-    ec = ec if ec is not None else v.doc_ec(spark, sf)
-    return sv.sampled_event_members(ec, v.doc_members(spark, sf), 200)
+def event_sample(spark, sf, doc=None):
+    doc = doc or v.doc_graph(spark, sf)
+    return sv.sampled_event_members(doc.ec, doc.members, 200)
 
 
 @case(
@@ -130,8 +130,9 @@ def event_sample(spark, sf, ec=None):
     ).replace("(p.screen_name, '(?i)USER_77')", "(p.screen_name, '(?i)SRC1[0-4]|http://t.co/11|USER_77')"),
 )
 def search_events(spark, sf):
-    ec = v.doc_ec(spark, sf)
-    posts = event_sample(spark, sf, ec).join(
+    doc = v.doc_graph(spark, sf)
+    ec = doc.ec
+    posts = event_sample(spark, sf, doc).join(
         v.text_posts(spark, sf).select("post_id", "text", "screen_name"), "post_id"
     )
     found = sv.search_events(
@@ -302,8 +303,9 @@ def ops_counts(spark, sf):
 )
 def annotate_events(spark, sf):
     # Readers that wrote French posts name the event.
-    ec = v.doc_ec(spark, sf)
-    rows = ec.select("event_id", "cluster_id").join(v.doc_members(spark, sf), "cluster_id").select(
+    doc = v.doc_graph(spark, sf)
+    ec = doc.ec
+    rows = ec.select("event_id", "cluster_id").join(doc.members, "cluster_id").select(
         "event_id", "post_id"
     ).distinct().join(v.text_posts(spark, sf).where("lang = 'fr'"), "post_id")
     notes = rows.select(
