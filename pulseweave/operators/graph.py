@@ -115,12 +115,12 @@ def neighbour_partition(edges: DataFrame) -> DataFrame:
     )
 
 
-def _local_moves(edges: DataFrame, start: DataFrame | None, max_rounds: int) -> tuple[DataFrame, bool]:
+def _local_moves(edges: DataFrame, start: DataFrame | None, max_rounds: int) -> DataFrame:
     """Moves single nodes to neighbouring communities while modularity rises.
 
-    Per round a hash splits the nodes in two halves and one half may move, so
-    that two nodes do not swap places for ever. Gives (g, node, community) and
-    whether anything moved at all. Tables of a round that are small are
+    Per round a hash splits the nodes in two halves and one half may move, and
+    of two single nodes only the one with the larger id joins the other, so that
+    nodes do not swap places for ever. Tables of a round that are small are
     broadcast; larger ones are shuffled on (g, node).
     """
     seen = both_ways(edges)
@@ -132,21 +132,24 @@ def _local_moves(edges: DataFrame, start: DataFrame | None, max_rounds: int) ->
         state = state.join(given, ["g", "n"], "left").withColumn("c", F.coalesce("_c", "c")).drop("_c")
     state = materialize(state.withColumn("moved", F.lit(False)), "graph-state")
     links = materialize(seen.where(F.col("n") != F.col("m")), "graph-links")
-    still, any_moved = 0, False
+    still = 0
     for turn in range(max_rounds):
         small = broadcast_if_small(state.drop("moved"))
-        tot = broadcast_if_small(state).groupBy("g", "c").agg(F.sum("k").alias("tot"))
+        tot = state.groupBy("g", "c").agg(F.sum("k").alias("tot"), F.count("*").alias("size"))
         around = links.join(
             small.select("g", F.col("n").alias("m"), "c"), ["g", "m"]
         ).select("g", "n", "c", "w")
         # The node's own community is always an option, with or without links to it.
         own = state.select("g", "n", "c", F.lit(0.0).alias("w"))
         options = around.unionByName(own).groupBy("g", "n", "c").agg(F.sum("w").alias("w_in"))
+        lone = tot.select("g", F.col("c").alias("c_own"), (F.col("size") == 1).alias("alone"))
         mine = small.select("g", "n", "k", "two_m", F.col("c").alias("c_own"))
+        mine = mine.join(broadcast_if_small(lone), ["g", "c_own"])
         rated = (
             options.join(tot, ["g", "c"])
             .join(mine, ["g", "n"])
             .withColumn("own", F.col("c") == F.col("c_own"))
+            .where(~F.col("alone") | (F.col("size") > 1) | (F.col("c") <= F.col("c_own")))
             .withColumn(
                 "gain",
                 F.round(
@@ -175,12 +178,10 @@ def _local_moves(edges: DataFrame, start: DataFrame | None, max_rounds: int) ->
             ),
             "graph-state",
         )
-        quiet = state.where("moved").isEmpty()
-        any_moved = any_moved or not quiet
-        still = still + 1 if quiet else 0
+        still = still + 1 if state.where("moved").isEmpty() else 0
         if still == 2:
             break
-    return state.select("g", F.col("n").alias("node"), F.col("c").alias("community")), any_moved
+    return state.select("g", F.col("n").alias("node"), F.col("c").alias("community"))
 
 
 def _best_level(edges: DataFrame, partitions: Sequence[DataFrame]) -> DataFrame:
@@ -218,14 +219,14 @@ def louvain_communities(
     base = level_edges.withColumnsRenamed({"a": "source", "b": "target", "w": "weight"})
     so_far: list[DataFrame] = []
     for level in range(max_levels):
-        start = init if level == 0 else None
-        part, moved = _local_moves(level_edges, start, max_rounds)
-        if so_far and not moved:
+        part = _local_moves(level_edges, init if level == 0 else None, max_rounds)
+        nodes, merged = part.agg(F.count("*"), F.count_distinct("g", "community")).first()
+        if so_far and nodes == merged:
             break
         so_far.append(
             materialize(partition_at_level([so_far[-1], part]), "graph-level") if so_far else part
         )
-        if not moved and start is None:
+        if nodes == merged:
             break
         plain = level_edges.withColumnsRenamed({"a": "source", "b": "target", "w": "weight"})
         level_edges = materialize(

@@ -22,3 +22,17 @@ def spark():
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
+
+
+@pytest.fixture(scope="session")
+def shared_views():
+    """Views that many queries build on, made once for the whole test run."""
+    from functools import lru_cache
+
+    from workload import views
+
+    patch = pytest.MonkeyPatch()
+    for name in ("doc_graph", "members", "links"):
+        patch.setattr(views, name, lru_cache(maxsize=None)(getattr(views, name)))
+    yield
+    patch.undo()

@@ -15,7 +15,7 @@ def con():
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
-def test_query(spark, con, name):
+def test_query(spark, con, shared_views, name):
     df = QUERIES[name](spark, SF)
     got = rows_of(df.columns, [tuple(r) for r in df.collect()])
     if name in SQL:
