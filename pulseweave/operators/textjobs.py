@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pulseweave.functions import text as tx
 from pulseweave.functions.vector import cosine, dot_fixed, norm, scale, summed
-from pulseweave.lineage import broadcast_if_small
+from pulseweave.lineage import broadcast_if_small, materialize
 
 TOP_IDF = 3
 PROBE_DOCS = 100
@@ -257,13 +257,17 @@ def cloud_words(text: Column, stopwords: Iterable[str] = CLOUD_STOPWORDS) -> Col
 
 
 def word_cloud(texts: DataFrame, text: str) -> DataFrame:
-    """Count and font size per word over all texts."""
+    """Count and font size per word over all texts.
+
+    The counts are written once, as both the sizes and their maximum need them.
+    """
     counts = (
         texts.select(F.explode_outer(cloud_words(F.col(text))).alias("word"))
         .where("word is not null")
         .groupBy("word")
         .agg(F.count("*").alias("n"))
     )
+    counts = materialize(counts, "word-counts")
     top = counts.agg(F.greatest(F.max("n"), F.lit(1))).scalar()
     c = F.col("n")
     slope = F.when(c <= 1, 0.0).otherwise(c / F.col("top") * (CLOUD_MAX - CLOUD_MIN) + CLOUD_MIN)
@@ -273,7 +277,10 @@ def word_cloud(texts: DataFrame, text: str) -> DataFrame:
 
 
 def joined_terms(clusters: DataFrame, by: Sequence[str], term: str = "term") -> DataFrame:
-    """Distinct terms of each selection of clusters in one line."""
+    """Distinct terms of each selection of clusters in one line.
+
+    The line is what one view shows, so the selection is what one viewer picked.
+    """
     return (
         clusters.where(F.col(term).isNotNull())
         .select(*by, term)

@@ -34,17 +34,18 @@ def write_collection(spark, sf):
 @case(
     "explode_event_clusters",
     v.sql(
-        f"""SELECT event_id, cluster_id, start_time_ms, end_time_ms FROM doc_ec
-        WHERE start_time_ms >= {1_704_153_600_000}""",
-        "doc_ec",
+        f"""SELECT post_id AS event_id, timestamp_ms AS start_time_ms, timestamp_ms + 999 AS end_time_ms,
+          unnest(hashtags) AS cluster_id FROM posts WHERE timestamp_ms >= {LO}""",
+        "posts",
     ),
 )
 def explode_event_clusters(spark, sf):
-    # Clusters per event are collected here only to have the nested input form.
-    nested = v.doc_ec(spark, sf).groupBy("event_id", "start_time_ms", "end_time_ms").agg(
-        F.collect_list("cluster_id").alias("cluster_ids")
-    )
-    return col.explode_event_clusters(nested, 1_704_153_600_000)
+    # Posts stand for small events, their tags for the clusters of each.
+    nested = v.posts(spark, sf).select(
+        F.col("post_id").alias("event_id"), F.col("timestamp_ms").alias("start_time_ms"),
+        (F.col("timestamp_ms") + 999).alias("end_time_ms"), F.col("hashtags").alias("cluster_ids"),
+    )
+    return col.explode_event_clusters(nested, LO)
 
 
 TWEET_JSON_SQL = """

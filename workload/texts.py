@@ -118,7 +118,7 @@ def remove_punctuation(spark, sf):
 )
 def stopword_filter(spark, sf):
     # The stop table: words found in at least a tenth of the documents.
-    tokens = v.doc_tokens(spark, sf)
+    tokens = materialize(v.doc_tokens(spark, sf), "tokens")
     df = tj.document_frequency(tokens)
     n = tokens.agg(F.count_distinct("doc_id") * 0.1).scalar()
     stop = df.withColumn("n", n).where(F.col("df") >= F.col("n")).select(F.col("token").alias("word"))
@@ -315,9 +315,9 @@ v.cte(
 )
 
 
-def text_vector_table(spark, sf):
+def text_vector_table(spark, sf, tokens=None):
     # Tokens feed both the model and the vectors: one table, written once.
-    tokens = materialize(v.doc_tokens(spark, sf), "tokens")
+    tokens = tokens if tokens is not None else materialize(v.doc_tokens(spark, sf), "tokens")
     words = v.word_model(tj.document_frequency(tokens))
     ids = v.table(spark, sf, "documents").select("doc_id")
     return tj.text_vectors(tokens, ids, words, "doc_id", 4)
@@ -396,7 +396,8 @@ def train_doc_vectors(spark, sf):
     ),
 )
 def most_similar_docs(spark, sf):
-    cos = tj.doc_cosines(text_vector_table(spark, sf), "doc_id", 1, 4)
+    vectors = materialize(text_vector_table(spark, sf), "doc-vectors")
+    cos = materialize(tj.doc_cosines(vectors, "doc_id", 1, 4), "doc-cosines")
     return tj.most_similar_docs(cos, "doc_id")
 
 
@@ -418,9 +419,9 @@ def most_similar_docs(spark, sf):
     ).replace(")\n, a AS", "),\na AS"),
 )
 def probe_word_cosines(spark, sf):
-    return tj.probe_word_cosines(
-        v.doc_tokens(spark, sf), text_vector_table(spark, sf), "doc_id", "thth", "reti"
-    )
+    tokens = materialize(v.doc_tokens(spark, sf), "tokens")
+    vectors = materialize(text_vector_table(spark, sf, tokens), "doc-vectors")
+    return tj.probe_word_cosines(tokens, vectors, "doc_id", "thth", "reti")
 
 
 SPARSE_SQL = """
