@@ -119,7 +119,10 @@ def include_relation(
     flat = joined.select("p.*", F.when(F.col(f"c.{child_key}").isNotNull(), child).alias(name))
     if max_children is None:
         return flat
-    return flat.groupBy(*parents.columns).agg(F.array_sort(F.collect_list(name)).alias(name))
+    nested = flat.groupBy(*parents.columns).agg(F.array_sort(F.collect_list(name)).alias(name))
+    too_many = F.raise_error(F.lit(f"more than {max_children} {name} under one parent"))
+    checked = F.when(F.size(name) <= max_children, F.col(name)).otherwise(too_many)
+    return nested.withColumn(name, checked)
 
 
 def find_or_create(existing: DataFrame, defaults: DataFrame, key: Sequence[str]) -> DataFrame:

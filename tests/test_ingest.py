@@ -132,3 +132,15 @@ def test_retry_states(spark):
     )
     out = {r.window_id: (r.state, r.retries) for r in wn.window_retry_state(polls, 2, 10).collect()}
     assert out == {1: ("running", 1), 2: ("skip", 2), 3: ("new", 1)}
+
+
+def test_bounded_relation_is_checked(spark):
+    from pulseweave.operators.query import include_relation
+
+    parents = spark.createDataFrame([(1,), (2,)], "id int")
+    children = spark.createDataFrame([(1, "a"), (1, "b")], "pid int, x string")
+    got = include_relation(parents, children, "id", "pid", "kids", max_children=2).collect()
+    assert sorted((r.id, [k.x for k in r.kids]) for r in got) == [(1, ["a", "b"]), (2, [])]
+    assert include_relation(parents, children, "id", "pid", "kids").count() == 3
+    with pytest.raises(Exception, match="more than 1 kids"):
+        include_relation(parents, children, "id", "pid", "kids", max_children=1).collect()
