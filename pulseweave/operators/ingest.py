@@ -8,7 +8,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pulseweave.functions.clock import ms_from_ts
 from pulseweave.operators.ordering import with_row_index
 
 REQUIRED = ("post_id", "post_type", "post_url", "timestamp_ms")
@@ -194,5 +193,5 @@ def ingest(df: DataFrame) -> DataFrame:
 __all__ = [
     "capture_image_refs", "dedupe_posts", "fan_out_featurizers", "feed_item_dedupe",
     "feed_to_posts", "govern_traffic", "ingest", "mark_processed", "merge_quoted_status",
-    "missing_fields", "ms_from_ts", "normalize_posts", "time_to_ms", "validate_posts",
+    "missing_fields", "normalize_posts", "time_to_ms", "validate_posts",
 ]
