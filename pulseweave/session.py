@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import zipfile
+
 from pyspark.sql import SparkSession
 
 RUNTIME_SETTINGS = {
@@ -20,10 +24,36 @@ RUNTIME_SETTINGS = {
 }
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application.
+
+    The driver zips it in its own temporary folder; Spark serves the file to the
+    executors, which need not have the package installed.
+    """
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    name = os.path.basename(root)
+    path = os.path.join(tempfile.mkdtemp(prefix=f"{name}-"), f"{name}.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as out:
+        for folder, _, files in os.walk(root):
+            for file in sorted(files):
+                if file.endswith(".py"):
+                    full = os.path.join(folder, file)
+                    out.write(full, os.path.join(name, os.path.relpath(full, root)))
+    sc.addPyFile(path)
+    _SHIPPED.add(sc.applicationId)
+
+
 def tune(spark: SparkSession) -> SparkSession:
-    """Apply the runtime settings above to an existing session."""
+    """Apply the runtime settings above to an existing session, and ship the package."""
     for key, value in RUNTIME_SETTINGS.items():
         spark.conf.set(key, value)
+    ship_package(spark)
     return spark
 
 
@@ -33,4 +63,6 @@ def build_session(app: str, master: str | None = None, **conf: str) -> SparkSess
         builder = builder.master(master)
     for key, value in {**RUNTIME_SETTINGS, **conf}.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship_package(spark)
+    return spark
