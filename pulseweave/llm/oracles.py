@@ -33,3 +33,83 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS
        n_hit IS NOT NULL AS contaminated
 FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
+
+SQL["op1_chat_formatting"] = r"""
+WITH src AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+t AS (
+  SELECT *, len(regexp_extract_all(text, '[A-Za-z0-9]+|[^A-Za-z0-9\x00-\x20]')) AS tokens,
+         8 + length(role) + length(text)
+         + len(regexp_extract_all(role, '\\[elbn]')) + len(regexp_extract_all(text, '\\[elbn]'))
+         + len(regexp_extract_all(role, '</?s>|\[/?INST\]|<</?SYS>>|\n'))
+         + len(regexp_extract_all(text, '</?s>|\[/?INST\]|<</?SYS>>')) AS chars,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos
+  FROM src),
+p AS (
+  SELECT *, tokens >= 512 AS is_long,
+         coalesce(sum(tokens) OVER w, 0) AS opens, coalesce(sum(CAST(tokens >= 512 AS INT)) OVER w, 0) AS longs
+  FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+s AS (SELECT *, CASE WHEN is_long THEN 0 ELSE opens // 1536 END AS stride FROM p),
+w AS (SELECT conv_id, longs, is_long, stride, min(pos) AS first_pos, min(opens) AS opens FROM s GROUP BY ALL),
+extra AS (
+  SELECT w.conv_id, s.chars FROM w JOIN s ON s.conv_id IS NOT DISTINCT FROM w.conv_id
+    AND s.pos BETWEEN w.first_pos - 2 AND w.first_pos - 1 AND s.opens >= w.opens - 256
+    AND NOT (s.pos = 1 AND s.role = 'system')
+  UNION ALL
+  SELECT w.conv_id, s.chars FROM w JOIN s ON s.conv_id IS NOT DISTINCT FROM w.conv_id
+    AND w.first_pos > 1 AND s.pos = 1 AND s.role = 'system'),
+more AS (SELECT conv_id, sum(chars) AS chars FROM extra GROUP BY conv_id),
+c AS (
+  SELECT conv_id, count(*) AS n_turns,
+         sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY pos)) AS turns_sha256,
+         coalesce(string_agg(text, '' ORDER BY pos) FILTER (role = 'assistant'), '') AS loss, sum(chars) AS chars
+  FROM s GROUP BY conv_id)
+SELECT c.conv_id, n_turns, turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256,
+       CAST(c.chars + coalesce(more.chars, 0) AS BIGINT) AS formatted_chars
+FROM c LEFT JOIN more ON more.conv_id IS NOT DISTINCT FROM c.conv_id
+"""
+
+SQL["op10_warc_round_trip"] = r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+d AS (SELECT page_id, octet_length(encode(body)) AS payload_bytes, sha256(body) AS payload_digest FROM p),
+f AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) END AS first_id FROM d)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN first_id <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN first_id <> page_id THEN first_id END AS refers_to
+FROM f
+"""
+
+
+def _license_sql() -> str:
+    from pulseweave.llm.licenses import COPYRIGHT_LINE, EQUIVALENT, KNOWN, PUNCTUATION
+
+    def canonical(text: str) -> str:
+        sql = f"translate(coalesce({text}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+        sql = f"regexp_replace({sql}, '{COPYRIGHT_LINE}', chr(10), 'g')"
+        sql = f"' ' || replace(trim(regexp_replace({sql}, '{PUNCTUATION}', ' ', 'g')), ' ', '  ') || ' '"
+        for given, kept in EQUIVALENT:
+            pair = [f" {w} ".replace(" ", "  ")[1:-1] for w in (given, kept)]
+            sql = f"replace({sql}, '{pair[0]}', '{pair[1]}')"
+        return f"trim(replace({sql}, '  ', ' '))"
+
+    known = " UNION ALL ".join(
+        "SELECT '{}' AS license, '{}' AS text".format(k, t.replace("'", "''")) for k, texts in KNOWN.items() for t in texts
+    )
+    return f"""
+WITH known AS (SELECT min(license) AS license, sha256({canonical("text")}) AS digest FROM ({known}) GROUP BY 2),
+whole AS (SELECT d.doc_id, sha256({canonical("d.text")}) AS digest FROM documents d),
+lines AS (
+  SELECT doc_id, {canonical("part")} AS form
+  FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS part FROM documents)),
+found AS (
+  SELECT l.doc_id, count(*) FILTER (form <> '') AS n_lines, count(k.license) AS n_license_lines,
+         coalesce(string_agg(DISTINCT k.license, ',' ORDER BY k.license), '') AS line_licenses
+  FROM lines l LEFT JOIN known k ON sha256(l.form) = k.digest GROUP BY l.doc_id)
+SELECT w.doc_id, w.digest, k.license, n_lines, n_license_lines, line_licenses
+FROM whole w LEFT JOIN known k USING (digest) JOIN found f ON f.doc_id = w.doc_id
+"""
+
+
+SQL["op5_license_scan"] = _license_sql()

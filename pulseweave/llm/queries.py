@@ -7,7 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulseweave.llm import decontaminate, simhash
+from pulseweave.llm import (
+    chat,
+    decontaminate,
+    importance,
+    language_crf,
+    licenses,
+    packing,
+    permutation_index,
+    simhash,
+    token_counts,
+    warc,
+)
 from pulseweave.llm.common import table
 from pulseweave.session import tune
 
@@ -25,6 +36,30 @@ def query(fn: Query) -> Query:
     return run
 
 
+@query
+def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, and one full of control strings, formatted and read back."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    hard = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-7, 0, "user", hard), (-7, 1, "assistant", hard)], "conv_id long, turn long, role string, text string")
+    windows = chat.chat_windows(turns.unionByName(extra))
+    read = chat.read_windows(windows)
+    said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    parts = read.select(
+        "conv_id", "window", F.size("turns").cast("long").alias("n"), said.alias("said"),
+        F.array_join("loss", "").alias("loss"), F.char_length("formatted").cast("long").alias("chars"),
+    )
+    whole = parts.groupBy("conv_id").agg(
+        F.sum("n").alias("n_turns"), F.sum("chars").alias("formatted_chars"),
+        F.sort_array(F.collect_list(F.struct("window", "said", "loss"))).alias("parts"),
+    )
+    joined = lambda name: F.array_join(F.transform("parts", lambda p: p[name]), "")
+    return whole.select(
+        "conv_id", "n_turns", F.sha2(joined("said"), 256).alias("turns_sha256"),
+        F.char_length(joined("loss")).cast("long").alias("loss_chars"), F.sha2(joined("loss"), 256).alias("loss_sha256"), "formatted_chars",
+    )
+
+
 @query
 def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark windows of ten words in all documents."""
@@ -33,7 +68,51 @@ def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return found.select("doc_id", "n_words", "n_hit", "n_items", items, "contaminated")
 
 
+@query
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from three quarters of them."""
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", language_crf.held_out())
+    return language_crf.identify_languages(docs, keep=("doc_id", "held_out"))
+
+
+@query
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document; the cache of this run starts empty."""
+    return token_counts.token_counts(table(spark, sf_dir, "documents"))
+
+
+@query
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Known license texts that a document, or one of its lines, is."""
+    found = licenses.scan_licenses(table(spark, sf_dir, "documents"))
+    return found.withColumn("line_licenses", F.array_join("line_licenses", ","))
+
+
+@query
+def op6_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest of every fiftieth vector among all others."""
+    return permutation_index.nearest_neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+@query
+def op7_length_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bucket and batch of every document by its words."""
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+@query
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Importance weight of every document, and whether it is drawn."""
+    return importance.quality_selection(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query
+def op10_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written to archives and read back."""
+    return warc.page_records(table(spark, sf_dir, "pages")).drop("target_uri")
