@@ -21,10 +21,10 @@ from pulseweave.llm.textbytes import Hasher, Words, mixed, portions, row_sums, s
 #: Labelled good documents that the target model takes at most, by hash of their ids.
 TARGET_ROWS = 20_000
 BUCKET_BITS = 16
-#: Weights are those of so many average n-grams of a document, whatever its length.
+#: Longer documents weigh as so many of their average n-grams, so length alone decides nothing.
 EFFECTIVE_GRAMS = 64
-#: Share of the target's own documents whose weight lies below that of a plausible document.
-IMPLAUSIBLE_SHARE = 0.001
+#: Least weight of a plausible document: half a nat lost on every effective n-gram.
+PLAUSIBLE = -0.5 * EFFECTIVE_GRAMS
 SMOOTHING = 1.0
 SEED = 17
 
@@ -89,7 +89,7 @@ def _score(ratio: np.ndarray):
                 rows = slice(first, first + len(offsets) - 1)
                 total[rows] = row_sums((ratio[buckets] * exists).sum(axis=1), words.per_row)
                 grams[rows] = row_sums(exists.sum(axis=1), words.per_row)
-            weight = np.divide(EFFECTIVE_GRAMS * total, grams, out=np.zeros(len(total)), where=grams > 0)
+            weight = total * EFFECTIVE_GRAMS / np.maximum(grams, EFFECTIVE_GRAMS)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(grams), pa.array(weight, mask=grams == 0)],
                 ["doc_id", "target", "n_grams", "log_weight"],
@@ -165,17 +165,14 @@ def quality_selection(documents: DataFrame, labels: DataFrame, k: int | None = N
     """Draws documents by weight: adds ``selection_key`` and ``selected`` to the weights.
 
     The noise of a row is a hash of its id, so a run gives the same draw again. Without
-    ``k`` as many rows are drawn as have a plausible weight: one that all but a
-    thousandth of the target's documents reach. Texts without words are never drawn;
+    ``k`` as many rows are drawn as have a weight of ``PLAUSIBLE`` or more. Texts without words are never drawn;
     rows that tie with the k-th are all drawn.
     """
     scored = materialize(importance_weights(documents, labels), "weights")
     uniform = (F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(1 << 52)).cast("double") + 0.5) / F.lit(float(1 << 52))
     keyed = scored.withColumn("selection_key", F.col("log_weight") - F.log(-F.log(uniform)))
     if k is None:
-        floor = scored.filter("target").agg(F.percentile("log_weight", F.lit(IMPLAUSIBLE_SHARE))).first()[0]
-        least = F.lit(float("-inf") if floor is None else floor)
-        k = scored.filter(F.col("log_weight") >= least).count()
+        k = scored.filter(F.col("log_weight") >= PLAUSIBLE).count()
     bound = kth_largest(keyed.select(F.col("selection_key").alias("key")).filter("key IS NOT NULL"), k)
     chosen = F.lit(False) if bound is None else F.coalesce(F.col("selection_key") >= F.lit(bound), F.lit(False))
     return keyed.withColumn("selected", chosen).select("doc_id", "n_grams", "log_weight", "selection_key", "selected")
