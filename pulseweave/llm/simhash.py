@@ -195,8 +195,9 @@ def linked(key: np.ndarray, bits: np.ndarray, at_home: np.ndarray, threshold: in
 
 def _link_batches(threshold: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = pa.Table.from_batches(batches)
-        if rows.num_rows:
+        held = list(batches)
+        if held:
+            rows = pa.Table.from_batches(held)
             key, bits, at_home = (rows.column(i).to_numpy() for i in range(3))
             u, v = linked(key, bits.view(np.uint64), at_home, threshold)
             yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
