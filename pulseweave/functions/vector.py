@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -37,16 +37,11 @@ def scale(a: Column, by: Column) -> Column:
     return F.transform(a, lambda v: v * by)
 
 
-def summed(vector: str, dim: int, how=F.sum) -> Column:
-    """Aggregate of a vector column, one partial sum per dimension.
-
-    Written as ``dim`` plain sums so that each row is combined on the map side
-    and no row is multiplied by exploding its dimensions.
-    """
-    return F.array(*[how(F.col(vector)[i]) for i in range(dim)])
+def sum_vector(vector: Column) -> Column:
+    """Aggregate: sum of vectors of any one width, as one buffer and not one per dimension."""
+    return vector_to_array(Summarizer.sum(array_to_vector(vector)))
 
 
-def dot_fixed(a: str, b: str, dim: int) -> Column:
-    """Dot product spelled out per dimension; stays inside generated code."""
-    terms = [F.col(a)[i].cast("double") * F.col(b)[i].cast("double") for i in range(dim)]
-    return reduce(lambda x, y: x + y, terms)
+def mean_vector(vector: Column) -> Column:
+    """Aggregate: mean of vectors, like ``sum_vector``."""
+    return vector_to_array(Summarizer.mean(array_to_vector(vector)))

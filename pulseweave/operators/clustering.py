@@ -1,84 +1,113 @@
 """Leader clustering of vectors in arrival order, per group of posts.
 
-The rule: a vector joins the first cluster whose centroid is more similar to it
-than the threshold, looking at large clusters first and then by age; the
-centroid is the running mean; otherwise the vector starts a cluster.
-
-A group that fits one task is clustered by exactly that rule. A larger group is
-cut into chunks that are clustered side by side; the resulting small clusters,
-weighted by their size, are then clustered again by the same rule, in chunks
-sliced along a random direction so that similar ones meet, until one chunk is
-left per group. No row is dropped on the way.
+The rule: a vector leads a cluster if no earlier leader of its group is more
+similar to it than the threshold; every other vector belongs to the leader it is
+most similar to. Unlike a running mean, leaders do not move, so the outcome depends
+on arrival order alone and not on how rows are spread, and centroids, tiers and
+statistics follow from the members afterwards.
+
+Leaders are found in rounds. Each round takes the first undecided vectors of every
+group, a bounded number, finds the leaders among them in order, and compares all
+vectors of the group with the new leaders in blocks of bounded size. That gives the
+leaders of a single pass over the group, whatever its size.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pulseweave.functions.vector import dot, usable
+from pulseweave.functions.vector import mean_vector, usable
 from pulseweave.lineage import materialize
-from pulseweave.operators.vectorjobs import HIGH_SIZE, MEDIUM_SIZE
+from pulseweave.operators.vectorjobs import MEDIUM_SIZE
 
-CHUNK_ROWS = 20_000
-MAX_MERGE_LEVELS = 6
-MIN_SHRINK = 0.01
 DEFAULT_THRESHOLD = 0.5
+#: Undecided vectors of a group that one round looks at in order.
+ROUND_ROWS = 2048
+#: Vectors of a group that meet a round's leaders in one task.
+BLOCK_ROWS = 16_384
+DIGITS = 9
 
 
-def lead(items: np.ndarray, weights: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Leader index and similarity at joining (NaN for a leader) of each item in order."""
-    n, dim = items.shape
-    centre = np.empty((n, dim))
-    length, size, tier = np.empty(n), np.empty(n), np.zeros(n, dtype=np.int8)
-    first = np.empty(n, dtype=np.int64)
-    owner, sim_at_join = np.empty(n, dtype=np.int64), np.full(n, np.nan)
-    norms = np.linalg.norm(items, axis=1)
-    k = 0
-    for i in range(n):
-        v, w = items[i], weights[i]
-        c = -1
-        if k:
-            sims = (centre[:k] @ v) / (length[:k] * norms[i])
-            close = np.flatnonzero(sims > threshold)
-            if close.size:
-                c = close[np.argmax(tier[close])]
-                sim_at_join[i] = sims[c]
-                centre[c] = (centre[c] * size[c] + v * w) / (size[c] + w)
-                size[c] += w
-        if c < 0:
-            c, k = k, k + 1
-            centre[c], size[c], first[c] = v, w, i
-        length[c] = np.linalg.norm(centre[c])
-        tier[c] = 2 if size[c] >= HIGH_SIZE else 1 if size[c] >= MEDIUM_SIZE else 0
-        owner[i] = first[c]
-    return owner, sim_at_join
-
-
-def _pass(items: DataFrame, keys: Sequence[str], threshold: float) -> DataFrame:
-    """One leader pass per (group, chunk); rows (group, item, leader, similarity)."""
-    types = {f.name: f.dataType.simpleString() for f in items.schema.fields}
-    out_schema = ", ".join(
-        [f"`{k}` {types[k]}" for k in keys]
-        + [f"item {types['item']}", f"leader {types['item']}", "similarity double"]
-    )
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["ord", "item"], kind="stable")
-        matrix = np.stack(rows["vector"].to_numpy()).astype(float)
-        owner, sim = lead(matrix, rows["weight"].to_numpy(dtype=float), threshold)
-        ids = rows["item"].to_numpy()
-        out = rows[list(keys)].copy()
-        out["item"], out["leader"] = ids, ids[owner]
-        out["similarity"] = pd.Series(sim, index=out.index).astype(object).where(~np.isnan(sim), None)
-        return out
-
-    return items.groupBy(*keys, "chunk").applyInPandas(run, out_schema)
+def _join_groups(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Joins on the group keys, of which any may be null; ``right`` gives its other columns."""
+    own = right.select(*[F.col(k).alias(f"_r_{k}") for k in keys], *[F.col(c).alias(c) for c in right.columns if c not in keys])
+    on = [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys]
+    return left.join(own, on).drop(*[f"_r_{k}" for k in keys])
+
+
+def _unit(vectors: pd.Series) -> np.ndarray:
+    rows = np.stack(vectors.to_numpy()).astype(float)
+    rows /= np.abs(rows).max(axis=1, keepdims=True)
+    return rows / np.linalg.norm(rows, axis=1, keepdims=True)
+
+
+def _cosines(rows: np.ndarray, leaders: np.ndarray) -> np.ndarray:
+    """Cosines rounded so that the same pair compares alike in every task."""
+    return np.round(rows @ leaders.T, DIGITS)
+
+
+def first_leaders(rows: np.ndarray, threshold: float) -> np.ndarray:
+    """Positions of the leaders among unit vectors in order."""
+    leaders: list[int] = []
+    for i in range(len(rows)):
+        if not leaders or not (_cosines(rows[i : i + 1], rows[leaders]) > threshold).any():
+            leaders.append(i)
+    return np.array(leaders, dtype=int)
+
+
+def _new_leaders(undecided: DataFrame, keys: Sequence[str], types: dict[str, str], threshold: float, rows: int) -> DataFrame:
+    order = Window.partitionBy(*keys).orderBy("ord", "item")
+    batch = undecided.withColumn("_nth", F.row_number().over(order)).where(F.col("_nth") <= rows)
+
+    def run(own: pd.DataFrame) -> pd.DataFrame:
+        own = own.sort_values("_nth")
+        found = own.iloc[first_leaders(_unit(own["vector"]), threshold)]
+        return found[[*keys, "item", "ord", "vector"]]
+
+    names = [*keys, "item", "ord", "vector"]
+    schema = ", ".join(f"`{c}` {types[c]}" for c in names)
+    return batch.select(*names, "_nth").groupBy(*keys).applyInPandas(run, schema)
+
+
+def _compare(rows: DataFrame, leaders: DataFrame, keys: Sequence[str], types: dict[str, str], threshold: float) -> DataFrame:
+    """Rows with the best leader so far; each block of a group meets the group's new leaders."""
+    names = rows.columns
+    schema = ", ".join(f"`{c}` {types[c]}" for c in names)
+    blocks = rows.select(*keys, "_block").distinct()
+    new_ones = leaders.select(
+        *keys, F.col("item").cast("string").alias("l_item"), F.col("item").alias("l_key"),
+        F.col("ord").alias("l_ord"), F.col("vector").alias("l_vector"),
+    )
+    dealt = _join_groups(new_ones, blocks, keys)
+
+    def run(own: pd.DataFrame, new: pd.DataFrame) -> pd.DataFrame:
+        if not len(own) or not len(new):
+            return own[names]
+        new = new.sort_values(["l_ord", "l_key"], kind="stable")
+        sims = _cosines(_unit(own["vector"]), _unit(new["l_vector"]))
+        best = sims.argmax(axis=1)  # the earliest of equals
+        sim = sims[np.arange(len(own)), best]
+        ids = new["l_item"].to_numpy()
+        own = own.copy()
+        leads = own["_id"].isin(set(ids)).to_numpy()
+        before = own["similarity"].astype(float).to_numpy()
+        better = (sim > threshold) & ~leads & ~own["leads"].to_numpy(dtype=bool) & ~(before >= sim)
+        leader = own["leader"].to_numpy(dtype=object)
+        leader[better] = ids[best[better]]
+        leader[leads] = own["_id"].to_numpy()[leads]
+        own["leader"] = leader
+        own["similarity"] = pd.Series(np.where(better, sim, before), index=own.index).astype(object).where(lambda s: s.notna(), None)
+        own["leads"] = own["leads"].to_numpy(dtype=bool) | leads
+        return own[names]
+
+    by = [*keys, "_block"]
+    mine = rows.select(*[F.col(c).alias(c) for c in names])
+    return mine.groupBy(*by).cogroup(dealt.groupBy(*by)).applyInPandas(run, schema)
 
 
 def leader_clusters(
@@ -88,124 +117,48 @@ def leader_clusters(
     order: str,
     vector: str,
     threshold: float = DEFAULT_THRESHOLD,
-    chunk_rows: int = CHUNK_ROWS,
-    dim: int | None = None,
+    round_rows: int = ROUND_ROWS,
 ) -> DataFrame:
     """Rows (group, vec_id, leader, similarity): the cluster of each usable vector.
 
-    ``leader`` is the id of the cluster's first vector; ``similarity`` is the
-    cosine at joining, null for a leader.
+    ``leader`` is the id of the cluster's first vector; ``similarity`` is the cosine
+    with it, null for a leader. ``round_rows`` bounds a round's work and has no
+    influence on the outcome. Ids are unique within a group, not across groups.
     """
     keys = list(group)
-    items = vectors.where(usable(F.col(vector))).select(
-        *keys,
-        F.col(vec_id).alias("item"),
-        F.col(order).alias("ord"),
-        F.lit(1.0).alias("weight"),
-        F.col(vector).cast("array<double>").alias("vector"),
+    rows = vectors.where(usable(F.col(vector))).select(
+        *keys, F.col(vec_id).alias("item"), F.col(order).alias("ord"), F.col(vector).cast("array<double>").alias("vector")
     )
-    counts = items.groupBy(*keys).agg(F.count("*").alias("n"))
-    oversized = counts.where(F.col("n") > chunk_rows).select(*keys, "n")
-    if oversized.isEmpty():
-        done = _pass(items.withColumn("chunk", F.lit(0)), keys, threshold)
-        return done.withColumnRenamed("item", vec_id)
-
-    # Null-safe on the keys: a group key such as the language may be null.
-    chunks = F.ceil(F.coalesce("n", F.lit(0)) / chunk_rows).cast("long")
-    chunked = _join_null_safe(items, oversized, keys).withColumn(
-        "chunk",
-        F.when(F.col("n").isNull(), F.lit(0).cast("long")).otherwise(
-            F.pmod(F.xxhash64("item"), F.greatest(chunks, F.lit(1)))
-        ),
-    )
-    assigned = materialize(_pass(chunked.drop("n"), keys, threshold), "leader-pass")
-    owner = assigned.select(*keys, "item", "leader")
-    width = dim or items.select(F.size("vector")).first()[0]
-    level_items = _micro_clusters(items, owner, keys, width)
-    stale = 0
-    for level in range(MAX_MERGE_LEVELS):
-        level_items = materialize(
-            _rechunk(level_items, keys, oversized, chunk_rows, level, width), "leader-level"
-        )
-        mapping = materialize(_pass(level_items, keys, threshold), "leader-merge")
-        owner = _compose(owner, mapping, keys)
-        merged, total = mapping.agg(F.count_if(F.col("item") != F.col("leader")), F.count("*")).first()
-        chunk_max = level_items.agg(F.max("chunk")).first()[0]
-        # Chunk 0 alone means every group was seen whole; two fruitless directions in
-        # a row mean that what is left is not similar.
-        stale = stale + 1 if merged < MIN_SHRINK * total else 0
-        if not chunk_max or stale == 2:
+    types = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    # Leaders are held as strings: a column of whole numbers with nulls would become inexact.
+    types |= {"leader": "string", "_id": "string", "similarity": "double", "leads": "boolean", "_block": "long"}
+    rows = materialize(rows, "leader-rows")
+    sizes = rows.groupBy(*keys).agg(F.ceil(F.count("*") / BLOCK_ROWS).alias("_blocks"))
+    state = _join_groups(rows, sizes, keys).select(
+        *keys, "item", "ord", "vector", F.lit(None).cast("string").alias("leader"), F.col("item").cast("string").alias("_id"),
+        F.lit(None).cast("double").alias("similarity"), F.lit(False).alias("leads"),
+        F.pmod(F.xxhash64("item"), F.col("_blocks")).alias("_block"),
+    )
+    while True:
+        undecided = state.where(F.col("leader").isNull())
+        leaders = materialize(_new_leaders(undecided, keys, types, threshold, round_rows), "leaders")
+        if leaders.isEmpty():
             break
-        level_items = _micro_clusters(
-            level_items, mapping.select(*keys, "item", "leader"), keys, width
-        )
-    final = _with_leader(assigned.drop("leader"), owner, keys)
-    return final.select(*keys, F.col("item").alias(vec_id), "leader", "similarity")
-
-
-def _join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
-    r = right.select(*[F.col(k).alias(f"_r_{k}") for k in keys], *[c for c in right.columns if c not in keys])
-    on = [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys]
-    return left.join(r, on, "left").drop(*[f"_r_{k}" for k in keys])
-
-
-def _with_leader(rows: DataFrame, owner: DataFrame, keys: Sequence[str]) -> DataFrame:
-    # Item ids are unique, so the id alone is the join key and nothing is skewed.
-    return rows.join(owner.select("item", "leader"), "item")
-
-
-def _compose(owner: DataFrame, mapping: DataFrame, keys: Sequence[str]) -> DataFrame:
-    step = mapping.select(F.col("item").alias("leader"), F.col("leader").alias("_next"))
-    return owner.join(step, "leader", "left").select(
-        *keys, "item", F.coalesce("_next", "leader").alias("leader")
-    )
-
-
-def _micro_clusters(items: DataFrame, owner: DataFrame, keys: Sequence[str], dim: int) -> DataFrame:
-    """Weighted mean of the items of each leader, combined on the map side."""
-    rows = items.join(owner.select("item", "leader"), "item")
-    w = F.col("weight")
-    mean = F.array(*[F.sum(F.col("vector")[i] * w) / F.sum(w) for i in range(dim)])
-    return (
-        rows.groupBy(*keys, "leader")
-        .agg(F.min("ord").alias("ord"), F.sum("weight").alias("weight"), mean.alias("vector"))
-        .withColumnRenamed("leader", "item")
-    )
-
-
-def _rechunk(
-    items: DataFrame, keys: Sequence[str], oversized: DataFrame, chunk_rows: int, level: int, dim: int
-) -> DataFrame:
-    """Chunks for the next level; groups that fit one chunk get just one.
-
-    Groups that were never cut have nothing left to merge and are dropped here.
-    """
-    marked = _join_null_safe(items, oversized.withColumn("_cut", F.lit(True)).drop("n"), keys)
-    rows = marked.where(F.col("_cut")).drop("_cut")
-    counts = rows.groupBy(*keys).agg(F.count("*").alias("n"))
-    total = counts.where(F.col("n") > chunk_rows).agg(F.sum("n")).first()[0] or 0
-    sized = _join_null_safe(rows, counts, keys)
-    if total == 0:
-        return sized.drop("n").withColumn("chunk", F.lit(0).cast("long"))
-    direction = np.random.default_rng(level).standard_normal(dim)
-    along = dot(F.col("vector"), F.array(*[F.lit(float(x)) for x in direction]))
-    ranged = sized.withColumn("_along", along).repartitionByRange(
-        math.ceil(total / chunk_rows), *keys, "_along", "item"
-    )
-    fits = F.col("n") <= chunk_rows
-    chunk = F.when(fits, F.lit(0)).otherwise(F.spark_partition_id() + 1).cast("long")
-    return ranged.withColumn("chunk", chunk).drop("n", "_along")
+        state = materialize(_compare(state, leaders, keys, types, threshold), "leader-state")
+    leader = F.col("leader").cast(types["item"]).alias("leader")
+    return state.select(*keys, F.col("item").alias(vec_id), leader, "similarity")
 
 
-def published_clusters(assigned: DataFrame, vectors: DataFrame, group: Sequence[str], vec_id: str, vector: str, dim: int) -> DataFrame:
+def published_clusters(assigned: DataFrame, vectors: DataFrame, group: Sequence[str], vec_id: str, vector: str) -> DataFrame:
     """Size, centroid and similarity statistics of clusters of at least four vectors."""
-    rows = assigned.join(vectors.select(vec_id, F.col(vector).alias("_v")), vec_id)
+    keys = [*group, vec_id]
+    rows = _join_groups(assigned, vectors.select(*keys, F.col(vector).alias("_v")), keys)
     sim = F.col("similarity")
     return (
         rows.groupBy(*group, "leader")
         .agg(
             F.count("*").alias("size"),
-            F.array(*[F.avg(F.col("_v")[i]) for i in range(dim)]).alias("centroid"),
+            mean_vector(F.col("_v")).alias("centroid"),
             F.coalesce(F.avg(sim), F.lit(0.0)).alias("average_similarity"),
             F.coalesce(F.var_samp(sim), F.lit(0.0)).alias("variance"),
         )

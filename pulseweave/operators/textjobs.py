@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pulseweave.functions import text as tx
-from pulseweave.functions.vector import cosine, dot_fixed, norm, scale, summed
+from pulseweave.functions.vector import cosine, dot, norm, scale, sum_vector
 from pulseweave.lineage import broadcast_if_small, materialize
 
 TOP_IDF = 3
@@ -83,16 +83,10 @@ def text_vectors(
     one without known tokens has a zero vector.
     """
     known = broadcast_if_small(model.select("token", "vector"))
-    scored = (
-        tokens.join(known, "token", "left")
-        .groupBy(doc_id)
-        .agg(
-            F.count("*").alias("_n"),
-            summed("vector", dim, lambda c: F.coalesce(F.sum(c), F.lit(0.0))).alias("vector"),
-        )
-        .where(F.col("_n") >= min_tokens)
-        .drop("_n")
-    )
+    scoreable = tokens.groupBy(doc_id).agg(F.count("*").alias("_n")).where(F.col("_n") >= min_tokens)
+    sums = tokens.join(known, "token").groupBy(doc_id).agg(sum_vector(F.col("vector")).alias("vector"))
+    zero = F.array_repeat(F.lit(0.0), dim)
+    scored = scoreable.join(sums, doc_id, "left").select(doc_id, F.coalesce("vector", zero).alias("vector"))
     empty = F.array().cast("array<double>")
     return (
         docs.select(doc_id)
@@ -102,7 +96,7 @@ def text_vectors(
 
 
 def text_vector_variants(
-    tokens: DataFrame, model: DataFrame, idf: DataFrame, doc_id: str, dim: int, top: int = TOP_IDF
+    tokens: DataFrame, model: DataFrame, idf: DataFrame, doc_id: str, top: int = TOP_IDF
 ) -> DataFrame:
     """Plain, idf-weighted, and top-idf vector of each document."""
     weights = broadcast_if_small(idf.select("token", "idf"))
@@ -116,11 +110,11 @@ def text_vector_variants(
     zero = F.lit(0.0)
     weight = F.coalesce("idf", zero)
     top_weight = F.when(F.col("_rank") <= top, weight).otherwise(zero)
-    dims = range(dim)
+    vector = F.col("vector")
     return ranked.groupBy(doc_id).agg(
-        F.array(*[F.sum(F.col("vector")[i]) for i in dims]).alias("plain"),
-        F.array(*[F.sum(F.col("vector")[i] * weight) for i in dims]).alias("weighted"),
-        F.array(*[F.sum(F.col("vector")[i] * top_weight) for i in dims]).alias("top_weighted"),
+        sum_vector(vector).alias("plain"),
+        sum_vector(scale(vector, weight)).alias("weighted"),
+        sum_vector(scale(vector, top_weight)).alias("top_weighted"),
     )
 
 
@@ -140,13 +134,13 @@ def split_by_position(indexed: DataFrame, index: str = "row_index") -> DataFrame
     )
 
 
-def doc_cosines(vectors: DataFrame, doc_id: str, query_id: int | str, dim: int) -> DataFrame:
+def doc_cosines(vectors: DataFrame, doc_id: str, query_id: int | str) -> DataFrame:
     """Cosine of every other document to one; the query is a one-row subquery."""
     probe = vectors.where(F.col(doc_id) == query_id).select("vector").scalar()
     rows = vectors.withColumn("_probe", probe).where(F.col(doc_id) != query_id)
     size = norm(F.col("vector")) * norm(F.col("_probe"))
     return rows.where(size > 0).select(
-        doc_id, (dot_fixed("vector", "_probe", dim) / size).alias("cosine")
+        doc_id, (dot(F.col("vector"), F.col("_probe")) / size).alias("cosine")
     )
 
 

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pulseweave.functions.vector import cosine, summed, usable
+from pulseweave.functions.vector import cosine, mean_vector, usable
 from pulseweave.lineage import broadcast_if_small, materialize
 
 BLOCK_ROWS = 4096
@@ -151,10 +151,10 @@ def _angle_slices(rows: DataFrame, block_rows: int) -> tuple[DataFrame, DataFram
     return placed.select("grp", "slice", "id", "v"), slices
 
 
-def centroids(members: DataFrame, by: Sequence[str], vector: str, dim: int) -> DataFrame:
+def centroids(members: DataFrame, by: Sequence[str], vector: str) -> DataFrame:
     """Mean vector and size per cluster."""
     return members.groupBy(*by).agg(
-        F.count("*").alias("size"), summed(vector, dim, F.avg).alias("centroid")
+        F.count("*").alias("size"), mean_vector(F.col(vector)).alias("centroid")
     )
 
 

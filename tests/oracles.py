@@ -8,22 +8,19 @@ import numpy as np
 
 
 def leader(vectors, threshold):
-    """(owner, similarity) of each vector in order; tiers of 10 and 4, then age."""
-    clusters = []  # [first, size, centroid]
+    """(owner, similarity) of each vector: leaders in order, then the best leader of the rest."""
+    rows = [np.asarray(v, float) / np.linalg.norm(v) for v in vectors]
+    leaders = []
+    for i, v in enumerate(rows):
+        if all(round(float(v @ rows[j]), 9) <= threshold for j in leaders):
+            leaders.append(i)
     out = []
-    for i, v in enumerate(vectors):
-        v = np.asarray(v, float)
-        ranked = sorted(clusters, key=lambda c: -(2 if c[1] >= 10 else 1 if c[1] >= 4 else 0))
-        for c in ranked:
-            sim = float(v @ c[2] / (np.linalg.norm(v) * np.linalg.norm(c[2])))
-            if sim > threshold:
-                c[2] = (c[2] * c[1] + v) / (c[1] + 1)
-                c[1] += 1
-                out.append((c[0], sim))
-                break
-        else:
-            clusters.append([i, 1, v])
+    for i, v in enumerate(rows):
+        if i in leaders:
             out.append((i, None))
+        else:
+            sim, j = max(((round(float(v @ rows[j]), 9), -j) for j in leaders))
+            out.append((-j, sim))
     return out
 
 

@@ -42,22 +42,35 @@ def test_leader_matches_plain_python(spark):
     assert {r.vec_id: (r.leader, None if r.similarity is None else round(r.similarity, 9)) for r in got} == want
 
 
-def test_oversized_group_is_whole_and_close(spark):
+def test_rounds_blocks_and_partitions_do_not_matter(spark, monkeypatch):
     rows, df = groups(spark)
-    out = cl.leader_clusters(df, ["g"], "vec_id", "vec_id", "vector", 0.8, chunk_rows=64)
-    got = {r.vec_id: r for r in out.collect()}
-    assert sorted(got) == [r[1] for r in rows]
-    group_of = {r[1]: r[0] for r in rows}
-    for r in got.values():
-        assert group_of[r.leader] == r.g and got[r.leader].leader == r.leader
-        assert r.similarity is None or r.similarity > 0.8
-    exact = {r.vec_id: r.leader for r in cl.leader_clusters(df, ["g"], "vec_id", "vec_id", "vector", 0.8).collect()}
-    for g in ("a", "b"):
-        mine = [i for i in got if group_of[i] == g]
-        assert all(got[i].leader == exact[i] for i in mine)
-    hot = [i for i in got if group_of[i] is None]
-    big = lambda part: sum(1 for n in np.unique([part[i] for i in hot], return_counts=True)[1] if n >= 10)
-    assert abs(big({i: got[i].leader for i in hot}) - big(exact)) <= 2
+    cut = lambda out: sorted(((r.g, r.vec_id, r.leader, r.similarity) for r in out.collect()), key=str)
+    want = cut(cl.leader_clusters(df, ["g"], "vec_id", "vec_id", "vector", 0.8))
+    assert len(want) == len(rows)
+    monkeypatch.setattr(cl, "BLOCK_ROWS", 16)
+    for parts, size in ((1, 7), (9, 1), (3, 64)):
+        out = cl.leader_clusters(df.repartition(parts), ["g"], "vec_id", "vec_id", "vector", 0.8, round_rows=size)
+        assert cut(out) == want
+
+
+def test_groups_may_share_ids(spark):
+    rng = np.random.default_rng(9)
+    rows = [(g, i, [float(x) for x in rng.normal(size=3)]) for g in ("p", "q", None) for i in range(50)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = {(r.g, r.vec_id): r.leader for r in cl.leader_clusters(df, ["g"], "vec_id", "vec_id", "vector", 0.5, round_rows=8).collect()}
+    assert len(got) == 150
+    for g in ("p", "q", None):
+        mine = [r for r in rows if r[0] == g]
+        assert [got[g, i] for i in range(50)] == [o for o, _ in oracles.leader([r[2] for r in mine], 0.5)]
+    out = cl.leader_clusters(df, ["g"], "vec_id", "vec_id", "vector", 0.5)
+    sizes = cl.published_clusters(out, df, ["g"], "vec_id", "vector").collect()
+    assert all(r["size"] == sum(1 for k, v in got.items() if k[0] == r.g and v == r.leader) for r in sizes)
+
+
+def test_wide_centroids(spark):
+    df = spark.range(40).select((F.col("id") % 2).alias("g"), F.transform(F.sequence(F.lit(1), F.lit(4096)), lambda i: (i + F.col("id")).cast("double")).alias("vector"))
+    rows = {r.g: r for r in vj.centroids(df, ["g"], "vector").collect()}
+    assert rows[0]["size"] == 20 and rows[0]["centroid"][0] == 20.0 and len(rows[1]["centroid"]) == 4096
 
 
 @pytest.mark.parametrize("block", [8, 4096])

@@ -350,7 +350,7 @@ def text_vector_variants(spark, sf):
     tokens = materialize(v.doc_tokens(spark, sf), "tokens")
     df = tj.document_frequency(tokens)
     weights = tj.idf_weights(df, tj.document_count(docs(spark, sf).where("lang = 'en'")), min_df=20)
-    rows = tj.text_vector_variants(tokens, v.word_model(df), weights, "doc_id", 4)
+    rows = tj.text_vector_variants(tokens, v.word_model(df), weights, "doc_id")
     return rows.select(
         "doc_id", F.col("plain")[0].alias("p0"), F.col("plain")[1].alias("p1"),
         F.round(F.col("weighted")[0], 6).alias("w0"), F.round(F.col("weighted")[3], 6).alias("w3"),
@@ -397,7 +397,7 @@ def train_doc_vectors(spark, sf):
 )
 def most_similar_docs(spark, sf):
     vectors = materialize(text_vector_table(spark, sf), "doc-vectors")
-    cos = materialize(tj.doc_cosines(vectors, "doc_id", 1, 4), "doc-cosines")
+    cos = materialize(tj.doc_cosines(vectors, "doc_id", 1), "doc-cosines")
     return tj.most_similar_docs(cos, "doc_id")
 
 

@@ -75,26 +75,63 @@ def similarity_pairs(spark, sf):
 
 def assigned(spark, sf, **kw):
     return cl.leader_clusters(
-        vectors(spark, sf), ["label"], "vec_id", "vec_id", "vector", 0.2, dim=DIM, **kw
+        vectors(spark, sf), ["label"], "vec_id", "vec_id", "vector", 0.2, **kw
     )
 
 
-@case("leader_clusters")
+# The rule followed row by row: the list of leaders grows along each label's order.
+v.cte(
+    "led",
+    """SELECT label, last(leaders ORDER BY pos) AS leaders FROM (
+    WITH RECURSIVE o AS (
+      SELECT label, vec_id, e, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS pos FROM vecs),
+    r AS (
+      SELECT label, pos, [struct_pack(id := vec_id, e := e)] AS leaders FROM o WHERE pos = 1
+      UNION ALL
+      SELECT o.label, o.pos, CASE WHEN len(list_filter(r.leaders,
+          lambda l: round(list_cosine_similarity(l.e, o.e), 9) > 0.2)) = 0
+        THEN list_append(r.leaders, struct_pack(id := o.vec_id, e := o.e)) ELSE r.leaders END
+      FROM r JOIN o ON o.label = r.label AND o.pos = r.pos + 1)
+    SELECT label, pos, leaders FROM r) GROUP BY label""",
+    "vecs",
+)
+v.cte(
+    "assigned",
+    """SELECT label, vec_id, arg_min(lead, (-sim, lead)) AS leader,
+      CASE WHEN arg_min(lead, (-sim, lead)) = vec_id THEN NULL ELSE max(sim) END AS similarity
+    FROM (SELECT a.label, a.vec_id, l.id AS lead,
+            CASE WHEN l.id = a.vec_id THEN 2.0 ELSE round(list_cosine_similarity(l.e, a.e), 9) END AS sim
+          FROM vecs a JOIN (SELECT label, unnest(leaders) AS l FROM led) USING (label))
+    GROUP BY label, vec_id""",
+    "led",
+)
+LEADER_SQL = v.sql("SELECT label, vec_id, leader, round(similarity, 6) AS similarity FROM assigned", "assigned")
+
+
+@case("leader_clusters", LEADER_SQL)
 def leader_clusters(spark, sf):
-    return assigned(spark, sf).select("label", "vec_id", "leader", F.round("similarity", 9).alias("similarity"))
+    return assigned(spark, sf).select("label", "vec_id", "leader", F.round("similarity", 6).alias("similarity"))
 
 
-@case("leader_clusters_distributed")
+@case("leader_clusters_distributed", LEADER_SQL)
 def leader_clusters_distributed(spark, sf):
-    """The same with chunks far smaller than the groups."""
-    rows = assigned(spark, sf, chunk_rows=40)
-    return rows.select("label", "vec_id", "leader", F.round("similarity", 9).alias("similarity"))
+    """The same in rounds far smaller than the groups."""
+    rows = assigned(spark, sf, round_rows=16)
+    return rows.select("label", "vec_id", "leader", F.round("similarity", 6).alias("similarity"))
 
 
-@case("published_clusters")
+@case(
+    "published_clusters",
+    v.sql(
+        """SELECT label, leader, count(*) AS size, round(coalesce(avg(similarity), 0), 6) AS average_similarity,
+          round(coalesce(var_samp(similarity), 0), 6) AS variance, round(avg(e[1]), 6) AS c0
+        FROM assigned JOIN vecs USING (label, vec_id) GROUP BY label, leader HAVING count(*) >= 4""",
+        "assigned",
+    ),
+)
 def published_clusters(spark, sf):
     out = cl.published_clusters(
-        assigned(spark, sf), vectors(spark, sf), ["label"], "vec_id", "vector", DIM
+        assigned(spark, sf), vectors(spark, sf), ["label"], "vec_id", "vector"
     )
     return out.select(
         "label", "leader", "size", F.round("average_similarity", 6).alias("average_similarity"),
@@ -106,29 +143,29 @@ def published_clusters(spark, sf):
     "cluster_size_tiers",
     v.sql(
         """SELECT cluster_id, size, CASE WHEN size >= 10 THEN 'high' ELSE 'medium' END AS tier
-        FROM (SELECT user_id AS cluster_id, count(*) AS size FROM events WHERE value > 45 GROUP BY user_id)
+        FROM (SELECT user_id * 100 + event_id % 60 AS cluster_id, count(*) AS size FROM events GROUP BY 1)
         WHERE size >= 4""",
     ),
 )
 def cluster_size_tiers(spark, sf):
-    sizes = v.table(spark, sf, "events").where("value > 45").groupBy(F.col("user_id").alias("cluster_id")).agg(
-        F.count("*").alias("size")
-    )
+    # Sixty clusters of each user's events, so that sizes fall in every tier.
+    cluster = F.col("user_id") * 100 + F.col("event_id") % 60
+    sizes = v.table(spark, sf, "events").groupBy(cluster.alias("cluster_id")).agg(F.count("*").alias("size"))
     return vj.cluster_size_tiers(sizes)
 
 
 @case(
     "centroids",
     v.sql(
-        "SELECT label, count(*) AS size, " + ", ".join(f"round(avg(e[{i + 1}]), 8) AS c{i}" for i in (0, 1, 31, 63))
+        "SELECT label, count(*) AS size, " + ", ".join(f"round(avg(e[{i + 1}]), 8) AS c{i}" for i in range(DIM))
         + " FROM vecs GROUP BY label",
         "vecs",
     ),
 )
 def centroids(spark, sf):
-    out = vj.centroids(vectors(spark, sf), ["label"], "vector", DIM)
+    out = vj.centroids(vectors(spark, sf), ["label"], "vector")
     return out.select(
-        "label", "size", *[F.round(F.col("centroid")[i], 8).alias(f"c{i}") for i in (0, 1, 31, 63)]
+        "label", "size", *[F.round(F.col("centroid")[i], 8).alias(f"c{i}") for i in range(DIM)]
     )
 
 
@@ -157,9 +194,9 @@ def image_vectors(spark, sf):
 @case(
     "vector_scatter",
     v.sql(
-        """WITH c AS (SELECT label, list_transform(range(64), lambda i: 0) AS z,
-            [avg(e[1]), avg(e[2]), avg(e[3]), avg(e[4])] AS centroid FROM vecs GROUP BY label),
-        p AS (SELECT label, unnest([0, 1, 2, 3]) AS idx, unnest(centroid) AS value FROM c ORDER BY label)
+        "WITH c AS (SELECT label, [" + ", ".join(f"avg(e[{i + 1}])" for i in range(DIM)) + """] AS centroid
+            FROM vecs GROUP BY label),
+        p AS (SELECT label, unnest(range(64)) AS idx, unnest(centroid) AS value FROM c ORDER BY label)
         SELECT label, idx, round(value, 8) AS value,
           round((SELECT list_min(centroid) FROM c ORDER BY label LIMIT 1), 8) AS y_min,
           round((SELECT list_max(centroid) FROM c ORDER BY label LIMIT 1), 8) AS y_max
@@ -168,7 +205,7 @@ def image_vectors(spark, sf):
     ).replace("\nWITH c AS", ",\nc AS"),
 )
 def vector_scatter(spark, sf):
-    cents = vj.centroids(vectors(spark, sf), ["label"], "vector", 4).withColumn("data_type", F.lit("text"))
+    cents = vj.centroids(vectors(spark, sf), ["label"], "vector").withColumn("data_type", F.lit("text"))
     return vj.vector_scatter(cents, "text", 7, "label").select(
         "label", "idx", *[F.round(c, 8).alias(c) for c in ("value", "y_min", "y_max")]
     )
