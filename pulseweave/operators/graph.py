@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 from pulseweave.functions.hashing import string_hash32
 from pulseweave.lineage import broadcast_if_small, materialize
 
-MAX_LEVELS = 10
-MAX_ROUNDS = 16
 MIN_GAIN = 1e-7
+#: Rounds without a gain after which a level ends; the halves of the nodes take turns.
+PATIENCE = 4
 
 
 def undirected(edges: DataFrame) -> DataFrame:
@@ -115,13 +115,16 @@ def neighbour_partition(edges: DataFrame) -> DataFrame:
     )
 
 
-def _local_moves(edges: DataFrame, start: DataFrame | None, max_rounds: int) -> DataFrame:
+def _local_moves(edges: DataFrame, start: DataFrame | None) -> DataFrame:
     """Moves single nodes to neighbouring communities while modularity rises.
 
     Per round a hash splits the nodes in two halves and one half may move, and
     of two single nodes only the one with the larger id joins the other, so that
-    nodes do not swap places for ever. Tables of a round that are small are
-    broadcast; larger ones are shuffled on (g, node).
+    nodes do not swap places for ever. A round's table also holds each node's share
+    of the modularity before its moves; the rounds end when two in a row moved
+    nothing, or when ``PATIENCE`` rounds gained less than ``MIN_GAIN``, and the best
+    state is kept. Tables of a round that are small are broadcast; larger ones are
+    shuffled on (g, node).
     """
     seen = both_ways(edges)
     nodes = seen.groupBy("g", "n").agg(F.sum("w").alias("k"))
@@ -130,11 +133,11 @@ def _local_moves(edges: DataFrame, start: DataFrame | None, max_rounds: int) ->
     if start is not None:
         given = start.select("g", F.col("node").alias("n"), F.col("community").alias("_c"))
         state = state.join(given, ["g", "n"], "left").withColumn("c", F.coalesce("_c", "c")).drop("_c")
-    state = materialize(state.withColumn("moved", F.lit(False)), "graph-state")
+    state = materialize(state, "graph-state")
     links = materialize(seen.where(F.col("n") != F.col("m")), "graph-links")
-    still = 0
-    for turn in range(max_rounds):
-        small = broadcast_if_small(state.drop("moved"))
+    still, turn, best_q, best_state, since = 0, 0, float("-inf"), None, 0
+    while True:
+        small = broadcast_if_small(state)
         tot = state.groupBy("g", "c").agg(F.sum("k").alias("tot"), F.count("*").alias("size"))
         around = links.join(
             small.select("g", F.col("n").alias("m"), "c"), ["g", "m"]
@@ -161,27 +164,40 @@ def _local_moves(edges: DataFrame, start: DataFrame | None, max_rounds: int) ->
                 ),
             )
         )
+        share = (F.col("w_in") - F.col("k") * F.col("tot") / F.col("two_m")) / F.col("two_m")
         best = rated.groupBy("g", "n", "k", "two_m", "c_own").agg(
             F.max("gain").alias("best_gain"),
             F.max(F.when(F.col("own"), F.col("gain"))).alias("own_gain"),
+            F.max(F.when(F.col("own"), share)).alias("q"),
             # Highest gain first, smallest community id among equals.
             F.min_by("c", F.struct(-F.col("gain"), F.col("c"))).alias("best"),
         )
         # Not a CRC: that one is linear, so two nodes would stay in step for ever.
         coin = F.xxhash64("n", F.lit(turn // 2))
         move = (F.col("best_gain") > F.col("own_gain") + MIN_GAIN) & (F.pmod(coin, F.lit(2)) == turn % 2)
-        state = materialize(
+        after = materialize(
             best.select(
-                "g", "n", "k", "two_m",
+                "g", "n", "k", "two_m", F.col("c_own").alias("before"), "q",
                 F.when(move, F.col("best")).otherwise(F.col("c_own")).alias("c"),
                 move.alias("moved"),
             ),
             "graph-state",
         )
-        still = still + 1 if state.where("moved").isEmpty() else 0
-        if still == 2:
+        q, moved = after.agg(F.sum("q"), F.count_if("moved")).first()
+        if q is None:
             break
-    return state.select("g", F.col("n").alias("node"), F.col("c").alias("community"))
+        if q > best_q + MIN_GAIN:
+            best_q, best_state, since = q, after, 0
+        else:
+            since += 1
+        still = 0 if moved else still + 1
+        state = after.select("g", "n", "k", "two_m", "c")
+        turn += 1
+        if still == 2 or since == PATIENCE:
+            break
+    if best_state is None:
+        return state.select("g", F.col("n").alias("node"), F.col("c").alias("community"))
+    return best_state.select("g", F.col("n").alias("node"), F.col("before").alias("community"))
 
 
 def _best_level(edges: DataFrame, partitions: Sequence[DataFrame]) -> DataFrame:
@@ -202,38 +218,41 @@ def _best_level(edges: DataFrame, partitions: Sequence[DataFrame]) -> DataFrame:
     return tagged.join(best, ["g", "level"]).select("g", "node", "community")
 
 
-def louvain_communities(
-    edges: DataFrame,
-    init: DataFrame | None = None,
-    max_levels: int = MAX_LEVELS,
-    max_rounds: int = MAX_ROUNDS,
-) -> DataFrame:
+def louvain_communities(edges: DataFrame, init: DataFrame | None = None, nodes: DataFrame | None = None) -> DataFrame:
     """Partition (g, node, community) that maximises modularity, level by level.
 
-    Each level moves nodes, contracts the graph and goes on with the smaller
-    one, until nothing merges; the best level of each graph is kept. State
-    between rounds is a table in shared storage; the driver only sees whether
-    anything moved.
+    Each level moves nodes until the gain ends, contracts the graph and goes on with
+    the smaller one, until nothing merges; the best level of each graph is kept.
+    ``nodes`` (g, node) may name nodes without an edge: each is a community of its
+    own. State between rounds is a table in shared storage; the driver only sees how
+    many nodes moved and the modularity.
     """
     level_edges = materialize(undirected(edges), "graph-edges")
     base = level_edges.withColumnsRenamed({"a": "source", "b": "target", "w": "weight"})
     so_far: list[DataFrame] = []
-    for level in range(max_levels):
-        part = _local_moves(level_edges, init if level == 0 else None, max_rounds)
-        nodes, merged = part.agg(F.count("*"), F.count_distinct("g", "community")).first()
-        if so_far and nodes == merged:
+    while True:
+        part = _local_moves(level_edges, None if so_far else init)
+        n_nodes, merged = part.agg(F.count("*"), F.count_distinct("g", "community")).first()
+        if so_far and n_nodes == merged:
             break
         so_far.append(
             materialize(partition_at_level([so_far[-1], part]), "graph-level") if so_far else part
         )
-        if nodes == merged:
+        if n_nodes == merged:
             break
         plain = level_edges.withColumnsRenamed({"a": "source", "b": "target", "w": "weight"})
         level_edges = materialize(
             contract_graph(plain, part).withColumnsRenamed({"source": "a", "target": "b", "weight": "w"}),
             "graph-edges",
         )
-    return _best_level(base, so_far)
+    found = _best_level(base, so_far)
+    if nodes is None:
+        return found
+    linked = found.select(F.col("g").alias("_g"), F.col("node").alias("_node"))
+    alone = nodes.select("g", "node").distinct().join(
+        linked, (F.col("g") == F.col("_g")) & (F.col("node") == F.col("_node")), "left_anti"
+    )
+    return found.unionByName(alone.select("g", "node", F.col("node").alias("community")))
 
 
 def event_authors(

@@ -77,9 +77,13 @@ def detect_events(
     # Read several times below; written once as a table.
     members = materialize(members, "members")
     found = materialize(links.cluster_links(members, s.min_overlap), "links")
-    _, kept = links.prune_unlikely(clusters, found) if s.prune else (clusters, found)
+    likely, kept = links.prune_unlikely(clusters, found) if s.prune else (clusters, found)
     edges = kept.select(F.col("end_time_ms").alias("g"), "source", "target", "weight")
-    partition = graph.louvain_communities(edges)
+    # A linked cluster that lost all its links stays, as a community of its own.
+    ends = [found.select(F.col("end_time_ms").alias("g"), F.col(e).alias("node")) for e in ("source", "target")]
+    nodes = ends[0].union(ends[1]).distinct()
+    nodes = nodes.join(likely.select(F.col("cluster_id").alias("node")), "node", "left_semi")
+    partition = graph.louvain_communities(edges, nodes=nodes)
 
     ec = materialize(ev.event_clusters(partition, clusters), "event-clusters")
     rolled = ev.event_size_gate(ev.event_rollup(ec), s.min_clusters)

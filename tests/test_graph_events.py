@@ -52,6 +52,16 @@ def test_planted_graph_modularity(spark):
     assert gr.modularity(df, part).first().modularity == pytest.approx(q)
 
 
+def test_long_path_and_lone_nodes(spark):
+    edges = [(f"n{i:04d}", f"n{i + 1:04d}", 1.0) for i in range(300)]
+    nodes = spark.createDataFrame([(1, "alone"), (1, "n0003"), (2, "other")], "g long, node string")
+    part = gr.louvain_communities(edges_of(spark, edges), nodes=nodes)
+    got = {(r.g, r.node): r.community for r in part.collect()}
+    assert len(got) == 303 and got[1, "alone"] == "alone" and got[2, "other"] == "other"
+    own = {n: c for (g, n), c in got.items() if n.startswith("n")}
+    assert oracles.modularity(edges, own) >= 0.97 * oracles.modularity(edges, oracles.greedy_communities(edges))
+
+
 def test_init_partition_is_used(spark):
     init = spark.createDataFrame([(1, n, "z") for n in "abc"] + [(1, n, "y") for n in "def"], "g long, node string, community string")
     assert parts(gr.louvain_communities(edges_of(spark, TRIANGLES), init).collect()) == [["a", "b", "c"], ["d", "e", "f"]]

@@ -173,6 +173,47 @@ def louvain_communities(spark, sf):
     return gr.louvain_communities(link_edges(spark, sf))
 
 
+@case(
+    "louvain_cliques",
+    """
+    SELECT n_regionkey AS g, s_suppkey AS node,
+      min(s_suppkey) OVER (PARTITION BY s_nationkey, s_suppkey // 250) AS first_member
+    FROM supplier JOIN nation ON s_nationkey = n_nationkey""",
+)
+def louvain_cliques(spark, sf):
+    """Suppliers of one nation and id range all linked: the communities are these cliques, lone suppliers included."""
+    nations = v.table(spark, sf, "nation").select(F.col("n_nationkey").alias("nation"), F.col("n_regionkey").alias("g"))
+    own = v.table(spark, sf, "supplier").select(
+        F.col("s_suppkey").alias("node"), F.col("s_nationkey").alias("nation"), F.floor(F.col("s_suppkey") / 250).alias("part")
+    )
+    own = own.join(nations, "nation")
+    other = own.select("nation", "part", F.col("node").alias("target"))
+    edges = own.withColumnRenamed("node", "source").join(other, ["nation", "part"]).where("source < target")
+    part = gr.louvain_communities(edges.select("g", "source", "target", F.lit(1.0).alias("weight")), nodes=own.select("g", "node"))
+    first = part.groupBy("g", "community").agg(F.min("node").alias("first_member"))
+    return part.join(first, ["g", "community"]).select("g", "node", "first_member")
+
+
+@case(
+    "louvain_cover",
+    v.sql(
+        """SELECT end_time_ms AS g, count(DISTINCT node) AS n_nodes, true AS beats_neighbours
+        FROM (SELECT end_time_ms, unnest([source, target]) AS node FROM links) GROUP BY end_time_ms""",
+        "links",
+    ),
+)
+def louvain_cover(spark, sf):
+    """Every linked cluster has one community, and modularity is at least that of the neighbour partition."""
+    edges = materialize(link_edges(spark, sf), "cover-edges")
+    part = materialize(gr.louvain_communities(edges), "cover-partition")
+    q = gr.modularity(edges, part)
+    least = gr.modularity(edges, gr.neighbour_partition(edges)).withColumnRenamed("modularity", "least")
+    nodes = part.groupBy("g").agg(F.count("*").alias("n_nodes"))
+    return nodes.join(q, "g").join(least, "g").select(
+        "g", "n_nodes", (F.col("modularity") >= F.col("least") - 1e-9).alias("beats_neighbours")
+    )
+
+
 # Buyers and suppliers of small orders as a graph per market: a larger test graph.
 v.cte(
     "trade",
