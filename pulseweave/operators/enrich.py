@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pulseweave.functions.text import WORD_RUN
-from pulseweave.lineage import broadcast_if_small
+from pulseweave.lineage import broadcast_if_small, materialize
 
 Enricher = Callable[[DataFrame], DataFrame]
 
@@ -27,10 +27,7 @@ def enricher(name: str) -> Enricher:
     return _ENRICHERS[name]
 
 
-MAX_GRAM = 3
-
-
-def word_grams(words: Column, longest: int = MAX_GRAM) -> Column:
+def word_grams(words: Column, longest: int) -> Column:
     """Words of a text and their neighbours joined, up to ``longest`` words.
 
     Each longer run is the shorter one zipped with the words further on, so the
@@ -45,16 +42,20 @@ def word_grams(words: Column, longest: int = MAX_GRAM) -> Column:
 
 def extract_entities(
     docs: DataFrame, doc_id: str, text: str, gazetteer: DataFrame, tag: str | None = None,
-    longest: int = MAX_GRAM,
+    longest: int | None = None,
 ) -> DataFrame:
     """Entities (doc_id, label, tag) named in the gazetteer, unique per document.
 
     ``gazetteer`` holds lower-case ``label`` and ``tag`` (PERSON, ORGANIZATION,
-    LOCATION or DATE).
+    LOCATION or DATE). Names of up to ``longest`` words are found, all of them
+    unless it is given.
     """
     names = gazetteer.select("label", "tag")
     if tag is not None:
         names = names.where(F.col("tag") == tag)
+    if longest is None:
+        n_words = F.size(F.regexp_extract_all("label", F.lit(WORD_RUN), 1))
+        longest = names.agg(F.max(n_words)).first()[0] or 1
     words = docs.select(doc_id, F.regexp_extract_all(F.lower(text), F.lit(WORD_RUN), 1).alias("words"))
     grams = words.select(doc_id, F.explode_outer(word_grams(F.col("words"), longest)).alias("label"))
     return grams.join(broadcast_if_small(names.distinct()), "label").select(doc_id, "label", "tag")
@@ -78,6 +79,7 @@ def geocode_cached(
     found = provider(misses) if callable(provider) else misses.join(provider, "place")
     w = Window.partitionBy("place").orderBy("rank")
     top = found.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r", "rank")
+    top = materialize(top, "geocoded")  # both results hang on it; the provider is asked once
     return (
         hits.withColumn("from_cache", F.lit(True)).unionByName(
             top.withColumn("from_cache", F.lit(False)), allowMissingColumns=True
@@ -98,7 +100,7 @@ def translate_cached(
     hits = asked.join(cache.select(*keys, "result"), keys)
     misses = asked.join(cache.select(*keys), keys, "left_anti")
     found = provider(misses) if callable(provider) else misses.join(provider, keys)
-    fresh = found.select(*keys, "result")
+    fresh = materialize(found.select(*keys, "result"), "translated")  # the provider is asked once
     return hits.unionByName(fresh), fresh
 
 

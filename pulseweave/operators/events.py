@@ -19,7 +19,6 @@ from pulseweave.lineage import broadcast_if_small
 
 MIN_CLUSTERS = 3
 TOP_TERMS = 100
-TEXT_SAMPLE, IMAGE_SAMPLE = 30, 100
 MIN_WORD_COUNT = 5
 GEO_THRESHOLD = 5.0
 MIN_MATCH_SCORE = 0.6
@@ -79,28 +78,34 @@ def sample_cluster_posts(members: DataFrame, n: int, seed: str = "", key: Sequen
     return members.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= n).drop("_rank")
 
 
+def _chosen(members: DataFrame, n: int | None, seed: str) -> DataFrame:
+    """All distinct member rows, or those of a sample per cluster."""
+    rows = members.select("cluster_id", "post_id")
+    return (rows if n is None else sample_cluster_posts(rows, n, seed)).distinct()
+
+
 def sampled_event_posts(
-    ec: DataFrame, members: DataFrame, posts: DataFrame, n: int = TEXT_SAMPLE, seed: str = ""
+    ec: DataFrame, members: DataFrame, posts: DataFrame, n: int | None = None, seed: str = ""
 ) -> DataFrame:
-    """Sampled posts of text and tag clusters, of the cluster's own kind."""
+    """Posts of text and tag clusters, of the cluster's own kind; all of them unless ``n`` asks for a sample."""
     wanted = ec.where(F.col("data_type") != "image").select("event_id", "cluster_id", "data_type")
-    picked = (
-        sample_cluster_posts(members.select("cluster_id", "post_id"), n, seed)
-        .distinct()
-        .join(wanted, "cluster_id")
-    )
+    picked = _chosen(members, n, seed).join(wanted, "cluster_id")
     return picked.join(
         posts.withColumnRenamed("featurizer", "data_type"), ["post_id", "data_type"]
     )
 
 
 def event_words(sampled: DataFrame, stopwords: Iterable[str] = STOPWORDS_EN) -> DataFrame:
-    """Display tokens of sampled posts without stop words, with their kind."""
-    rows = sampled.select(
-        "event_id", "cluster_id", "post_id",
-        F.explode_outer(display_tokens(F.col("text"), F.col("lang"))).alias("word"),
-    )
-    return rows.where(~F.col("word").isin(list(stopwords))).withColumn("kind", word_kind(F.col("word")))
+    """Display tokens of the events' posts without stop words, with their kind.
+
+    A post is tokenized once, however many clusters it is in.
+    """
+    keys = ["post_id", "data_type"]
+    texts = sampled.select(*keys, "text", "lang").dropDuplicates(keys)
+    words = texts.select(*keys, F.explode(display_tokens(F.col("text"), F.col("lang"))).alias("word"))
+    words = words.where(~F.col("word").isin(list(stopwords))).withColumn("kind", word_kind(F.col("word")))
+    places = sampled.select("event_id", "cluster_id", *keys)
+    return places.join(words, keys).select("event_id", "cluster_id", "post_id", "word", "kind")
 
 
 def event_keywords(words: DataFrame, min_count: int = MIN_WORD_COUNT, n: int = TOP_TERMS) -> DataFrame:
@@ -121,10 +126,10 @@ def event_urls(words: DataFrame) -> DataFrame:
     return words.where(F.col("kind") == "url").select("event_id", url_of(F.col("word")).alias("url")).distinct()
 
 
-def event_images(ec: DataFrame, members: DataFrame, posts: DataFrame, n: int = IMAGE_SAMPLE, seed: str = "") -> DataFrame:
-    """Distinct pictures of sampled posts, the first one of each post."""
+def event_images(ec: DataFrame, members: DataFrame, posts: DataFrame, n: int | None = None, seed: str = "") -> DataFrame:
+    """Distinct pictures of the events' posts, the first one of each post."""
     picked = (
-        sample_cluster_posts(members.select("cluster_id", "post_id"), n, seed)
+        _chosen(members, n, seed)
         .join(ec.select("event_id", "cluster_id"), "cluster_id")
         .select("event_id", "post_id")
         .distinct()
@@ -137,12 +142,13 @@ def event_images(ec: DataFrame, members: DataFrame, posts: DataFrame, n: int = I
     return picked.join(pictures, "post_id").select("event_id", "image_url").distinct()
 
 
-def event_campaigns(ec: DataFrame, sampled: DataFrame, n: int = TEXT_SAMPLE) -> DataFrame:
-    """Share of sampled posts that carry each campaign."""
+def event_campaigns(ec: DataFrame, sampled: DataFrame, n: int | None = None) -> DataFrame:
+    """Share of the posts that carry each campaign; ``n`` is the size of the sample, if it is one."""
+    size = F.col("size") if n is None else F.least("size", F.lit(n))
     totals = (
         ec.where(F.col("data_type") != "image")
         .groupBy("event_id")
-        .agg(F.sum(F.least("size", F.lit(n))).alias("total"))
+        .agg(F.sum(size).alias("total"))
     )
     counts = (
         sampled.select("event_id", F.explode("campaigns").alias("campaign"))

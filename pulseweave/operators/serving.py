@@ -55,15 +55,17 @@ def link_timeline(monitors: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def sampled_event_members(
-    event_clusters: DataFrame, members: DataFrame, n: int, seed: str = ""
+    event_clusters: DataFrame, members: DataFrame, n: int | None = None, seed: str = ""
 ) -> DataFrame:
-    """At most ``n`` repeatable random distinct posts per event."""
+    """Distinct posts per event; with ``n`` at most that many repeatable random ones."""
     rows = (
         event_clusters.select("event_id", "cluster_id")
         .join(members.select("cluster_id", "post_id"), "cluster_id")
         .select("event_id", "post_id")
         .distinct()
     )
+    if n is None:
+        return rows
     w = Window.partitionBy("event_id").orderBy(sample_key(F.col("post_id"), seed), "post_id")
     return rows.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n).drop("_r")
 
@@ -71,7 +73,7 @@ def sampled_event_members(
 def search_events(
     events: DataFrame, hashtags: DataFrame, sampled_posts: DataFrame, pattern: str
 ) -> DataFrame:
-    """Events whose tags, sampled texts or author names match, ignoring case.
+    """Events whose tags, texts or author names match, ignoring case.
 
     ``sampled_posts`` holds (event_id, text, screen_name).
     """

@@ -244,8 +244,7 @@ def cloud_words(text: Column, stopwords: Iterable[str] = CLOUD_STOPWORDS) -> Col
     out = F.lower(text)
     for mark in ("#", "@", "http"):
         out = F.regexp_replace(out, mark + r"\S+", " ")
-    pattern = "|".join(rf"\s{w}\s" for w in stopwords)
-    out = F.regexp_replace(out, f"({pattern})", " ")
+    out = F.regexp_replace(out, rf"\s(?:{'|'.join(stopwords)})\s", " ")
     out = F.trim(F.regexp_replace(out, r"\s+", " "))
     return F.split(F.translate(out, "!.,:;?", "      "), " ")
 
@@ -271,26 +270,18 @@ def word_cloud(texts: DataFrame, text: str) -> DataFrame:
 
 
 def joined_terms(clusters: DataFrame, by: Sequence[str], term: str = "term") -> DataFrame:
-    """Distinct terms of each selection of clusters in one line.
+    """Distinct terms of each selection of clusters as rows in reading order (``position`` from 1).
 
-    The line is what one view shows, so the selection is what one viewer picked.
+    A view joins them with commas; rows have no bound on how many there are.
     """
-    return (
-        clusters.where(F.col(term).isNotNull())
-        .select(*by, term)
-        .distinct()
-        .groupBy(*by)
-        .agg(F.array_join(F.array_sort(F.collect_list(term)), ", ").alias("terms"))
-    )
+    rows = clusters.where(F.col(term).isNotNull()).select(*by, F.col(term).alias("part")).distinct()
+    return rows.withColumn("position", F.row_number().over(Window.partitionBy(*by).orderBy("part")))
 
 
-def joined_texts(sampled: DataFrame, by: Sequence[str], order: str, text: str = "text") -> DataFrame:
-    """All texts of a bounded sample in one line."""
-    entry = F.struct(F.col(order), F.col(text).alias("t"))
-    listed = F.array_sort(F.collect_list(entry))
-    return sampled.groupBy(*by).agg(
-        F.array_join(F.transform(listed, lambda e: e["t"]), " ").alias("all_text")
-    )
+def joined_texts(posts: DataFrame, by: Sequence[str], order: str, text: str = "text") -> DataFrame:
+    """All texts of each selection as rows in reading order."""
+    w = Window.partitionBy(*by).orderBy(order)
+    return posts.select(*by, F.col(text).alias("part"), F.row_number().over(w).alias("position"))
 
 
 def kinds_of_tokens(docs: DataFrame, doc_id: str, tokens: Column) -> DataFrame:

@@ -54,8 +54,8 @@ v.cte(
     "doc_sampled",
     """
     SELECT DISTINCT e.event_id, e.cluster_id, p.post_id, p.text, p.lang, p.campaigns
-    FROM doc_sample s JOIN doc_ec e ON e.cluster_id = s.cluster_id JOIN text_posts p ON p.post_id = s.post_id""",
-    "doc_sample",
+    FROM doc_members s JOIN doc_ec e ON e.cluster_id = s.cluster_id JOIN text_posts p ON p.post_id = s.post_id""",
+    "doc_members",
     "doc_ec",
     "text_posts",
 )
@@ -117,10 +117,9 @@ def event_urls(spark, sf):
 @case(
     "event_images",
     v.sql(
-        """SELECT DISTINCT e.event_id, p.primary_image_url AS image_url FROM (
-          SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY md5(CAST(post_id AS VARCHAR)), post_id) AS r
-          FROM doc_members) m JOIN doc_ec e ON e.cluster_id = m.cluster_id
-        JOIN text_posts p ON p.post_id = m.post_id WHERE r <= 100""",
+        """SELECT DISTINCT e.event_id, p.primary_image_url AS image_url
+        FROM doc_members m JOIN doc_ec e ON e.cluster_id = m.cluster_id
+        JOIN text_posts p ON p.post_id = m.post_id""",
         "doc_members",
         "doc_ec",
         "text_posts",
@@ -137,7 +136,7 @@ v.cte(
     SELECT c.event_id, c.campaign, c.n / t.total AS share FROM (
       SELECT event_id, campaign, count(*) AS n FROM (
         SELECT event_id, unnest(campaigns) AS campaign FROM doc_sampled) GROUP BY ALL) c
-    JOIN (SELECT event_id, sum(least(size, 30)) AS total FROM doc_ec GROUP BY event_id) t
+    JOIN (SELECT event_id, sum(size) AS total FROM doc_ec GROUP BY event_id) t
       ON t.event_id = c.event_id""",
     "doc_sampled",
     "doc_ec",
@@ -175,7 +174,7 @@ def doc_locations(spark, sf, picked=None):
     picked = picked if picked is not None else materialize(sampled(spark, sf), "sampled-posts")
     # Posts are looked at once, however many clusters they were sampled for.
     posts = picked.select("post_id", "text").distinct()
-    found = en.extract_entities(posts, "post_id", "text", place_names(spark, sf), "LOCATION", longest=1)
+    found = en.extract_entities(posts, "post_id", "text", place_names(spark, sf), "LOCATION")
     ents = found.join(picked.select("event_id", "cluster_id", "post_id"), "post_id")
     places = v.gazetteer(spark, sf).withColumn("state", F.lit(None).cast("string"))
     return ev.event_locations(ents, places, threshold=2.0)
@@ -298,7 +297,8 @@ def detect_events(spark, sf):
 @case(
     "extract_entities",
     r"""SELECT DISTINCT doc_id, label, tag FROM (
-      SELECT doc_id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS label
+      SELECT doc_id, unnest(flatten(list_transform(range(1, 9), lambda n: list_transform(range(1, len(w) - n + 2),
+        lambda i: array_to_string(w[i:i + n - 1], ' '))))) AS label
       FROM (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{M}\p{N}_]+(?:[''’.][\p{L}\p{M}\p{N}_]+)*') AS w
         FROM documents))
     JOIN (SELECT lower(p_name) AS label, 'ORGANIZATION' AS tag FROM part
@@ -311,11 +311,11 @@ def extract_entities(spark, sf):
         .union(v.table(spark, sf, "nation").select(F.lower("n_name"), F.lit("LOCATION")))
         .union(spark.sql("SELECT * FROM VALUES ('is he', 'PERSON'), ('reti', 'PERSON')"))
     )
-    return en.extract_entities(v.wide(spark, sf, "documents", "doc_id"), "doc_id", "text", names, longest=2)
+    return en.extract_entities(v.wide(spark, sf, "documents", "doc_id"), "doc_id", "text", names)
 
 
 def entities(spark, sf):
-    return en.extract_entities(v.text_posts(spark, sf), "post_id", "text", place_names(spark, sf), longest=1)
+    return en.extract_entities(v.text_posts(spark, sf), "post_id", "text", place_names(spark, sf))
 
 
 v.cte(

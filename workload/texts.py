@@ -210,31 +210,21 @@ def word_cloud(spark, sf):
 @case(
     "term_joins",
     v.sql(
-        """SELECT end_time_ms, 'terms' AS kind, string_agg(DISTINCT term, ', ' ORDER BY term) AS joined
-        FROM clusters GROUP BY end_time_ms
+        """SELECT end_time_ms, 'terms' AS kind, row_number() OVER (PARTITION BY end_time_ms ORDER BY term) AS position, term AS part
+        FROM (SELECT DISTINCT end_time_ms, term FROM clusters)
         UNION ALL
-        SELECT cluster_id_ms, 'texts', string_agg(text, ' ' ORDER BY post_id) FROM (
-          SELECT m.end_time_ms AS cluster_id_ms, p.post_id, p.text,
-            row_number() OVER (PARTITION BY m.end_time_ms ORDER BY md5(CAST(p.post_id AS VARCHAR)), p.post_id) AS r
-          FROM (SELECT DISTINCT end_time_ms, post_id FROM members) m JOIN posts p ON p.post_id = m.post_id)
-        WHERE r <= 100 GROUP BY cluster_id_ms""",
+        SELECT m.end_time_ms, 'texts', row_number() OVER (PARTITION BY m.end_time_ms ORDER BY p.post_id), p.text
+        FROM (SELECT DISTINCT end_time_ms, post_id FROM members) m JOIN posts p ON p.post_id = m.post_id""",
         "clusters",
         "members",
         "posts",
     ),
 )
 def term_joins(spark, sf):
-    from pulseweave.operators.events import sample_cluster_posts
-
     terms = tj.joined_terms(v.clusters(spark, sf), ["end_time_ms"])
-    picked = sample_cluster_posts(
-        v.members(spark, sf).select("end_time_ms", "post_id").distinct(), 100, "", ["end_time_ms"]
-    )
-    sampled = picked.join(v.posts(spark, sf).select("post_id", "text"), "post_id")
-    texts = tj.joined_texts(sampled, ["end_time_ms"], "post_id")
-    return terms.select("end_time_ms", F.lit("terms").alias("kind"), F.col("terms").alias("joined")).unionByName(
-        texts.select("end_time_ms", F.lit("texts").alias("kind"), F.col("all_text").alias("joined"))
-    )
+    picked = v.members(spark, sf).select("end_time_ms", "post_id").distinct()
+    texts = tj.joined_texts(picked.join(v.posts(spark, sf).select("post_id", "text"), "post_id"), ["end_time_ms"], "post_id")
+    return terms.withColumn("kind", F.lit("terms")).unionByName(texts.withColumn("kind", F.lit("texts")))
 
 
 @case(
@@ -426,8 +416,7 @@ def probe_word_cosines(spark, sf):
 
 SPARSE_SQL = """
     SELECT user_id AS vec_id, list_transform(range(20), lambda i: coalesce(len(list_filter(ks, lambda k: k // 5 = i)), 0)) AS vec
-    FROM (SELECT user_id, list(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS ks FROM events
-      WHERE value > 60 GROUP BY user_id)"""
+    FROM (SELECT user_id, list(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS ks FROM events GROUP BY user_id)"""
 
 
 @case(
@@ -451,8 +440,8 @@ def vector_sparsity_histogram(spark, sf):
 
 
 def sparse(spark, sf):
-    """Per user, how often each fifth of the property range occurs among large events."""
-    e = v.table(spark, sf, "events").where("value > 60")
+    """Per user, how often each fifth of the property range occurs among the events."""
+    e = v.table(spark, sf, "events")
     k = F.floor(F.get_json_object("props", "$.k").cast("long") / 5)
     return e.groupBy(F.col("user_id").alias("vec_id")).agg(
         F.array(*[F.count_if(k == i).cast("double") for i in range(20)]).alias("vec")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pulseweave.operators import events as ev
+from pulseweave.operators import links as lk
 from pulseweave.operators import serving as sv
 from workload import views as v
 from workload.detection import EVENT_COLS
@@ -103,15 +104,14 @@ v.cte(
 v.cte(
     "event_sample",
     """
-    SELECT event_id, post_id FROM (SELECT *, row_number() OVER (PARTITION BY event_id
-      ORDER BY md5(CAST(post_id AS VARCHAR)), post_id) AS r FROM event_posts) WHERE r <= 200""",
+    SELECT event_id, post_id FROM event_posts""",
     "event_posts",
 )
 
 
 def event_sample(spark, sf, doc=None):
     doc = doc or v.doc_graph(spark, sf)
-    return sv.sampled_event_members(doc.ec, doc.members, 200)
+    return sv.sampled_event_members(doc.ec, doc.members)
 
 
 @case(
@@ -250,9 +250,10 @@ def cluster_post_details(spark, sf):
     ),
 )
 def links_between(spark, sf):
-    return sv.links_between(v.links(spark, sf), 1_704_500_000_000, 1_705_500_000_000).select(
-        "end_time_ms", "source", "target"
-    )
+    # Clusters are linked within a window, so the windows are chosen before linking.
+    span = (1_704_500_000_000, 1_705_500_000_000)
+    members = v.members(spark, sf).where(F.col("end_time_ms").between(*span))
+    return sv.links_between(lk.cluster_links(members), *span).select("end_time_ms", "source", "target")
 
 
 @case(
