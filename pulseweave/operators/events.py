@@ -259,6 +259,15 @@ def _ranked_terms(terms: DataFrame, name: str) -> DataFrame:
     return terms.groupBy("event_id").agg(F.transform(listed, lambda t: t["term"]).alias(name))
 
 
+def _first_links(rows: DataFrame | None, column: str, name: str, n: int) -> DataFrame | None:
+    """The first ``n`` links of each event by name, as one array."""
+    if rows is None:
+        return None
+    w = Window.partitionBy("event_id").orderBy(column)
+    first = rows.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= n)
+    return first.groupBy("event_id").agg(F.array_sort(F.collect_list(column)).alias(name))
+
+
 def export_events(
     events: DataFrame,
     hashtags: DataFrame,
@@ -266,8 +275,15 @@ def export_events(
     campaigns: DataFrame,
     locations: DataFrame,
     threshold: float = CAMPAIGN_THRESHOLD,
+    urls: DataFrame | None = None,
+    images: DataFrame | None = None,
+    n_links: int = TOP_TERMS,
 ) -> DataFrame:
-    """One export record per event and dominant campaign."""
+    """One export record per event and dominant campaign.
+
+    A message lists at most ``n_links`` urls and photos; the tables ``urls``
+    (event_id, url) and ``images`` (event_id, image_url) have them all.
+    """
     place = locations.groupBy("event_id").agg(
         F.min_by(F.struct("lat", "lng"), F.struct(-F.col("weight"), F.col("label"))).alias("top_place")
     )
@@ -281,6 +297,8 @@ def export_events(
         .withColumn("tags", F.coalesce("tags", no_terms))
         .withColumn("words", F.coalesce("words", no_terms))
     )
+    for links, name in ((_first_links(urls, "url", "urls", n_links), "urls"), (_first_links(images, "image_url", "photos", n_links), "photos")):
+        rows = rows.withColumn(name, no_terms) if links is None else rows.join(links, "event_id", "left")
     first_tag, first_word = F.get("tags", F.lit(0)), F.get("words", F.lit(0))
     return rows.select(
         F.col("event_id").alias("uid"),
@@ -290,9 +308,12 @@ def export_events(
         iso_from_ms(F.col("end_time_ms")).alias("endDate"),
         F.when(F.size("tags") > 0, F.col("tags")).otherwise(F.slice("words", 1, 1)).alias("hashtags"),
         F.col("words").alias("keywords"),
+        F.coalesce("urls", no_terms).alias("urls"),
+        F.coalesce("photos", no_terms).alias("photos"),
         F.col("share").alias("importanceScore"),
         F.col("topic_message_count").alias("topicMessageCount"),
         F.col("campaign").alias("campaignId"),
+        no_terms.alias("newsEventIds"),
         F.when(
             F.col("top_place").isNotNull(),
             F.struct(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -9,7 +10,8 @@ from pyspark.sql import functions as F
 
 from pulseweave.lineage import materialize
 from pulseweave.operators import events as ev
-from pulseweave.operators import graph, hashtags, links, windows
+from pulseweave.operators import clustering, enrich, graph, hashtags, links, windows
+from pulseweave.operators.vectorjobs import MEDIUM_SIZE
 
 
 @dataclass(frozen=True)
@@ -40,7 +42,9 @@ class Detection:
     hashtags: DataFrame
     keywords: DataFrame
     urls: DataFrame
+    images: DataFrame
     campaigns: DataFrame
+    locations: DataFrame
     exports: DataFrame
 
 
@@ -51,18 +55,49 @@ def gated_windows(posts: DataFrame, s: Settings) -> DataFrame:
     return windowed.join(open_windows, "end_time_ms", "left_semi")
 
 
+def vector_cluster_tables(
+    vectors: DataFrame, data_type: str, threshold: float, vector: str = "vector"
+) -> tuple[DataFrame, DataFrame]:
+    """Published clusters and their members from windowed post vectors.
+
+    ``vectors`` holds post_id, lang, timestamp_ms, start_time_ms, end_time_ms and the
+    vector. Clusters of fewer than four posts are not published.
+    """
+    window = ["start_time_ms", "end_time_ms", "lang"]
+    found = clustering.leader_clusters(vectors, window, "post_id", "timestamp_ms", vector, threshold)
+    name = F.concat_ws(":", F.lit(data_type), "end_time_ms", F.coalesce("lang", F.lit("")), F.col("leader").cast("string"))
+    rows = found.select(
+        name.alias("cluster_id"), F.lit(data_type).alias("data_type"), "start_time_ms", "end_time_ms", "post_id"
+    )
+    clusters = rows.groupBy("cluster_id", "data_type", "start_time_ms", "end_time_ms").agg(F.count("*").alias("size"))
+    clusters = materialize(clusters.where(F.col("size") >= MEDIUM_SIZE), "vector-clusters")
+    members = rows.join(clusters.select("cluster_id"), "cluster_id", "left_semi")
+    return clusters, members.select("cluster_id", "data_type", "end_time_ms", "post_id")
+
+
+def place_entities(picked: DataFrame, places: DataFrame) -> DataFrame:
+    """Places named in the events' posts, each post looked at once: (event_id, cluster_id, post_id, label)."""
+    names = places.select(F.col("place").alias("label"), F.lit("LOCATION").alias("tag"))
+    posts = picked.select("post_id", "text").dropDuplicates(["post_id"])
+    found = enrich.extract_entities(posts, "post_id", "text", names, "LOCATION")
+    return found.join(picked.select("event_id", "cluster_id", "post_id"), "post_id")
+
+
 def detect_events(
     posts: DataFrame,
     s: Settings = Settings(),
     vector_clusters: DataFrame | None = None,
     vector_members: DataFrame | None = None,
-    locations: DataFrame | None = None,
+    places: DataFrame | None = None,
+    communities: Callable[[DataFrame], DataFrame] | None = None,
 ) -> Detection:
     """Runs the whole chain on a post table.
 
-    Clusters of text and image vectors, made by ``leader_clusters``, join in
-    through ``vector_clusters`` and ``vector_members``. ``locations`` holds the
-    weighted places of events where text was geocoded.
+    Clusters of text and image vectors, made by ``vector_cluster_tables``, join in
+    through ``vector_clusters`` and ``vector_members``. ``places`` is a gazetteer
+    (place, city, state, country, latitude, longitude). ``communities`` may replace
+    Louvain by another rule from edges to (g, node, community). Only events of
+    ``min_clusters`` clusters are stored; exports are made of all.
     """
     windowed = gated_windows(posts, s)
     tag_posts = windowed.where(F.col("featurizer") == "hashtag")
@@ -83,22 +118,25 @@ def detect_events(
     ends = [found.select(F.col("end_time_ms").alias("g"), F.col(e).alias("node")) for e in ("source", "target")]
     nodes = ends[0].union(ends[1]).distinct()
     nodes = nodes.join(likely.select(F.col("cluster_id").alias("node")), "node", "left_semi")
-    partition = graph.louvain_communities(edges, nodes=nodes)
+    partition = graph.louvain_communities(edges, nodes=nodes) if communities is None else communities(edges)
 
     ec = materialize(ev.event_clusters(partition, clusters), "event-clusters")
-    rolled = ev.event_size_gate(ev.event_rollup(ec), s.min_clusters)
+    rolled = ev.event_rollup(ec)
     tags = ev.event_hashtags(ec)
     sampled = materialize(ev.sampled_event_posts(ec, members, posts, seed=s.seed), "sampled-posts")
     words = ev.event_words(sampled)
     keywords = ev.event_keywords(words)
     campaigns = ev.event_campaigns(ec, sampled)
-    matched = ev.match_prior_events(rolled, tags, min_score=s.min_match_score)
-    if locations is None:
+    stored = ev.event_size_gate(rolled, s.min_clusters)
+    matched = ev.match_prior_events(stored, tags, min_score=s.min_match_score)
+    if places is not None:
+        locations = ev.event_locations(place_entities(sampled, places), places, s.geo_threshold)
+    else:
         locations = rolled.sparkSession.createDataFrame(
             [], "event_id string, label string, lat double, lng double, weight double"
         )
-    exports = ev.export_events(rolled, tags, keywords, campaigns, locations, s.campaign_threshold)
+    urls, images = ev.event_urls(words), ev.event_images(ec, members, posts)
+    exports = ev.export_events(rolled, tags, keywords, campaigns, locations, s.campaign_threshold, urls, images)
     return Detection(
-        clusters, members, found, partition, matched, tags, keywords, ev.event_urls(words),
-        campaigns, exports,
+        clusters, members, found, partition, matched, tags, keywords, urls, images, campaigns, locations, exports,
     )

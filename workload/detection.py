@@ -223,15 +223,12 @@ def match_prior_events(spark, sf):
     return matched.select("event_id", "sibling_id")
 
 
-@case(
-    "export_events",
-    v.sql(
-        """SELECT e.event_id AS uid, c.campaign AS "campaignId", round(c.share, 9) AS "importanceScore",
+EXPORT_SQL = """SELECT e.event_id AS uid, c.campaign AS "campaignId", round(c.share, 9) AS "importanceScore",
           coalesce(t.first, k.first, 'None') AS label,
           strftime(epoch_ms(e.start_time_ms), '%Y-%m-%dT%H:%M:%S') AS "startDate",
           strftime(epoch_ms(e.end_time_ms), '%Y-%m-%dT%H:%M:%S.%f') AS "endDate",
           coalesce(t.all_terms, k.first, '') AS hashtags, coalesce(k.all_terms, '') AS keywords,
-          l.lng, l.lat
+          l.lng, l.lat{more}
         FROM doc_campaigns c JOIN doc_events e ON e.event_id = c.event_id
         LEFT JOIN (SELECT event_id, string_agg(term, ',' ORDER BY rank) AS all_terms, min_by(term, rank) AS first
           FROM doc_tags GROUP BY event_id) t ON t.event_id = e.event_id
@@ -239,14 +236,11 @@ def match_prior_events(spark, sf):
           FROM doc_keywords GROUP BY event_id) k ON k.event_id = e.event_id
         LEFT JOIN (SELECT event_id, lat, lng FROM (SELECT *, row_number() OVER (PARTITION BY event_id
           ORDER BY weight DESC, label) AS r FROM doc_locations) WHERE r = 1) l ON l.event_id = e.event_id
-        WHERE c.share > 0.4""",
-        "doc_campaigns",
-        "doc_events",
-        "doc_tags",
-        "doc_keywords",
-        "doc_locations",
-    ),
-)
+        {joins} WHERE c.share > 0.4"""
+EXPORT_VIEWS = ("doc_campaigns", "doc_events", "doc_tags", "doc_keywords", "doc_locations")
+
+
+@case("export_events", v.sql(EXPORT_SQL.format(more="", joins=""), *EXPORT_VIEWS))
 def export_events(spark, sf):
     rows = export_rows(spark, sf)
     return rows.select(
@@ -264,6 +258,7 @@ def export_rows(spark, sf):
     return ev.export_events(
         ev.event_rollup(doc.ec), ev.event_hashtags(doc.ec), ev.event_keywords(ev.event_words(picked)),
         ev.event_campaigns(doc.ec, picked), doc_locations(spark, sf, picked), threshold=0.4,
+        urls=ev.event_urls(ev.event_words(picked)), images=ev.event_images(doc.ec, doc.members, v.text_posts(spark, sf)),
     )
 
 
@@ -275,6 +270,81 @@ def event_export_messages(spark, sf):
     return as_messages(export_rows(spark, sf))
 
 
+v.cte(
+    "doc_links_out",
+    """
+    SELECT event_id, kind, string_agg(link, ',' ORDER BY link) AS links FROM (
+      SELECT *, row_number() OVER (PARTITION BY event_id, kind ORDER BY link) AS r FROM (
+        SELECT DISTINCT event_id, 'url' AS kind, CASE WHEN word LIKE 'www%' THEN 'http://' || word ELSE word END AS link
+        FROM doc_words WHERE word LIKE 'http%' OR word LIKE 'www%'
+        UNION SELECT e.event_id, 'photo', p.primary_image_url FROM doc_members m
+        JOIN doc_ec e ON e.cluster_id = m.cluster_id JOIN text_posts p ON p.post_id = m.post_id))
+    WHERE r <= 100 GROUP BY event_id, kind""",
+    "doc_words",
+    "doc_members",
+    "doc_ec",
+    "text_posts",
+)
+
+
+@case(
+    "detect_events_chain",
+    v.sql(
+        EXPORT_SQL.format(
+            more=", coalesce(u.links, '') AS urls, coalesce(h.links, '') AS photos",
+            joins="""LEFT JOIN doc_links_out u ON u.event_id = e.event_id AND u.kind = 'url'
+            LEFT JOIN doc_links_out h ON h.event_id = e.event_id AND h.kind = 'photo'""",
+        ),
+        *EXPORT_VIEWS,
+        "doc_links_out",
+    ),
+)
+def detect_events_chain(spark, sf):
+    """The whole chain on documents as posts, with neighbour communities in place of Louvain."""
+    from pulseweave.operators.graph import neighbour_partition
+    from pulseweave.plans.detection import Settings, detect_events
+
+    s = Settings(
+        span_ms=v.DOC_SPAN_MS, min_window_posts=1, min_cluster_posts=v.DOC_MIN_POSTS, prune=False,
+        campaign_threshold=0.4, geo_threshold=2.0,
+    )
+    places = v.gazetteer(spark, sf).withColumn("state", F.lit(None).cast("string"))
+    rows = detect_events(v.text_posts(spark, sf), s, places=places, communities=neighbour_partition).exports
+    return rows.select(
+        "uid", "campaignId", F.round("importanceScore", 9).alias("importanceScore"), "label", "startDate", "endDate",
+        F.array_join("hashtags", ",").alias("hashtags"), F.array_join("keywords", ",").alias("keywords"),
+        F.get("location.coordinates", F.lit(0)).alias("lng"), F.get("location.coordinates", F.lit(1)).alias("lat"),
+        F.array_join("urls", ",").alias("urls"), F.array_join("photos", ",").alias("photos"),
+    )
+
+
+@case("detect_events_whole")
+def detect_events_whole(spark, sf):
+    """Text vectors, leader clusters and tag clusters to linked, pruned, grouped and exported events."""
+    from pulseweave.functions import text as tx
+    from pulseweave.operators import textjobs as tj
+    from pulseweave.operators import windows as wn
+    from pulseweave.plans.detection import Settings, detect_events, vector_cluster_tables
+
+    tagged = materialize(v.text_posts(spark, sf), "posts")
+    texts = tagged.withColumn("featurizer", F.lit("text"))
+    tokens = materialize(tj.token_rows(tagged.where("lang = 'en'"), "post_id", tx.tokenize_en(F.col("text"))), "tokens")
+    model = v.word_model(tj.document_frequency(tokens.withColumnRenamed("post_id", "doc_id")))
+    vectors = tj.text_vectors(tokens, tagged, model, "post_id", 4)
+    windowed = wn.tumbling_windows(texts, v.DOC_SPAN_MS).select("post_id", "lang", "timestamp_ms", "start_time_ms", "end_time_ms")
+    clusters, members = vector_cluster_tables(windowed.join(vectors, "post_id"), "text", 0.995)
+    s = Settings(
+        span_ms=v.DOC_SPAN_MS, min_window_posts=1, min_cluster_posts=v.DOC_MIN_POSTS, min_overlap=0.3, min_clusters=2,
+        campaign_threshold=0.2, geo_threshold=2.0,
+    )
+    places = v.gazetteer(spark, sf).withColumn("state", F.lit(None).cast("string"))
+    found = detect_events(tagged.unionByName(texts), s, clusters, members, places)
+    return found.exports.select(
+        "uid", "label", "startDate", "endDate", "campaignId", F.round("importanceScore", 6).alias("importanceScore"),
+        F.size("urls").alias("n_urls"), F.size("photos").alias("n_photos"), "topicMessageCount",
+    )
+
+
 @case("detect_events")
 def detect_events(spark, sf):
     """The whole chain on daily windows of the event posts."""
