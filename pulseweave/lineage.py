@@ -7,30 +7,33 @@ gets true sizes for the next round.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_LOCAL_DIRS: dict[str, str] = {}
-
-
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared scratch folder; a temporary one only in local mode."""
+    """This application's scratch folder, below ``spark.checkpoint.dir`` or else the warehouse.
+
+    A cluster has to name the former, so that every executor reaches it.
+    """
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured.rstrip("/")
     sc = spark.sparkContext
-    if not sc.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    if sc.applicationId not in _LOCAL_DIRS:
-        _LOCAL_DIRS[sc.applicationId] = tempfile.mkdtemp(prefix="pulseweave-")
-    return _LOCAL_DIRS[sc.applicationId]
+    if not configured:
+        if not sc.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
+        configured = spark.conf.get("spark.sql.warehouse.dir")
+    return f"{configured.rstrip('/')}/pulseweave-scratch/{sc.applicationId}"
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Deletes what this application wrote to its scratch folder; for the end of a job."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/pulseweave/{label}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
