@@ -6,6 +6,7 @@ import math
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -109,34 +110,58 @@ def stream_keyword_track(posts: DataFrame, track: Sequence[str] = TRACK, text: s
     return posts.where(mentions_any(F.col(text), track))
 
 
+def stream_tag_groups(posts: DataFrame, event_time: str, span: str, delay: str) -> DataFrame:
+    """Tags counted per closed window; the row without a term counts the window's posts.
+
+    A window's rows come all at once, after late posts are no longer awaited, however
+    many batches its posts were spread over.
+    """
+    tagged = posts.withWatermark(event_time, delay).where(F.col("hashtags").isNotNull())
+    every = F.concat(F.array(F.lit(None).cast("string")), F.transform("hashtags", F.lower))
+    counted = (
+        tagged.select(event_time, F.explode(every).alias("term"))
+        .groupBy(F.window(event_time, span), "term")
+        .agg(F.count("*").alias("size"))
+    )
+    return counted.select(
+        F.unix_millis(F.col("window.start")).alias("start_time_ms"),
+        (F.unix_millis(F.col("window.end")) - 1).alias("end_time_ms"), "term", "size",
+    )
+
+
+DAY_MS = 24 * 3600 * 1000
+
+
 def hashtag_score_batch(
     store: str, span_ms: int, min_posts: int, threshold: float = ht.LIKELIHOOD_THRESHOLD, prior_ms: int = ht.PRIOR_MS
 ) -> Callable[[DataFrame, int], None]:
-    """Scores the tag groups of a micro batch against the clusters stored so far.
+    """Scores the closed windows of ``stream_tag_groups`` against the clusters stored so far.
 
-    ``store`` is the cluster table; a batch holds whole windows. Each batch
-    writes its own folder of the table, so a batch that is run again replaces
-    its own rows.
+    ``store`` is the cluster table, by batch and day. Each batch writes its own
+    folder of it, so a batch that is run again replaces its own rows; only the days
+    of the look-back are read.
     """
 
     def score(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        fresh = batch.where(F.col("size") >= min_posts).select(*ht.WINDOW, "term", "size", "total_posts")
+        totals = batch.where("term IS NULL").select("end_time_ms", F.col("size").alias("total_posts"))
+        groups = batch.where(F.col("term").isNotNull() & (F.col("size") >= min_posts))
+        fresh = groups.join(totals, "end_time_ms").select(*ht.WINDOW, "term", "size", "total_posts")
         known = fresh.withColumn("fresh", F.lit(True))
         stored = _stored(spark, store, batch_id)
         if stored is not None:
-            low = fresh.agg(F.min("start_time_ms") - prior_ms).scalar()
-            past = (
-                stored.select(*ht.WINDOW, "term", "size", "total_posts")
-                .withColumn("_low", low)
-                .where(F.col("end_time_ms") >= F.col("_low"))
-                .drop("_low")
-            )
+            first = batch.agg(F.min("start_time_ms")).first()[0]
+            low = (first or 0) - prior_ms
+            past = stored.where((F.col("day") >= low // DAY_MS) & (F.col("end_time_ms") >= low))
+            past = past.select(*ht.WINDOW, "term", "size", "total_posts")
             known = known.unionByName(past.withColumn("fresh", F.lit(False)))
         scored = ht.hashtag_likelihood(ht.hashtag_priors(known, span_ms, prior_ms)).where("fresh")
-        scored.drop("fresh").withColumn(
+        rows = scored.drop("fresh").withColumn(
             "is_unlikely", F.when(F.col("likelihood") > threshold, 1).otherwise(0)
-        ).write.mode("overwrite").parquet(f"{store}/batch={batch_id}")
+        )
+        day = F.floor(F.col("end_time_ms") / DAY_MS)
+        path = f"{store}/batch={batch_id}"
+        rows.withColumn("day", day).write.mode("overwrite").partitionBy("day").parquet(path)
 
     return score
 
@@ -170,7 +195,8 @@ def event_match_batch(store: str, min_score: float = ev.MIN_MATCH_SCORE) -> Call
 
 
 def _stored(spark: SparkSession, store: str, batch_id: int) -> DataFrame | None:
-    """Rows written by earlier batches, none before the first one."""
-    if batch_id == 0:
-        return None
-    return spark.read.parquet(store).where(F.col("batch") < batch_id)
+    """Rows written by earlier batches, none before there are any."""
+    try:
+        return spark.read.parquet(store).where(F.col("batch") < batch_id)
+    except AnalysisException:
+        return None  # nothing but empty folders yet

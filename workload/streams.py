@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from pulseweave.lineage import new_path
 from pulseweave.operators import events as ev
-from pulseweave.operators import hashtags as ht
+from pulseweave.sources.collections import change_feed
 from pulseweave.streaming import jobs
 from workload import detection, tags  # noqa: F401  (their views are used below)
 from workload import views as v
@@ -74,6 +74,18 @@ def stream_keyword_track(spark, sf):
     return jobs.run_to_table(hits.select("doc_id"), "stream-track")
 
 
+@case(
+    "stream_change_feed",
+    """SELECT event_id, event_type FROM events WHERE event_type = 'signup' AND value > 5""",
+)
+def stream_change_feed(spark, sf):
+    """Created records only, as they arrive."""
+    kind = F.when(F.col("event_type") == "signup", "create").when(F.col("event_type") == "purchase", "update")
+    changes = event_stream(spark, sf).withColumn("type", F.coalesce(kind, F.lit("delete")))
+    found = change_feed(changes, F.col("value") > 5, created_only=True)
+    return jobs.run_to_table(found.select("event_id", "event_type"), "stream-changes")
+
+
 SLICES = 3
 
 
@@ -83,7 +95,7 @@ def sliced_stream(df, label, at="end_time_ms", span=v.DAY_MS):
     path = new_path(spark, label)
     low, high = df.agg(F.min(at), F.max(at)).first()
     if low is None:  # nothing to slice: one empty file keeps the stream's schema
-        df.coalesce(1).write.parquet(path)
+        df.write.parquet(path)
         return spark.readStream.schema(df.schema).parquet(path)
     step = ((high - low) // span // SLICES + 1) * span
     for i in range(SLICES):
@@ -95,12 +107,16 @@ def sliced_stream(df, label, at="end_time_ms", span=v.DAY_MS):
 @case(
     "stream_hashtag_score",
     v.sql(
-        """SELECT end_time_ms, term, size, round(likelihood, 6) AS likelihood, is_unlikely FROM scored""",
+        f"""SELECT end_time_ms, term, size, round(likelihood, 6) AS likelihood, is_unlikely FROM scored
+        WHERE end_time_ms < (SELECT max(timestamp_ms) FROM posts) - {DELAY_MS}""",
         "scored",
+        "posts",
     ),
 )
 def stream_hashtag_score(spark, sf):
-    groups = sliced_stream(ht.hashtag_groups(v.posts_w(spark, sf)), "tag-groups")
+    key = F.concat(F.lit("k"), F.get_json_object("props", "$.k"))
+    posts = event_stream(spark, sf).withColumn("hashtags", F.array("event_type", key))
+    groups = jobs.stream_tag_groups(posts, "ts", "1 day", "6 hours")
     store = new_path(spark, "tag-clusters")
     jobs.run_batches(groups, jobs.hashtag_score_batch(store, v.DAY_MS, v.MIN_TAG_POSTS), "tag-score")
     return spark.read.parquet(store).select(
