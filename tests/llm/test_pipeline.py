@@ -1,5 +1,7 @@
 """The pipeline's stages, each on its own input."""
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline as cp
 from pulseweave.llm import importance
 from tests.llm.test_decontaminate import plain
@@ -35,7 +37,10 @@ def test_stages_against_brute_force(spark):
 def test_stages_take_odd_rows(spark):
     schema = "doc_id long, text string, lang string, source string, n_chars long"
     rows = [(1, None, None, None, None), (2, "", "en", "s", 0), (3, "The words of this text are here", "en", "s", 31), (3, "The words of this text are here", "en", "s", 31), (None, "The words of that text are there", "en", None, 3)]
-    for frame in (spark.createDataFrame(rows, schema), spark.createDataFrame([], schema)):
+    clashing = spark.createDataFrame(rows, schema)
+    for extra in ("score", "lang_pred", "row", "bits", "words", "selected", "_id", "_first", "quality", "bucket"):
+        clashing = clashing.withColumn(extra, F.lit("x"))
+    for frame in (clashing, spark.createDataFrame([], schema)):
         for name, stage in cp.STAGES:
             got = stage(spark, frame, SMALL)
             assert name == "length_packing" or got.columns == frame.columns
