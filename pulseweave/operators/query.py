@@ -1,13 +1,14 @@
 """Document queries: filters, projection, order, paging, relations and edits.
 
 ``apply_filter`` takes the filter grammar ``{where, fields, order, limit,
-offset}`` and gives one lazy DataFrame, so that predicates and columns reach the
+offset, include}`` and gives one lazy DataFrame, so that predicates and columns reach the
 scan.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 from functools import reduce
 from typing import Any
 
@@ -55,7 +56,22 @@ def order_columns(order: str | Sequence[str]) -> list[Column]:
     return out
 
 
-def apply_filter(df: DataFrame, spec: Mapping[str, Any]) -> DataFrame:
+@dataclass(frozen=True)
+class Relation:
+    """Children of a table's rows, for ``include``; see ``include_relation``."""
+
+    children: DataFrame
+    parent_key: str
+    child_key: str
+    max_children: int | None = None
+
+
+def apply_filter(df: DataFrame, spec: Mapping[str, Any], relations: Mapping[str, Relation] | None = None) -> DataFrame:
+    """The rows that a filter asks for; ``include`` names one of ``relations`` or several.
+
+    Relations join the rows that are left after order and limit; ``fields`` apply to
+    these rows, and relations come on top.
+    """
     if spec.get("where"):
         df = df.where(predicate(spec["where"]))
     if spec.get("order"):
@@ -65,10 +81,20 @@ def apply_filter(df: DataFrame, spec: Mapping[str, Any]) -> DataFrame:
     if spec.get("limit"):
         df = df.limit(int(spec["limit"]))
     if spec.get("fields"):
-        df = df.select(*spec["fields"])
+        wanted = list(spec["fields"])
+        keys = [(relations or {})[name].parent_key for name in _included(spec)]
+        df = df.select(*wanted, *[k for k in dict.fromkeys(keys) if k not in wanted])
+    for name in _included(spec):
+        r = (relations or {})[name]
+        df = include_relation(df, r.children, r.parent_key, r.child_key, name, r.max_children)
     return df
 
 
+def _included(spec: Mapping[str, Any]) -> list[str]:
+    names = spec.get("include") or []
+    return [names] if isinstance(names, str) else list(names)
+
+
 def count_where(df: DataFrame, where: Mapping[str, Any]) -> DataFrame:
     return df.where(predicate(where)).agg(F.count("*").alias("count"))
 
@@ -112,6 +138,12 @@ def include_relation(
     the children are nested in an array column. Without it every child stays a
     row of its own in a struct column, so that no parent is gathered in one task.
     """
+    if max_children is not None:
+        # Counted before anything is gathered.
+        crowded = children.groupBy(child_key).agg(F.count("*").alias("n")).where(F.col("n") > max_children)
+        crowded = crowded.join(parents.select(F.col(parent_key).alias("_p")), F.col(child_key) == F.col("_p"), "left_semi")
+        if not crowded.isEmpty():
+            raise ValueError(f"more than {max_children} {name} under one parent")
     child = F.struct(*[F.col(f"c.{c}") for c in children.columns if c != child_key])
     joined = parents.alias("p").join(
         children.alias("c"), F.col(f"p.{parent_key}") == F.col(f"c.{child_key}"), "left"
@@ -119,10 +151,7 @@ def include_relation(
     flat = joined.select("p.*", F.when(F.col(f"c.{child_key}").isNotNull(), child).alias(name))
     if max_children is None:
         return flat
-    nested = flat.groupBy(*parents.columns).agg(F.array_sort(F.collect_list(name)).alias(name))
-    too_many = F.raise_error(F.lit(f"more than {max_children} {name} under one parent"))
-    checked = F.when(F.size(name) <= max_children, F.col(name)).otherwise(too_many)
-    return nested.withColumn(name, checked)
+    return flat.groupBy(*parents.columns).agg(F.array_sort(F.collect_list(name)).alias(name))
 
 
 def find_or_create(existing: DataFrame, defaults: DataFrame, key: Sequence[str]) -> DataFrame:

@@ -144,3 +144,15 @@ def test_bounded_relation_is_checked(spark):
     assert include_relation(parents, children, "id", "pid", "kids").count() == 3
     with pytest.raises(Exception, match="more than 1 kids"):
         include_relation(parents, children, "id", "pid", "kids", max_children=1).collect()
+
+
+def test_filter_with_relations(spark):
+    from pulseweave.operators.query import Relation, apply_filter
+
+    parents = spark.createDataFrame([(1, "a", 5), (2, "b", 6), (3, "c", 7)], "id long, name string, n long")
+    kids = spark.createDataFrame([(1, 10), (1, 11), (3, 12)], "pid long, age long")
+    spec = {"where": {"n": {"lt": 7}}, "order": "n desc", "fields": ["id", "name"], "include": "kids"}
+    nested = apply_filter(parents, spec, {"kids": Relation(kids, "id", "pid", 2)}).collect()
+    assert {r.id: [k.age for k in r.kids] for r in nested} == {1: [10, 11], 2: []}
+    rows = apply_filter(parents, {"include": ["kids"]}, {"kids": Relation(kids, "id", "pid")})
+    assert sorted((r.id, r.kids.age if r.kids else None) for r in rows.collect() if r.id != 2) == [(1, 10), (1, 11), (3, 12)]
