@@ -23,6 +23,8 @@ SEED = 23
 #: Postings and queries of one block.
 BLOCK_POSTINGS = 16_384
 BLOCK_QUERIES = 1_024
+#: More than cosines of unit vectors in single precision are off.
+ROUGH_ERROR = 1e-4
 
 
 @dataclass(frozen=True)
@@ -55,17 +57,23 @@ def orders(vectors: np.ndarray, pivots: np.ndarray, length: int) -> np.ndarray:
     return np.argsort(-(unit @ pivots.T), axis=1, kind="stable")[:, :length].astype(np.int16)
 
 
-def footrule(order: np.ndarray, others: np.ndarray, pivots: int) -> np.ndarray:
-    """Footrule distance of one order to many; a pivot missing in one stands behind its end."""
+def footrule_places(others: np.ndarray) -> np.ndarray:
+    """Places of an order's pivots in the table of ``footrule``; made once for many queries."""
+    return others.astype(np.int32) * others.shape[1] + np.arange(others.shape[1], dtype=np.int32)[None, :]
+
+
+def footrule(order: np.ndarray, places: np.ndarray, pivots: int) -> np.ndarray:
+    """Footrule distance of one order to many; a pivot missing in one stands behind its end.
+
+    A pivot that both have adds the difference of its places, one that only the other
+    has adds the way from its place to the end, and so does one that only the query
+    has. All of it is one table of pivot and place, summed along each order.
+    """
     m = len(order)
     place = np.full(pivots, m, np.int32)
     place[order] = np.arange(m)
-    mine = np.abs(place[others] - np.arange(others.shape[1])[None, :]).sum(axis=1)
-    shared = place[others] < m
-    # Pivots of the query that the other lacks: each is as far as its place from the end.
-    weight = m - np.arange(m)
-    full = np.concatenate((weight, [0]))
-    return mine + weight.sum() - (full[np.minimum(place[others], m)] * shared).sum(axis=1)
+    table = np.abs(place[:, None] - np.arange(m)[None, :]) - (m - place)[:, None]
+    return table.ravel()[places].sum(axis=1) + (m - np.arange(m)).sum()
 
 
 def exact_cosines(query: np.ndarray, vectors: np.ndarray) -> np.ndarray:
@@ -75,17 +83,15 @@ def exact_cosines(query: np.ndarray, vectors: np.ndarray) -> np.ndarray:
     return np.clip(dots / norms, -1.0, 1.0)
 
 
-def nearest(query_id: int, query: np.ndarray, ids: np.ndarray, vectors: np.ndarray, units: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The k nearest of ``vectors`` to ``query``: ids and cosines, ties to the smaller id."""
-    rough = units @ (query / np.linalg.norm(query))
-    rough[ids == query_id] = -np.inf
-    if len(ids) > k:
-        bound = np.partition(rough, len(ids) - k)[len(ids) - k]
-        near = np.flatnonzero(rough >= bound - 1e-9)
-    else:
-        near = np.arange(len(ids))
-    near = near[ids[near] != query_id]
-    scores = exact_cosines(query, vectors[near])
+def nearest(query: np.ndarray, ids: np.ndarray, vectors: np.ndarray, rough: np.ndarray, allowed: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k nearest of the allowed vectors: ids and exact cosines, ties to the smaller id.
+
+    ``rough`` are single precision cosines; what they put near the k-th is computed exactly.
+    """
+    rough = np.where(allowed, rough, -np.inf)
+    bound = np.partition(rough, len(ids) - k)[len(ids) - k] if len(ids) > k else -np.inf
+    near = np.flatnonzero(allowed & (rough >= bound - ROUGH_ERROR))
+    scores = exact_cosines(query, vectors[near].astype(float))
     best = np.lexsort((ids[near], -scores))[:k]
     return ids[near][best], scores[best]
 
@@ -115,20 +121,23 @@ def _search(layout: Layout, pivots: int, dim: int, k: int):
         posted, asked = posted.combine_chunks(), asked.combine_chunks()
         take = lambda t, c: t.column(c).combine_chunks()
         ids = take(posted, "vec_id").to_numpy()
-        vectors = _matrix(take(posted, "v"), dim)
-        units = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+        unit = lambda rows: rows / np.abs(rows).max(axis=1, keepdims=True)
+        single = lambda rows: (rows / np.linalg.norm(rows, axis=1, keepdims=True)).astype(np.float32)
+        vectors, queries = _matrix(take(posted, "v"), dim), _matrix(take(asked, "v"), dim)
+        names = take(asked, "vec_id").to_numpy()
+        rough = single(unit(queries)) @ single(unit(vectors)).T
         length = len(take(posted, "order")[0])
-        held = take(posted, "order").flatten().to_numpy().reshape(-1, length)
-        own = take(asked, "order").flatten().to_numpy().reshape(-1, length)
-        queries, names = _matrix(take(asked, "v"), dim), take(asked, "vec_id").to_numpy()
+        held = take(posted, "order").flatten().to_numpy().reshape(-1, length)[:, : layout.posted]
+        own = take(asked, "order").flatten().to_numpy().reshape(-1, length)[:, : layout.posted]
+        places = footrule_places(held)
         most = max(layout.least, int(np.ceil(layout.share * len(ids))))
         out = []
-        for name, query, order in zip(names, queries, own):
-            some = np.arange(len(ids))
+        for i, name in enumerate(names):
+            allowed = ids != name
             if len(ids) > most:
-                far = footrule(order[: layout.posted], held[:, : layout.posted], pivots)
-                some = np.argpartition(far, most)[:most]
-            near, scores = nearest(name, query, ids[some], vectors[some], units[some], k)
+                far = footrule(own[i], places, pivots)
+                allowed &= far <= np.partition(far, most - 1)[most - 1]
+            near, scores = nearest(queries[i], ids, vectors, rough[i], allowed, k)
             out.append((np.full(len(near), name), near, scores))
         return pa.table([np.concatenate(c) for c in zip(*out)], schema=schema)
 

@@ -54,4 +54,4 @@ def test_footrule():
     order, others = np.array([3, 1, 2]), np.array([[3, 1, 2], [1, 3, 2], [4, 5, 6], [2, 4, 3]])
     place = lambda o, p: list(o).index(p) if p in o else 3
     want = [sum(abs(place(order, p) - place(o, p)) for p in set(order) | set(o)) for o in others]
-    assert pi.footrule(order, others, 8).tolist() == want
+    assert pi.footrule(order, pi.footrule_places(others), 8).tolist() == want
