@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,19 +22,26 @@ from pulseweave.lineage import new_path
 OVER_LIMIT = 2048
 CACHE_SCHEMA = "key string, n_tokens long"
 #: Characters handed to the library at once; a longer text goes alone.
-CHARS_AT_ONCE = 1_000_000
+CHARS_AT_ONCE = 200_000
+#: Counts of words that a task remembers; beyond, it starts afresh.
+WORDS_KEPT = 400_000
+_WORD = re.compile(r"[^\x09-\x0D\x20]+")
+_LETTERS = re.compile(r"[a-z]+")
+#: A word without brackets or bars, as special strings have them, and the marks after it: two pieces.
+_MARKED = re.compile(r"([^<|]*[A-Za-z0-9])([.,!?;:]*)")
 
 
 @dataclass(frozen=True)
 class Vocabulary:
-    """A public tokenizer file, by name, and whether blanks may be folded in digests.
+    """A public tokenizer file, by name, and whether it works word by word.
 
-    Folding is right only for tokenizers that drop white space, as those with word
-    ends do: runs of ASCII blanks then never change the count.
+    ``by_words`` is right for tokenizers with word ends that lower-case, drop white space
+    and part letters from punctuation. There, runs of ASCII blanks never change the
+    count, no token reaches over a blank, and a text has as many tokens as its words.
     """
 
     name: str
-    fold_blanks: bool = False
+    by_words: bool = False
 
     @property
     def path(self) -> str:
@@ -59,16 +67,28 @@ class Vocabulary:
         model = Tokenizer.from_file(self.path)
         model.no_truncation()
         model.no_padding()
-        return lambda texts: [len(x) for x in model.encode_batch_fast(texts, add_special_tokens=False)]
+        whole = lambda texts: [len(x) for x in model.encode_batch_fast(texts, add_special_tokens=False)]
+        return _word_counter(whole, model.model.tokenize) if self.by_words else whole
 
 
-WORD_BPE = Vocabulary("word_bpe_49k.json", fold_blanks=True)
+def _word_counter(whole, pieces):
+    """Counts of distinct words. Words of a to z need no normalising and go straight to the model."""
+
+    def count(words: list[str]) -> list[int]:
+        plain = [bool(_LETTERS.fullmatch(w)) for w in words]
+        rest = iter(whole([w for w, p in zip(words, plain) if not p]))
+        return [len(pieces(w)) if p else next(rest) for w, p in zip(words, plain)]
+
+    return count
+
+
+WORD_BPE = Vocabulary("word_bpe_49k.json", by_words=True)
 
 
 def normalised(text: Column, vocabulary: Vocabulary) -> Column:
     """The form of a text that its digest is taken of; null counts as empty."""
     text = F.coalesce(text, F.lit(""))
-    return F.trim(F.regexp_replace(text, r"[\x09-\x0D\x20]+", " ")) if vocabulary.fold_blanks else text
+    return F.trim(F.regexp_replace(text, r"[\x09-\x0D\x20]+", " ")) if vocabulary.by_words else text
 
 
 def _portions(texts: list[str]) -> Iterator[list[str]]:
@@ -83,12 +103,33 @@ def _portions(texts: list[str]) -> Iterator[list[str]]:
         yield portion
 
 
+def _by_words(texts: list[str], count, known: dict[str, int]) -> list[int]:
+    """Counts of texts as sums over their words; ``known`` holds the words met before."""
+    if len(known) > WORDS_KEPT:
+        known.clear()
+    words = [_WORD.findall(text) for text in texts]
+    fresh = set().union(*words).difference(known)
+    parts = {}
+    for word in fresh:
+        found = _MARKED.fullmatch(word)
+        stem, marks = found.groups() if found else (word, "")
+        parts[word] = (stem.lower() if found and stem.isascii() else stem, marks)
+    pieces = {x for pair in parts.values() for x in pair if x}
+    counts: dict[str, int] = {"": 0}
+    for part in _portions(list(pieces)):
+        counts.update(zip(part, count(part), strict=True))
+    known.update((word, counts[stem] + counts[marks]) for word, (stem, marks) in parts.items())
+    return [sum(map(known.__getitem__, own)) for own in words]
+
+
 def _encode(vocabulary: Vocabulary):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = None
+        count, known = None, {}
         for batch in batches:
             count = count or vocabulary.counter()
-            found = [n for part in _portions(batch.column(1).to_pylist()) for n in count(part)]
+            by_words = lambda part: _by_words(part, count, known)
+            each = by_words if vocabulary.by_words else count
+            found = [n for part in _portions(batch.column(1).to_pylist()) for n in each(part)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64())], ["key", "n_tokens"])
 
     return run

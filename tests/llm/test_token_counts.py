@@ -1,9 +1,11 @@
 """Token counts against the library, and what the cache saves."""
 
+import random
+
 from tokenizers import Tokenizer
 
 from pulseweave.lineage import new_path
-from pulseweave.llm.token_counts import CACHE_SCHEMA, WORD_BPE, Vocabulary, token_counts
+from pulseweave.llm.token_counts import CACHE_SCHEMA, WORD_BPE, Vocabulary, _by_words, token_counts
 
 TEXTS = [
     (1, "The quick brown fox"), (2, "  The\tquick \r\n brown fox "), (3, None), (4, ""), (5, "a<|endoftext|>b <|ENDOFTEXT|> <|startoftext|>"),
@@ -29,6 +31,13 @@ def test_against_library_and_cache(spark):
     assert spark.read.schema(CACHE_SCHEMA).parquet(path).count() == 8
 
 
+def test_words_add_up_to_texts():
+    rng, model = random.Random(7), Tokenizer.from_file(WORD_BPE.path)
+    parts = ["a", "B", "é", "e", "\u0301", "'s", "'", "Σ", "ς", "İ", "ß", "9", "½", "<|endoftext|>", "<|endof", "text|>", "!!", "😀", "\u200d", "\xa0", "\u2003", "\x85", "\x1c", " ", "\t", "\n", "\u0345", "中", "क्"]
+    texts = ["".join(rng.choices(parts, k=rng.randint(0, 25))) for _ in range(4000)]
+    assert _by_words(texts, WORD_BPE.counter(), {}) == [plain(t, model) for t in texts]
+
+
 def test_other_vocabularies_keep_blanks_apart(spark):
     frame = spark.createDataFrame([(1, "a  b"), (2, "a b"), (3, None)], "doc_id long, text string")
     piece = {r["doc_id"]: r["n_tokens"] for r in token_counts(frame, vocabulary=Vocabulary("piece_bpe_32k.model")).collect()}
