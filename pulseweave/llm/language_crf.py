@@ -253,13 +253,17 @@ def train(texts: list[str], langs: list[str]) -> Model:
 def training_rows(documents: DataFrame, rows: int = ROWS_PER_LANGUAGE) -> tuple[list[str], list[str]]:
     """A bounded sample of labelled documents that are not held out, whole texts.
 
-    Ids are ranked by hash within their language before any text is read.
+    Ids are ranked by hash within their language before any text is read. Languages
+    are counted first, and only ids whose hash lies in the share that holds about four
+    times the sample are ranked, so that ranking has few rows whatever the table's size.
     """
     own = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
     usable = own.filter("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL").filter(~held_out())
-    common = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).select("lang")
-    by_hash = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit(SEED)), "doc_id")
-    ranked = usable.select("doc_id", "lang").join(F.broadcast(common), "lang")
+    common = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES)
+    place = F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(1 << 52)) / F.lit(1 << 52)
+    by_hash = Window.partitionBy("lang").orderBy("place", "doc_id")
+    ranked = usable.select("doc_id", "lang", place.alias("place")).join(F.broadcast(common), "lang")
+    ranked = ranked.filter(F.col("place") < 4 * rows / F.col("count"))
     ids = ranked.withColumn("nth", F.row_number().over(by_hash)).filter(F.col("nth") <= rows).select("doc_id", "lang").distinct()
     chosen = usable.join(F.broadcast(ids), ["doc_id", "lang"]).select("doc_id", "lang", "text")
     found = chosen.orderBy("doc_id", "lang", F.xxhash64("text")).limit(rows * LANGUAGES).collect()
