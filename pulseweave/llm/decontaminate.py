@@ -152,9 +152,13 @@ def merged_spans(hits: Column) -> Column:
 
 
 def remove_documents(documents: DataFrame, found: DataFrame) -> DataFrame:
-    """``documents`` without those that hold a benchmark window; all columns stay."""
-    bad = found.filter("contaminated").select("doc_id").distinct()
-    return documents.join(bad, documents["doc_id"].eqNullSafe(bad["doc_id"]), "left_anti")
+    """``documents`` without the rows whose text holds a benchmark window; all columns stay.
+
+    Rows that share an id, or have none, are told apart by their text.
+    """
+    bad = found.filter("contaminated").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
+    same = documents["doc_id"].eqNullSafe(bad["_id"]) & (F.xxhash64(documents["text"]) == bad["_key"])
+    return documents.join(bad, same, "left_anti")
 
 
 def remove_spans(documents: DataFrame, found: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pulseweave.lineage import materialize
 from pulseweave.llm.textbytes import Hasher, Words, mixed, portions, row_sums, split_words
@@ -91,8 +92,8 @@ def _score(ratio: np.ndarray):
                 grams[rows] = row_sums(exists.sum(axis=1), words.per_row)
             weight = total * EFFECTIVE_GRAMS / np.maximum(grams, EFFECTIVE_GRAMS)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(grams), pa.array(weight, mask=grams == 0)],
-                ["doc_id", "target", "n_grams", "log_weight"],
+                [batch.column(0), batch.column(1), *batch.columns[3:], pa.array(grams), pa.array(weight, mask=grams == 0)],
+                ["doc_id", "target", *batch.schema.names[3:], "n_grams", "log_weight"],
             )
 
     return run
@@ -104,17 +105,17 @@ def target_ids(labels: DataFrame, rows: int = TARGET_ROWS) -> DataFrame:
     return good.orderBy(F.xxhash64("good_id", F.lit(SEED)), "good_id").limit(rows)
 
 
-def importance_weights(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """``doc_id``, ``target`` (in the target sample), ``n_grams`` and ``log_weight``.
+def importance_weights(documents: DataFrame, labels: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``doc_id``, ``target`` (in the target sample), the columns ``keep``, ``n_grams`` and ``log_weight``.
 
     The raw model counts every n-gram of all documents, the target model those of the
     labelled sample. A text without words has no weight (null). Without any good
     label both models are equal and all weights zero. Rows that repeat stay repeated.
     """
     good = materialize(target_ids(labels), "target-ids")
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *keep)
     docs = docs.join(F.broadcast(good), docs["doc_id"] == good["good_id"], "left")
-    docs = docs.select("doc_id", F.col("good_id").isNotNull().alias("target"), "text")
+    docs = docs.select("doc_id", F.col("good_id").isNotNull().alias("target"), "text", *keep)
     counted = docs.select("text", "target").mapInArrow(_count, "bucket long, raw long, target long")
     model = counted.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).collect()
     size = 1 << BUCKET_BITS  # the most rows that the model can have
@@ -127,9 +128,10 @@ def importance_weights(documents: DataFrame, labels: DataFrame) -> DataFrame:
         # The raw model is smoothed towards what the target's size could show.
         scaled = raw * (target.sum() / raw.sum())
         ratio = np.log(share(target) / share(scaled))
-    return docs.select("doc_id", "target", "text").mapInArrow(
-        _score(ratio), "doc_id long, target boolean, n_grams long, log_weight double"
-    )
+    fields = [T.StructField("doc_id", T.LongType()), T.StructField("target", T.BooleanType())]
+    fields += [T.StructField(f.name, f.dataType) for f in docs.select(*keep).schema]
+    fields += [T.StructField("n_grams", T.LongType()), T.StructField("log_weight", T.DoubleType())]
+    return docs.mapInArrow(_score(ratio), T.StructType(fields))
 
 
 def kth_largest(keys: DataFrame, k: int) -> float | None:
@@ -161,18 +163,18 @@ def kth_largest(keys: DataFrame, k: int) -> float | None:
     return low
 
 
-def quality_selection(documents: DataFrame, labels: DataFrame, k: int | None = None) -> DataFrame:
+def quality_selection(documents: DataFrame, labels: DataFrame, k: int | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """Draws documents by weight: adds ``selection_key`` and ``selected`` to the weights.
 
     The noise of a row is a hash of its id, so a run gives the same draw again. Without
     ``k`` as many rows are drawn as have a weight of ``PLAUSIBLE`` or more. Texts without words are never drawn;
-    rows that tie with the k-th are all drawn.
+    rows that tie with the k-th are all drawn. The columns ``keep`` come along with their row.
     """
-    scored = materialize(importance_weights(documents, labels), "weights")
+    scored = materialize(importance_weights(documents, labels, keep), "weights")
     uniform = (F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(1 << 52)).cast("double") + 0.5) / F.lit(float(1 << 52))
     keyed = scored.withColumn("selection_key", F.col("log_weight") - F.log(-F.log(uniform)))
     if k is None:
         k = scored.filter(F.col("log_weight") >= PLAUSIBLE).count()
     bound = kth_largest(keyed.select(F.col("selection_key").alias("key")).filter("key IS NOT NULL"), k)
     chosen = F.lit(False) if bound is None else F.coalesce(F.col("selection_key") >= F.lit(bound), F.lit(False))
-    return keyed.withColumn("selected", chosen).select("doc_id", "n_grams", "log_weight", "selection_key", "selected")
+    return keyed.withColumn("selected", chosen).select("doc_id", *keep, "n_grams", "log_weight", "selection_key", "selected")

@@ -268,7 +268,8 @@ def near_duplicates(documents: DataFrame, words: int = SHINGLE_WORDS, threshold:
 def keep_one(documents: DataFrame, groups: DataFrame) -> DataFrame:
     """One document of each component, that with the least id; all columns stay.
 
-    Rows that share an id are copies of one document: one of them stays.
+    Only for ids that are not null and name one text each: rows that share an id count
+    as copies of one document, and one stays. ``near_texts.keep_one`` decides by row.
     """
     first = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
     first = first.select(F.col("doc_id").alias("_first")).distinct()
