@@ -87,3 +87,15 @@ def test_code_switched_words(spark):
 def test_nothing_to_learn(spark):
     docs = spark.createDataFrame([(1, "text", None), (2, None, "en")], "doc_id long, text string, lang string")
     assert {(r["lang_pred"], r["score"]) for r in crf.identify_languages(docs).collect()} == {("und", 0.0)}
+
+
+def test_every_label_is_learned(spark):
+    rows = [(100 * k + i, f"w{k}a w{k}b w{k}c " * 4, f"l{k:03d}") for k in range(80) for i in range(12)]
+    rows += [(n % 2 + 9000, f"hot {n}", "hot") for n in range(4000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(5)
+    open_labels = {r["lang"] for r in docs.filter(~crf.held_out()).select("lang").distinct().collect()}
+    texts, langs = crf.training_rows(docs)
+    assert set(langs) == open_labels and len(open_labels) == 81
+    assert max(langs.count(x) for x in open_labels) <= crf.ROWS_PER_LANGUAGE * crf.LANGUAGES // 81
+    _, few = crf.training_rows(docs, 3)
+    assert all(few.count(x) == 3 for x in open_labels)
