@@ -83,16 +83,21 @@ def exact_cosines(query: np.ndarray, vectors: np.ndarray) -> np.ndarray:
     return np.clip(dots / norms, -1.0, 1.0)
 
 
-def nearest(query: np.ndarray, ids: np.ndarray, vectors: np.ndarray, rough: np.ndarray, allowed: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The k nearest of the allowed vectors: ids and exact cosines, ties to the smaller id.
+def nearest(query: np.ndarray, ids: np.ndarray, of: np.ndarray, vectors: np.ndarray, rough: np.ndarray, allowed: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k nearest ids of the allowed vectors and exact cosines, ties to the smaller id.
 
-    ``rough`` are single precision cosines; what they put near the k-th is computed exactly.
+    An id with several vectors counts once, by its nearest; ``of`` numbers the distinct
+    ids. ``rough`` are single precision cosines; what they put near the k-th id is
+    computed exactly.
     """
     rough = np.where(allowed, rough, -np.inf)
-    bound = np.partition(rough, len(ids) - k)[len(ids) - k] if len(ids) > k else -np.inf
+    tops = np.full(of.max() + 1, -np.inf)
+    np.maximum.at(tops, of, rough)
+    bound = np.partition(tops, len(tops) - k)[len(tops) - k] if len(tops) > k else -np.inf
     near = np.flatnonzero(allowed & (rough >= bound - ROUGH_ERROR))
     scores = exact_cosines(query, vectors[near].astype(float))
-    best = np.lexsort((ids[near], -scores))[:k]
+    best = np.lexsort((ids[near], -scores))
+    best = best[np.sort(np.unique(ids[near][best], return_index=True)[1])][:k]
     return ids[near][best], scores[best]
 
 
@@ -130,6 +135,7 @@ def _search(layout: Layout, pivots: int, dim: int, k: int):
         held = take(posted, "order").flatten().to_numpy().reshape(-1, length)[:, : layout.posted]
         own = take(asked, "order").flatten().to_numpy().reshape(-1, length)[:, : layout.posted]
         places = footrule_places(held)
+        of = np.unique(ids, return_inverse=True)[1]
         most = max(layout.least, int(np.ceil(layout.share * len(ids))))
         out = []
         for i, name in enumerate(names):
@@ -137,7 +143,7 @@ def _search(layout: Layout, pivots: int, dim: int, k: int):
             if len(ids) > most:
                 far = footrule(own[i], places, pivots)
                 allowed &= far <= np.partition(far, most - 1)[most - 1]
-            near, scores = nearest(queries[i], ids, vectors, rough[i], allowed, k)
+            near, scores = nearest(queries[i], ids, of, vectors, rough[i], allowed, k)
             out.append((np.full(len(near), name), near, scores))
         return pa.table([np.concatenate(c) for c in zip(*out)], schema=schema)
 
@@ -148,12 +154,12 @@ def index_vectors(embeddings: DataFrame, layout: Layout) -> tuple[DataFrame, int
     """Every usable vector with its pivot order, written once; number of pivots, dimensions.
 
     Vectors of a length other than the commonest have no cosine with the rest and take
-    no part, like null, zero and non-finite ones.
+    no part, like null, zero and non-finite ones. Rows that repeat count once.
     """
     single = embeddings.schema["embedding"].dataType.simpleString() == "array<float>"
     vector = F.col("embedding") if single else F.col("embedding").cast("array<double>")
     rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), vector.alias("v"))
-    rows = rows.filter(F.col("vec_id").isNotNull() & usable(F.col("v")))
+    rows = rows.filter(F.col("vec_id").isNotNull() & usable(F.col("v"))).dropDuplicates(["vec_id", "v"])
     common = rows.groupBy(F.size("v").alias("dim")).count().orderBy(F.desc("count"), "dim").first()
     dim = common["dim"] if common else 1
     rows = rows.filter(F.size("v") == dim)

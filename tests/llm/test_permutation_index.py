@@ -55,3 +55,14 @@ def test_footrule():
     place = lambda o, p: list(o).index(p) if p in o else 3
     want = [sum(abs(place(order, p) - place(o, p)) for p in set(order) | set(o)) for o in others]
     assert pi.footrule(order, pi.footrule_places(others), 8).tolist() == want
+
+
+def test_rows_that_repeat_fill_no_places(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, rng.normal(size=8).tolist()) for i in range(60)]
+    of = lambda r: sorted(map(tuple, pi.nearest_neighbours(spark.createDataFrame(r, "vec_id long, embedding array<double>"), F.expr(EVERY)).collect()))
+    once = of(rows)
+    assert len(once) == 10 and of(rows * 6) == once
+    # Six rows of an id that differ by their length only have the same cosine.
+    scaled = of([(i, [x * 2**n for x in v]) for n in range(6) for i, v in rows])
+    assert [r[:3] for r in scaled] == [r[:3] for r in once]
