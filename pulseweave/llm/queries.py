@@ -14,12 +14,13 @@ from pulseweave.llm import (
     language_crf,
     licenses,
     packing,
+    periodic_runs,
     permutation_index,
     simhash,
     token_counts,
     warc,
 )
-from pulseweave.llm.common import table
+from pulseweave.llm.common import blank_words, table
 from pulseweave.session import tune
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -116,3 +117,33 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages written to archives and read back."""
     return warc.page_records(table(spark, sf_dir, "pages")).drop("target_uri")
+
+
+def _repeating(documents: DataFrame) -> DataFrame:
+    """The texts of op11: in a tenth of the documents the words repeat from some word on."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    chosen = documents.select(
+        "doc_id", "text", F.floor(h / 10).alias("g"), F.when(h % 10 == 0, blank_words(F.col("text"))).alias("words")
+    )
+    n = F.size("words").cast("long")
+    cut = chosen.withColumn("a", F.when(n > 0, F.col("g") % n))
+    cut = cut.withColumn("p", 1 + F.floor((n - F.col("a")) / (3 + F.col("g") % 8)))
+    a, p = F.col("a"), F.col("p")
+    source = lambda i: F.when(i >= a, a + (i - a) % p).otherwise(i)
+    made = F.array_join(F.transform("words", lambda w, i: F.get("words", source(i).cast("int"))), " ")
+    return cut.select("doc_id", F.when(a.isNotNull(), made).otherwise(F.col("text")).alias("text"))
+
+
+@query
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of every document, and its text without the repeats."""
+    found = periodic_runs.periodic_runs(_repeating(table(spark, sf_dir, "documents")))
+    line = lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])
+    listed = F.array_join(F.transform("runs", lambda r: F.concat(line(r), F.lit("\n"))), "")
+    ranked = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("back"), (-r["period"]).alias("short"))))
+    best = found.withColumn("best", ranked)
+    return best.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("best.back")).alias("start"), F.col("best.length").alias("length"),
+        (-F.col("best.short")).alias("period"), F.floor(1000 * F.col("best.length") / -F.col("best.short")).alias("exponent_milli"),
+        F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
