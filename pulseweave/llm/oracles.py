@@ -81,6 +81,19 @@ SELECT page_id, payload_bytes, payload_digest,
 FROM f
 """
 
+SQL["op12_line_dedup"] = r"""
+WITH l AS (
+  SELECT doc_id, generate_subscripts(lines, 1) AS pos, unnest(lines) AS raw
+  FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents)),
+k AS (
+  SELECT doc_id, pos, raw, translate(trim(raw, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+         'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+f AS (SELECT key, min(doc_id) AS first_doc FROM k WHERE length(key) >= 10 GROUP BY key)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (first_doc <> doc_id) AS n_dropped,
+       sha256(coalesce(string_agg(raw, chr(10) ORDER BY pos) FILTER (first_doc IS NULL OR first_doc = doc_id), '')) AS kept_sha256
+FROM k LEFT JOIN f USING (key) GROUP BY doc_id
+"""
+
 
 def _license_sql() -> str:
     from pulseweave.llm.licenses import COPYRIGHT_LINE, EQUIVALENT, KNOWN, PUNCTUATION

@@ -13,6 +13,7 @@ from pulseweave.llm import (
     importance,
     language_crf,
     licenses,
+    line_dedup,
     packing,
     periodic_runs,
     permutation_index,
@@ -147,3 +148,10 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         (-F.col("best.short")).alias("period"), F.floor(1000 * F.col("best.length") / -F.col("best.short")).alias("exponent_milli"),
         F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
     )
+
+
+@query
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of every document, and its text without those of earlier documents."""
+    found = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
