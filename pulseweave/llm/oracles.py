@@ -94,6 +94,39 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (first_doc <> doc_id) AS n_d
 FROM k LEFT JOIN f USING (key) GROUP BY doc_id
 """
 
+# CRC-32 of an ASCII string, bit by bit.
+_CRC32 = """(xor(list_reduce([CAST(4294967295 AS BIGINT)] || list_transform(string_split({0}, ''), lambda c: CAST(ascii(c) AS BIGINT)),
+  lambda s, c: list_reduce([xor(s, c)] || list_transform(range(8), lambda i: CAST(0 AS BIGINT)),
+    lambda x, i: xor(x >> 1, CASE WHEN x % 2 = 1 THEN 3988292384 ELSE 0 END))), 4294967295))"""
+
+SQL["op13_prefix_trie"] = r"""
+WITH t AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos
+  FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, conv_id - conv_id % 20 AS base, HASH % 4 AS h FROM (SELECT DISTINCT conv_id FROM t)),
+n AS (SELECT conv_id, base, h, least(h, (SELECT count(*) FROM t WHERE t.conv_id = c.base)) AS heads FROM c),
+r AS (
+  SELECT n.conv_id, t.pos, role, text FROM n JOIN t ON t.conv_id = n.base AND t.pos <= n.heads
+  UNION ALL SELECT n.conv_id, t.pos - h + heads, role, text FROM n JOIN t ON t.conv_id = n.conv_id AND t.pos > h),
+x AS (
+  SELECT conv_id, pos AS depth, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS words,
+         sha256(string_agg(sha256(role) || sha256(text), '' ) OVER (PARTITION BY conv_id ORDER BY pos)) AS key
+  FROM r UNION ALL SELECT conv_id, 0, 0, '' FROM n),
+p AS (SELECT *, lag(key) OVER w AS parent, lead(key) OVER w IS NULL AS is_end FROM x WINDOW w AS (PARTITION BY conv_id ORDER BY depth)),
+node AS (
+  SELECT key, depth, parent, words, min(conv_id) AS conv_id, count(*) AS n_convs,
+         sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (is_end), '')) AS ends_sha256
+  FROM p GROUP BY ALL),
+kids AS (SELECT parent AS key, count(*) AS n_children FROM node WHERE parent IS NOT NULL GROUP BY 1),
+subtree AS (
+  SELECT up.key, sum((node.n_convs - 1) * node.words) AS saved_tokens, count(*) FILTER (kids.key IS NULL) AS n_leaves
+  FROM node LEFT JOIN kids ON kids.key = node.key JOIN p up ON up.conv_id = node.conv_id AND up.depth <= node.depth GROUP BY 1)
+SELECT node.conv_id, node.depth, above.conv_id AS parent_conv_id, node.n_convs, coalesce(n_children, 0) AS n_children, n_leaves,
+       CAST(saved_tokens AS BIGINT) AS saved_tokens, node.ends_sha256
+FROM node LEFT JOIN node above ON above.key = node.parent LEFT JOIN kids ON kids.key = node.key JOIN subtree ON subtree.key = node.key
+""".replace("HASH", _CRC32.format("CAST(conv_id AS VARCHAR)"))
+
 
 def _license_sql() -> str:
     from pulseweave.llm.licenses import COPYRIGHT_LINE, EQUIVALENT, KNOWN, PUNCTUATION

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pulseweave.lineage import materialize
 from pulseweave.llm import (
     chat,
     decontaminate,
@@ -17,6 +18,7 @@ from pulseweave.llm import (
     packing,
     periodic_runs,
     permutation_index,
+    prefix_trie,
     simhash,
     token_counts,
     warc,
@@ -155,3 +157,25 @@ def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of every document, and its text without those of earlier documents."""
     found = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def _rebuilt(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """The turns of op13: a conversation starts with up to three turns of the one its twenty share."""
+    taken = F.pmod(F.crc32(F.col("conv_id").cast("string")), F.lit(4))
+    own = rows.withColumn("h", taken)
+    base = rows.filter("conv_id % 20 = 0 AND pos <= 3").select(F.col("conv_id").alias("base"), "pos", "x1", "x2", "words")
+    borrowers = ids.select("conv_id", taken.alias("h"), F.expr("conv_id - conv_id % 20").alias("base"))
+    heads = borrowers.join(base, "base").filter("pos <= h").select("conv_id", "pos", "x1", "x2", "words")
+    n_heads = borrowers.join(base.groupBy("base").agg(F.max("pos").alias("most")), "base", "left")
+    shift = n_heads.select("conv_id", (F.least("h", F.coalesce("most", F.lit(0))) - F.col("h")).alias("shift"))
+    rest = own.filter("pos > h").join(shift, "conv_id").select("conv_id", (F.col("pos") + F.col("shift")).alias("pos"), "x1", "x2", "words")
+    return heads.unionByName(rest)
+
+
+@query
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All nodes of the prefix trie of the rebuilt conversations."""
+    rows = materialize(prefix_trie.turn_rows(table(spark, sf_dir, "conversations")), "turn-rows")
+    ids = rows.select("conv_id").distinct()
+    found = prefix_trie.trie_nodes(_rebuilt(rows, ids), ids)
+    return found.withColumn("ends_sha256", F.sha2(F.array_join("ends", ","), 256)).drop("ends")
