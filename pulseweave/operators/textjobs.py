@@ -13,6 +13,8 @@ from pulseweave.lineage import broadcast_if_small, materialize
 
 TOP_IDF = 3
 PROBE_DOCS = 100
+#: A word vector task trains on no fewer and about no more than so many tokens.
+MIN_TOKENS_PER_TASK, TOKENS_PER_TASK = 10_000, 20_000_000
 
 
 def token_rows(docs: DataFrame, doc_id: str, tokens: Column) -> DataFrame:
@@ -52,9 +54,16 @@ def idf_weights(
 
 
 def train_word_vectors(docs: DataFrame, tokens: str, dim: int = 100, min_count: int = 100, **kw):
-    """Word vectors of a token column; gives the fitted model."""
+    """Word vectors of a token column; gives the fitted model.
+
+    Unless the caller says otherwise, there is a partition for each core or so many tokens.
+    """
     from pyspark.ml.feature import Word2Vec
 
+    if "numPartitions" not in kw:
+        total = docs.agg(F.sum(F.size(tokens))).first()[0] or 0
+        cores = docs.sparkSession.sparkContext.defaultParallelism
+        kw["numPartitions"] = max(1, min(cores, total // MIN_TOKENS_PER_TASK), total // TOKENS_PER_TASK)
     return Word2Vec(
         inputCol=tokens, outputCol="doc_vector", vectorSize=dim, minCount=min_count, **kw
     ).fit(docs)
@@ -118,15 +127,6 @@ def text_vector_variants(
     )
 
 
-def train_doc_vectors(docs: DataFrame, tokens: str, doc_id: str, dim: int = 1000, min_count: int = 25, **kw):
-    """Document vectors as averaged word vectors, and the model."""
-    from pyspark.ml.functions import vector_to_array
-
-    model = train_word_vectors(docs, tokens, dim, min_count, **kw)
-    vectors = model.transform(docs).select(doc_id, vector_to_array("doc_vector").alias("vector"))
-    return vectors, model
-
-
 def split_by_position(indexed: DataFrame, index: str = "row_index") -> DataFrame:
     """Train, test, train, … by running number; two of three rows train."""
     return indexed.withColumn(

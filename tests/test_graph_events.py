@@ -182,7 +182,7 @@ class Session:
 
 
 def test_shared_dir_comes_from_the_session(spark):
-    assert shared_dir(Session("hdfs:///scratch/", "yarn")) == "hdfs:///scratch"
+    assert shared_dir(Session("hdfs:///scratch/", "yarn")) == "hdfs:///scratch/pulseweave-scratch/app"
     with pytest.raises(RuntimeError):
         shared_dir(Session(None, "yarn"))
     assert shared_dir(spark) == shared_dir(spark)

@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from pulseweave.functions import text as tx
 from pulseweave.lineage import materialize
+from pulseweave.operators import docvectors as dv
 from pulseweave.operators import textjobs as tj
+from pulseweave.operators.ordering import with_row_index
 from workload import views as v
 from workload.registry import case
 
@@ -268,7 +270,7 @@ def idf_weights(spark, sf):
 @case("train_word_vectors")
 def train_word_vectors(spark, sf):
     d = docs(spark, sf).where("lang = 'en'").select(tx.tokenize_en(F.col("text"), unique=False).alias("t"))
-    model = tj.train_word_vectors(d, "t", dim=16, min_count=25, seed=7, maxIter=1, numPartitions=4)
+    model = tj.train_word_vectors(d, "t", dim=16, min_count=25, seed=7, maxIter=1)
     return tj.word_model_table(model).select(
         "token", *[F.round(F.col("vector")[i], 6).alias(f"v{i}") for i in range(16)]
     )
@@ -348,18 +350,29 @@ def text_vector_variants(spark, sf):
     )
 
 
-@case("train_doc_vectors")
-def train_doc_vectors(spark, sf):
-    from pulseweave.operators.ordering import with_row_index
+DOC_VECTORS = dv.Settings(dim=16, min_count=25, epochs=3)
+
 
+@case(
+    "train_doc_vectors",
+    v.sql(
+        """, split AS (SELECT doc_id, CASE WHEN (row_number() OVER (ORDER BY doc_id) - 1) % 3 = 1 THEN 'test' ELSE 'train' END AS split
+            FROM documents WHERE lang = 'en'),
+        known AS (SELECT token FROM doc_tokens JOIN split USING (doc_id) WHERE split = 'train' GROUP BY token HAVING count(*) >= 25)
+        SELECT s.doc_id, s.split, 16 AS width, count(k.token) AS n_words, count(k.token) > 0 AS trained
+        FROM split s LEFT JOIN doc_tokens t ON t.doc_id = s.doc_id LEFT JOIN known k ON k.token = t.token GROUP BY s.doc_id, s.split""",
+        "doc_tokens",
+    ).replace(")\n, split AS", "),\nsplit AS"),
+)
+def train_doc_vectors(spark, sf):
+    """A vector of every English document: two thirds of them trained, the others inferred."""
     d = docs(spark, sf).where("lang = 'en'").select("doc_id", tx.tokenize_en(F.col("text")).alias("t"))
     split = tj.split_by_position(with_row_index(d, ["doc_id"]))
-    train = split.where("split = 'train'")
-    _, fitted = tj.train_doc_vectors(train, "t", "doc_id", dim=16, min_count=25, seed=7, maxIter=1, numPartitions=4)
-    from pyspark.ml.functions import vector_to_array
-
-    vectors = fitted.transform(split).withColumn("vec", vector_to_array("doc_vector"))
-    return vectors.select("doc_id", "split", *[F.round(F.col("vec")[i], 6).alias(f"v{i}") for i in range(4)])
+    trained, model = dv.train_doc_vectors(split.where("split = 'train'"), "t", "doc_id", DOC_VECTORS)
+    inferred = model.infer(split.where("split = 'test'"), "t", "doc_id")
+    rows = trained.withColumn("split", F.lit("train")).unionByName(inferred.withColumn("split", F.lit("test")))
+    moved = F.exists("vector", lambda x: x != 0)
+    return rows.select("doc_id", "split", F.size("vector").alias("width"), "n_words", moved.alias("trained"))
 
 
 @case(
