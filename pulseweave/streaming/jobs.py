@@ -2,18 +2,13 @@
 
 from __future__ import annotations
 
-import math
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Sequence
 
-import pandas as pd
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import DataStreamWriter
 
-from pulseweave.lineage import new_path
-from pulseweave.operators import events as ev
+from pulseweave.lineage import new_path, path_exists
 from pulseweave.operators import hashtags as ht
 from pulseweave.operators.ingest import POST_KEY, ingest
 from pulseweave.operators.windows import MIN_POSTS
@@ -36,12 +31,15 @@ def run_to_table(stream: DataFrame, label: str, mode: str = "append") -> DataFra
     return spark.read.schema(stream.schema).parquet(path)
 
 
-def run_batches(stream: DataFrame, each: Callable[[DataFrame, int], None], label: str) -> None:
-    """Runs ``each`` on every micro batch of what there is now."""
+def run_batches(stream: DataFrame, each: Callable[[DataFrame, int], None], label: str, offsets: str | None = None) -> None:
+    """Runs ``each`` on every micro batch of what there is now.
+
+    ``offsets`` names the checkpoint of an earlier run that this one goes on from.
+    """
     writer: DataStreamWriter = stream.writeStream.foreachBatch(each)
     spark = stream.sparkSession
     query = (
-        writer.option("checkpointLocation", new_path(spark, f"{label}-offsets"))
+        writer.option("checkpointLocation", offsets or new_path(spark, f"{label}-offsets"))
         .trigger(availableNow=True)
         .start()
     )
@@ -72,40 +70,6 @@ def stream_window_counts(
     )
 
 
-class EveryNth(StatefulProcessor):
-    """Lets the last of every ``cycle`` rows of a key through, in arrival order."""
-
-    def __init__(self, cycle: int) -> None:
-        self.cycle = cycle
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        schema = T.StructType([T.StructField("seen", T.LongType())])
-        self.seen = handle.getValueState("seen", schema)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        count = self.seen.get()[0] if self.seen.exists() else 0
-        for batch in rows:
-            place = count + pd.RangeIndex(1, len(batch) + 1)
-            count += len(batch)
-            yield batch[(place % self.cycle == 0)]
-        self.seen.update((count,))
-
-    def close(self) -> None:
-        pass
-
-
-def stream_govern(posts: DataFrame, rate: float, lanes: Sequence[str]) -> DataFrame:
-    """Every-nth admission per lane.
-
-    The counter lives in one state row per lane (partition, shard or source), so
-    that arrivals are not all led through one counter.
-    """
-    cycle = math.ceil(1 / rate) + 1
-    return posts.groupBy(*lanes).transformWithStateInPandas(
-        EveryNth(cycle), posts.schema, "Append", "None"
-    )
-
-
 def stream_keyword_track(posts: DataFrame, track: Sequence[str] = TRACK, text: str = "text") -> DataFrame:
     return posts.where(mentions_any(F.col(text), track))
 
@@ -166,37 +130,12 @@ def hashtag_score_batch(
     return score
 
 
-def event_match_batch(store: str, min_score: float = ev.MIN_MATCH_SCORE) -> Callable[[DataFrame, int], None]:
-    """Matches the event tags of a micro batch with the events of the window before.
-
-    Batch rows are (event_id, start_time_ms, end_time_ms, term, weight), whole
-    windows at a time.
-    """
-
-    def match(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        cols = ["event_id", "start_time_ms", "end_time_ms", "term", "weight"]
-        rows = batch.select(*cols)
-        seen = rows
-        stored = _stored(spark, store, batch_id)
-        if stored is not None:
-            starts = rows.agg(F.min("start_time_ms")).scalar()
-            past = stored.select(*cols).withColumn("_s", starts).where(
-                F.col("end_time_ms") >= F.col("_s") - 1
-            )
-            seen = rows.unionByName(past.drop("_s"))
-        heads = rows.select("event_id", "start_time_ms", "end_time_ms").distinct()
-        prior = seen.select("event_id", "start_time_ms", "end_time_ms").distinct()
-        scores = ev.match_scores(heads, rows, prior, seen)
-        best = ev.best_match(scores, min_score).select("event_id", "sibling_id")
-        rows.join(best, "event_id", "left").write.mode("overwrite").parquet(f"{store}/batch={batch_id}")
-
-    return match
+#: Columns that the scores need of earlier batches.
+STORED = "start_time_ms long, end_time_ms long, term string, size long, total_posts long, batch long, day long"
 
 
 def _stored(spark: SparkSession, store: str, batch_id: int) -> DataFrame | None:
     """Rows written by earlier batches, none before there are any."""
-    try:
-        return spark.read.parquet(store).where(F.col("batch") < batch_id)
-    except AnalysisException:
-        return None  # nothing but empty folders yet
+    if not path_exists(spark, store):
+        return None
+    return spark.read.schema(STORED).parquet(store).where(F.col("batch") < batch_id)

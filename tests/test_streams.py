@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from pulseweave.lineage import new_path
 from pulseweave.operators import hashtags as ht
 from pulseweave.operators import windows as wn
-from pulseweave.streaming import jobs
+from pulseweave.streaming import jobs, state
 
 HOUR = 3_600_000
 
@@ -27,3 +27,68 @@ def test_windows_split_over_batches_score_like_a_batch(spark):
     closed = rows[-1][1] - HOUR
     assert got == sorted(tuple(r) for r in want.where(F.col("end_time_ms") < closed).select(*cols).collect())
     assert len({r[0] for r in got}) > 5
+
+
+def arrive(spark, rows, schema, batches, run):
+    """Runs a stream again and again as its rows come in."""
+    path = new_path(spark, "arrivals")
+    for low, high in batches:
+        spark.createDataFrame(rows[low:high], schema).repartition(3).write.mode("append").parquet(path)
+        run(spark.readStream.schema(schema).parquet(path))
+
+
+def test_admission_counts_over_batches(spark):
+    rows = [(i, i // 3) for i in range(100)]
+    store, offsets = new_path(spark, "governed"), new_path(spark, "govern-offsets")
+    govern = state.govern_batch(store, 0.5, ["t", "id"])
+    arrive(spark, rows, "id long, t long", [(0, 7), (7, 8), (8, 50), (50, 100)], lambda s: jobs.run_batches(s, govern, "govern", offsets))
+    assert sorted(r["id"] for r in spark.read.parquet(f"{store}/admitted").collect()) == list(range(2, 100, 3))
+    # A batch that is run again writes the same rows.
+    govern(spark.createDataFrame(rows[7:8], "id long, t long"), 1)
+    govern(spark.createDataFrame(rows[8:50], "id long, t long"), 2)
+    assert sorted(r["id"] for r in spark.read.parquet(f"{store}/admitted").collect()) == list(range(2, 100, 3))
+
+
+def test_windows_leave_whole(spark):
+    rows = [(i, HOUR * 4000 + i * HOUR // 4, [f"t{i % 2}"] if i % 3 else None) for i in range(60)] + [(99, 4001 * HOUR, ["late"])]
+    schema = "post_id long, ms long, tags array<string>"
+    store, offsets = new_path(spark, "closed"), new_path(spark, "closed-offsets")
+
+    def run(stream):
+        posts = stream.withColumn("ts", F.timestamp_millis("ms"))
+        closed = state.stream_closed_windows(posts, "ts", 4 * HOUR, "1 hour", parts=3)
+        jobs.run_batches(closed, lambda df, i: df.write.mode("overwrite").parquet(f"{store}/batch={i}"), "closed", offsets)
+
+    arrive(spark, rows, schema, [(0, 10), (10, 37), (37, 60), (60, 61)], run)
+    got = spark.read.parquet(store)
+    assert got.groupBy("start_time_ms").agg(F.count_distinct("batch").alias("n")).filter("n > 1").count() == 0
+    want = [(r[1] // (4 * HOUR) * 4 * HOUR, *r) for r in rows[:60] if r[1] // (4 * HOUR) * 4 * HOUR + 4 * HOUR <= rows[59][1] - HOUR]
+    assert sorted(map(tuple, got.select("start_time_ms", "post_id", "ms", "tags").collect())) == sorted(want)
+
+
+def test_windows_run_or_are_skipped(spark):
+    """The window from hour 4 misses the gate at its first look and meets it at the second, by posts that come late."""
+    first = [(m * HOUR // 4,) for m in range(0, 16)] + [(5 * HOUR,), (9 * HOUR,)] + [(10 * HOUR,)]
+    late = [(6 * HOUR + i,) for i in range(5)] + [(17 * HOUR,)]
+    rows = [(4000 * HOUR + r[0],) for r in first + late + [(40 * HOUR,)]]
+    out, offsets = new_path(spark, "states"), new_path(spark, "states-offsets")
+
+    def run(stream):
+        posts = stream.withColumn("ts", F.timestamp_millis("ms"))
+        states = state.stream_window_states(posts, "ts", 4 * HOUR, "0 seconds", min_posts=5, max_retries=2)
+        jobs.run_batches(states, lambda df, i: df.write.mode("overwrite").parquet(f"{out}/batch={i}"), "states", offsets)
+
+    arrive(spark, rows, "ms long", [(0, 19), (19, 25), (25, 26)], run)
+    got = sorted((r["start_time_ms"] // HOUR - 4000, r["n_posts"], r["retries"], r["state"]) for r in spark.read.parquet(out).collect())
+    assert got == [(0, 16, 0, "running"), (4, 6, 1, "running"), (8, 2, 2, "skip"), (16, 1, 2, "skip")]
+
+
+def test_events_match_over_batches(spark):
+    tags = [("a", 0, "x", 0.5), ("a", 0, "y", 0.5), ("b", 0, "z", 1.0), ("c", 1, "x", 0.25), ("c", 1, "z", 0.75), ("d", 1, "w", 1.0), ("e", 3, "x", 1.0), ("f", 4, "x", 1.0), ("f", 4, "q", 0.0), ("g", 6, "x", 1.0)]
+    rows = [(e, (4000 + w) * HOUR, (4001 + w) * HOUR - 1, t, s) for e, w, t, s in tags]
+    schema = "event_id string, start_time_ms long, end_time_ms long, term string, share double"
+    store, offsets = new_path(spark, "matched"), new_path(spark, "match-offsets")
+    match = state.event_match_batch(store, 0.2)
+    arrive(spark, rows, schema, [(0, 3), (3, 5), (5, 6), (6, 8), (8, 10)], lambda s: jobs.run_batches(state.stream_match_parts(s), match, "match", offsets))
+    got = sorted((r["event_id"], r["sibling_id"], r["score"]) for r in spark.read.parquet(store).collect())
+    assert got == [("a", None, None), ("b", None, None), ("c", "b", 0.75), ("d", None, None), ("e", None, None), ("f", "e", 1.0)]

@@ -4,16 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pulseweave.lineage import new_path
+from pulseweave.lineage import materialize, new_path
 from pulseweave.operators import events as ev
+from pulseweave.operators import hashtags as ht
 from pulseweave.sources.collections import change_feed
-from pulseweave.streaming import jobs
+from pulseweave.streaming import jobs, state
 from workload import detection, tags  # noqa: F401  (their views are used below)
 from workload import views as v
 from workload.posts import REQUIRED_SQL, raw_from
 from workload.registry import case
 
 DELAY_MS = 6 * 3_600_000
+TAG_ROWS = "event_id string, start_time_ms long, end_time_ms long, term string, weight long, share double"
 
 
 def stream(spark, sf, name):
@@ -53,14 +55,53 @@ def stream_window_counts(spark, sf):
     return jobs.run_to_table(counts, "stream-windows")
 
 
+SLICES = 3
+
+
+def in_slices(df, label, at, run):
+    """Rows that arrive in time order, a third of the time after the other; ``run`` streams what has come.
+
+    A window may well begin in one slice and end in the next.
+    """
+    spark, path = df.sparkSession, new_path(df.sparkSession, label)
+    low, high = df.agg(F.min(at), F.max(at)).first()
+    step = ((high - low) // SLICES + 1) if low is not None else 1
+    for i in range(SLICES):
+        part = df.where(F.col(at).between((low or 0) + i * step, (low or 0) + (i + 1) * step - 1))
+        part.write.mode("append").parquet(path)
+        run(spark.readStream.schema(df.schema).parquet(path))
+
+
 @case(
     "stream_govern",
-    "SELECT user_id, count(*) // 5 AS n_admitted FROM events GROUP BY user_id HAVING count(*) >= 5",
+    """SELECT event_id, user_id FROM (
+      SELECT *, row_number() OVER (ORDER BY ts, event_id) AS r FROM events) WHERE r % 5 = 0""",
 )
 def stream_govern(spark, sf):
-    admitted = jobs.stream_govern(event_stream(spark, sf), 0.25, ["user_id"])
-    rows = jobs.run_to_table(admitted, "stream-govern")
-    return rows.groupBy("user_id").agg(F.count("*").alias("n_admitted"))
+    """Every fifth arrival, counted over three runs of the stream."""
+    arrivals = v.table(spark, sf, "events").select("event_id", "user_id", "ts", F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"))
+    store, offsets = new_path(spark, "governed"), new_path(spark, "govern-offsets")
+    govern = state.govern_batch(store, 0.25, ["ts", "event_id"])
+    in_slices(arrivals, "arrivals", "ms", lambda stream: jobs.run_batches(stream, govern, "govern", offsets))
+    return spark.read.parquet(f"{store}/admitted").select("event_id", "user_id")
+
+
+@case(
+    "stream_window_states",
+    v.sql(
+        f"""SELECT start_time_ms, end_time_ms, count(*) AS n_posts, CASE WHEN count(*) >= 330 THEN 0 ELSE 1 END AS retries,
+          CASE WHEN count(*) >= 330 THEN 'running' ELSE 'skip' END AS state FROM posts_w
+        WHERE end_time_ms < (SELECT max(timestamp_ms) FROM posts) - {DELAY_MS}
+        GROUP BY start_time_ms, end_time_ms
+        HAVING count(*) >= 330 OR end_time_ms + {v.DAY_MS} < (SELECT max(timestamp_ms) FROM posts) - {DELAY_MS}""",
+        "posts_w",
+        "posts",
+    ),
+)
+def stream_window_states(spark, sf):
+    """Windows that run, and those skipped after a second look a day later."""
+    counts = state.stream_window_states(event_stream(spark, sf), "ts", v.DAY_MS, "6 hours", 330, max_retries=1)
+    return jobs.run_to_table(counts, "stream-states")
 
 
 @case(
@@ -86,24 +127,6 @@ def stream_change_feed(spark, sf):
     return jobs.run_to_table(found.select("event_id", "event_type"), "stream-changes")
 
 
-SLICES = 3
-
-
-def sliced_stream(df, label, at="end_time_ms", span=v.DAY_MS):
-    """Windows of a table arriving in time order, a slice of whole windows per micro batch."""
-    spark = df.sparkSession
-    path = new_path(spark, label)
-    low, high = df.agg(F.min(at), F.max(at)).first()
-    if low is None:  # nothing to slice: one empty file keeps the stream's schema
-        df.write.parquet(path)
-        return spark.readStream.schema(df.schema).parquet(path)
-    step = ((high - low) // span // SLICES + 1) * span
-    for i in range(SLICES):
-        part = df.where(F.col(at).between(low + i * step, low + (i + 1) * step - 1))
-        part.coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
-
-
 @case(
     "stream_hashtag_score",
     v.sql(
@@ -124,22 +147,40 @@ def stream_hashtag_score(spark, sf):
     )
 
 
+CLOSED_SQL = f"SELECT DISTINCT end_time_ms FROM doc_events WHERE end_time_ms < (SELECT max(timestamp_ms) FROM text_posts) - {DELAY_MS}"
+
+
 @case(
     "stream_event_match",
     v.sql(
-        """SELECT t.event_id, t.term, m.prior_id AS sibling_id FROM doc_tags t
-        LEFT JOIN doc_matches m ON m.event_id = t.event_id""",
+        f"""SELECT t.event_id, t.term, m.prior_id AS sibling_id FROM doc_tags t JOIN doc_events e ON e.event_id = t.event_id
+        LEFT JOIN doc_matches m ON m.event_id = t.event_id
+        WHERE e.end_time_ms < (SELECT max(end_time_ms) FROM ({CLOSED_SQL}))""",
         "doc_tags",
+        "doc_events",
         "doc_matches",
+        "text_posts",
     ),
 )
 def stream_event_match(spark, sf):
-    ec = v.doc_ec(spark, sf)
-    heads = ev.event_rollup(ec).select("event_id", "start_time_ms", "end_time_ms")
-    rows = ev.event_hashtags(ec).join(heads, "event_id").select(
-        "event_id", "start_time_ms", "end_time_ms", "term", "weight"
-    )
-    store = new_path(spark, "matched-events")
-    source = sliced_stream(rows, "event-tags", span=v.DOC_SPAN_MS)
-    jobs.run_batches(source, jobs.event_match_batch(store, 0.2), "event-match")
-    return spark.read.parquet(store).select("event_id", "term", "sibling_id")
+    """Posts as they arrive, events as windows close, matches as the windows after them do."""
+    posts = v.text_posts(spark, sf).select("post_id", "hashtags", F.timestamp_millis("timestamp_ms").alias("ts"), "timestamp_ms")
+    tags, matches = new_path(spark, "event-tags"), new_path(spark, "matched-events")
+    offsets = [new_path(spark, f"match-offsets-{i}") for i in range(2)]
+
+    def form(windowed):
+        rows = materialize(windowed, "closed-windows")
+        groups = v.with_ids(ht.hashtag_groups(rows).where(F.col("size") >= v.DOC_MIN_POSTS))
+        ec = v.graph_of(rows, materialize(groups, "clusters")).ec
+        heads = ev.event_rollup(ec).select("event_id", "start_time_ms", "end_time_ms")
+        return ev.event_hashtags(ec).join(heads, "event_id").select("event_id", "start_time_ms", "end_time_ms", "term", "weight")
+
+    def run(stream):
+        closed = state.stream_closed_windows(stream.select("post_id", "hashtags", "ts"), "ts", v.DOC_SPAN_MS, "6 hours", parts=2)
+        jobs.run_batches(closed, state.event_tags_batch(tags, form), "form", offsets[0])
+        found = spark.readStream.schema(TAG_ROWS).parquet(tags)
+        jobs.run_batches(state.stream_match_parts(found), state.event_match_batch(matches, 0.2), "match", offsets[1])
+
+    in_slices(posts, "post-arrivals", "timestamp_ms", run)
+    sibling = spark.read.parquet(matches).select("event_id", "sibling_id")
+    return spark.read.parquet(tags).join(sibling, "event_id").select("event_id", "term", "sibling_id")

@@ -300,11 +300,14 @@ class DocGraph(NamedTuple):
 
 def doc_graph(spark: SparkSession, sf: str) -> DocGraph:
     """Members, links, communities and event clusters of the documents, each made once."""
+    return graph_of(doc_windowed(spark, sf), materialize(doc_clusters(spark, sf), "clusters"))
+
+
+def graph_of(windowed: DataFrame, clusters: DataFrame) -> DocGraph:
     from pulseweave.operators.events import event_clusters
     from pulseweave.operators.graph import neighbour_partition
 
-    clusters = materialize(doc_clusters(spark, sf), "clusters")
-    rows = materialize(ht.hashtag_members(doc_windowed(spark, sf), clusters), "members")
+    rows = materialize(ht.hashtag_members(windowed, clusters), "members")
     found = materialize(lk.cluster_links(rows), "links")
     edges = found.select(F.col("end_time_ms").alias("g"), "source", "target", "weight")
     partition = neighbour_partition(edges)
