@@ -168,3 +168,16 @@ def test_image_vectors(spark, tmp_path):
     images = binary_image_source(spark, str(tmp_path))
     out = {r.path[-5:]: r.vector for r in vj.image_vectors(images, model).collect()}
     assert out == {"a.jpg": [0.5, 0, 0, 0.5], "b.jpg": [-1.0]}
+
+
+def test_leaders_out_of_reach_change_nothing():
+    rng = np.random.default_rng(12)
+    centres = rng.normal(size=(30, 6))
+    rows = np.concatenate([c + rng.normal(scale=0.03, size=(60, 6)) for c in centres])
+    rows /= np.linalg.norm(rows, axis=1, keepdims=True)
+    leaders = rows[rng.permutation(len(rows))[:200]]
+    for threshold in (0.2, 0.9, 0.99):
+        best, sim = cl.best_leaders(rows, leaders, threshold)
+        all_sims = cl._cosines(rows, leaders)
+        want = np.where(all_sims.max(axis=1) > threshold, all_sims.argmax(axis=1), -1)
+        assert (best == want).all() and (sim[best >= 0] == all_sims.max(axis=1)[best >= 0]).all()
