@@ -16,8 +16,9 @@ from pulseweave.functions.hashing import string_hash32
 from pulseweave.lineage import broadcast_if_small, materialize
 
 MIN_GAIN = 1e-7
-#: Rounds without a gain after which a level ends; the halves of the nodes take turns.
-PATIENCE = 4
+#: Rounds from one measurement of the modularity (added up over graphs) to the next, and
+#: the gain from one to the next below which a level ends.
+MEASURED, MEASURED_GAIN = 4, 5e-4
 
 
 def undirected(edges: DataFrame) -> DataFrame:
@@ -115,16 +116,71 @@ def neighbour_partition(edges: DataFrame) -> DataFrame:
     )
 
 
+def _rated(state: DataFrame, active: DataFrame, links: DataFrame, turn: int) -> DataFrame:
+    """The state after a round: ``active`` nodes are rated, and those that gain and whose turn it is move.
+
+    Columns ``wants`` (would gain by moving) and ``moved`` say what came of it.
+    """
+    totals = state.groupBy("g", "c").agg(F.sum("k").alias("tot"), F.count("*").alias("size"))
+    near = links if active is state else links.join(broadcast_if_small(active.select("g", "n")), ["g", "n"], "left_semi")
+    around = near.join(broadcast_if_small(state.select("g", F.col("n").alias("m"), "c")), ["g", "m"]).select("g", "n", "c", "w")
+    # The node's own community is always an option, with or without links to it.
+    own = active.select("g", "n", "c", F.lit(0.0).alias("w"))
+    options = around.unionByName(own).groupBy("g", "n", "c").agg(F.sum("w").alias("w_in"))
+    lone = totals.select("g", F.col("c").alias("c_own"), (F.col("size") == 1).alias("alone"))
+    mine = state.select("g", "n", "k", "two_m", F.col("c").alias("c_own")).join(broadcast_if_small(lone), ["g", "c_own"])
+    is_own = F.col("c") == F.col("c_own")
+    without = F.col("tot") - F.when(is_own, F.col("k")).otherwise(0.0)
+    rated = (
+        options.join(totals, ["g", "c"])
+        .join(mine, ["g", "n"])
+        .where(~F.col("alone") | (F.col("size") > 1) | (F.col("c") <= F.col("c_own")))
+        .withColumn("gain", F.round(F.col("w_in") - without * F.col("k") / F.col("two_m"), 9))
+    )
+    best = rated.groupBy("g", "n").agg(
+        F.max("gain").alias("best_gain"), F.max(F.when(is_own, F.col("gain"))).alias("own_gain"),
+        # Highest gain first, smallest community id among equals.
+        F.min_by("c", F.struct(-F.col("gain"), F.col("c"))).alias("best"),
+    )
+    wishes = best.where(F.col("best_gain") > F.col("own_gain") + MIN_GAIN).select("g", "n", "best")
+    # Not a CRC: that one is linear, so two nodes would stay in step for ever.
+    turns = F.pmod(F.xxhash64("n", F.lit(turn // 2)), F.lit(2)) == turn % 2
+    wants = F.col("best").isNotNull()
+    return state.select("g", "n", "k", "two_m", "c").join(wishes, ["g", "n"], "left").select(
+        "g", "n", "k", "two_m", F.when(wants & turns, F.col("best")).otherwise(F.col("c")).alias("c"),
+        wants.alias("wants"), (wants & turns).alias("moved"),
+    )
+
+
+def _frontier(state: DataFrame, links: DataFrame) -> DataFrame:
+    """The nodes to rate next: neighbours of those that moved, and those that wait for their turn."""
+    moved = broadcast_if_small(state.where("moved").select("g", F.col("n").alias("m")))
+    beside = links.join(moved, ["g", "m"], "left_semi").select("g", "n")
+    return materialize(beside.unionByName(state.where("wants AND NOT moved").select("g", "n")).distinct(), "graph-frontier")
+
+
+def _state_modularity(state: DataFrame, seen: DataFrame) -> float:
+    """Modularity of a state, added up over all graphs."""
+    ends = broadcast_if_small(state.select("g", "n", "c"))
+    placed = seen.join(ends, ["g", "n"]).join(ends.select("g", F.col("n").alias("m"), F.col("c").alias("c_m")), ["g", "m"])
+    inside = placed.where(F.col("c") == F.col("c_m")).groupBy("g").agg(F.sum("w").alias("inside"))
+    totals = state.groupBy("g", "c").agg(F.sum("k").alias("tot"), F.first("two_m").alias("two_m"))
+    squares = totals.groupBy("g", "two_m").agg(F.sum(F.col("tot") * F.col("tot")).alias("squares"))
+    share = F.coalesce("inside", F.lit(0.0)) / F.col("two_m") - F.col("squares") / (F.col("two_m") * F.col("two_m"))
+    return squares.join(inside, "g", "left").agg(F.sum(share)).first()[0] or 0.0
+
+
 def _local_moves(edges: DataFrame, start: DataFrame | None) -> DataFrame:
     """Moves single nodes to neighbouring communities while modularity rises.
 
     Per round a hash splits the nodes in two halves and one half may move, and
     of two single nodes only the one with the larger id joins the other, so that
-    nodes do not swap places for ever. A round's table also holds each node's share
-    of the modularity before its moves; the rounds end when two in a row moved
-    nothing, or when ``PATIENCE`` rounds gained less than ``MIN_GAIN``, and the best
-    state is kept. Tables of a round that are small are broadcast; larger ones are
-    shuffled on (g, node).
+    nodes do not swap places for ever. A round rates the frontier only: neighbours of
+    the nodes that moved last, and nodes that have yet to wait for their turn. Once the
+    frontier is empty, or about as large as the graph, all nodes are rated again, and the
+    rounds end when none of them wants to move. They also end when a measurement of the modularity, one every
+    ``MEASURED`` rounds, finds next to no gain; the best state measured is kept. Small tables are
+    broadcast; larger ones are shuffled on (g, node).
     """
     seen = both_ways(edges)
     nodes = seen.groupBy("g", "n").agg(F.sum("w").alias("k"))
@@ -134,70 +190,26 @@ def _local_moves(edges: DataFrame, start: DataFrame | None) -> DataFrame:
         given = start.select("g", F.col("node").alias("n"), F.col("community").alias("_c"))
         state = state.join(given, ["g", "n"], "left").withColumn("c", F.coalesce("_c", "c")).drop("_c")
     state = materialize(state, "graph-state")
-    links = materialize(seen.where(F.col("n") != F.col("m")), "graph-links")
-    still, turn, best_q, best_state, since = 0, 0, float("-inf"), None, 0
+    seen = materialize(seen, "graph-links")
+    links = seen.where(F.col("n") != F.col("m"))
+    degree = links.count() / max(1, state.count())
+    turn, everyone, best_q, best_state = 0, True, float("-inf"), state
     while True:
-        small = broadcast_if_small(state)
-        tot = state.groupBy("g", "c").agg(F.sum("k").alias("tot"), F.count("*").alias("size"))
-        around = links.join(
-            small.select("g", F.col("n").alias("m"), "c"), ["g", "m"]
-        ).select("g", "n", "c", "w")
-        # The node's own community is always an option, with or without links to it.
-        own = state.select("g", "n", "c", F.lit(0.0).alias("w"))
-        options = around.unionByName(own).groupBy("g", "n", "c").agg(F.sum("w").alias("w_in"))
-        lone = tot.select("g", F.col("c").alias("c_own"), (F.col("size") == 1).alias("alone"))
-        mine = small.select("g", "n", "k", "two_m", F.col("c").alias("c_own"))
-        mine = mine.join(broadcast_if_small(lone), ["g", "c_own"])
-        rated = (
-            options.join(tot, ["g", "c"])
-            .join(mine, ["g", "n"])
-            .withColumn("own", F.col("c") == F.col("c_own"))
-            .where(~F.col("alone") | (F.col("size") > 1) | (F.col("c") <= F.col("c_own")))
-            .withColumn(
-                "gain",
-                F.round(
-                    F.col("w_in")
-                    - (F.col("tot") - F.when(F.col("own"), F.col("k")).otherwise(0.0))
-                    * F.col("k")
-                    / F.col("two_m"),
-                    9,
-                ),
-            )
-        )
-        share = (F.col("w_in") - F.col("k") * F.col("tot") / F.col("two_m")) / F.col("two_m")
-        best = rated.groupBy("g", "n", "k", "two_m", "c_own").agg(
-            F.max("gain").alias("best_gain"),
-            F.max(F.when(F.col("own"), F.col("gain"))).alias("own_gain"),
-            F.max(F.when(F.col("own"), share)).alias("q"),
-            # Highest gain first, smallest community id among equals.
-            F.min_by("c", F.struct(-F.col("gain"), F.col("c"))).alias("best"),
-        )
-        # Not a CRC: that one is linear, so two nodes would stay in step for ever.
-        coin = F.xxhash64("n", F.lit(turn // 2))
-        move = (F.col("best_gain") > F.col("own_gain") + MIN_GAIN) & (F.pmod(coin, F.lit(2)) == turn % 2)
-        after = materialize(
-            best.select(
-                "g", "n", "k", "two_m", F.col("c_own").alias("before"), "q",
-                F.when(move, F.col("best")).otherwise(F.col("c_own")).alias("c"),
-                move.alias("moved"),
-            ),
-            "graph-state",
-        )
-        q, moved = after.agg(F.sum("q"), F.count_if("moved")).first()
-        if q is None:
-            break
-        if q > best_q + MIN_GAIN:
-            best_q, best_state, since = q, after, 0
-        else:
-            since += 1
-        still = 0 if moved else still + 1
-        state = after.select("g", "n", "k", "two_m", "c")
+        active = state if everyone else state.join(broadcast_if_small(_frontier(state, links)), ["g", "n"], "left_semi")
+        state = materialize(_rated(state, active, links, turn), "graph-state")
+        size, wanted, moved = state.agg(F.count("*"), F.count_if("wants"), F.count_if("moved")).first()
         turn += 1
-        if still == 2 or since == PATIENCE:
+        if not wanted and everyone:
             break
-    if best_state is None:
-        return state.select("g", F.col("n").alias("node"), F.col("c").alias("community"))
-    return best_state.select("g", F.col("n").alias("node"), F.col("before").alias("community"))
+        # Moves that many nodes are next to leave next to nobody out.
+        everyone = not wanted or moved * degree > size
+        if turn % MEASURED == 0:
+            q = _state_modularity(state, seen)
+            if q <= best_q + MEASURED_GAIN:
+                best_state = state if q > best_q else best_state
+                return best_state.select("g", F.col("n").alias("node"), F.col("c").alias("community"))
+            best_q, best_state = q, state
+    return state.select("g", F.col("n").alias("node"), F.col("c").alias("community"))
 
 
 def _best_level(edges: DataFrame, partitions: Sequence[DataFrame]) -> DataFrame:
