@@ -1,13 +1,16 @@
 """Approximate nearest neighbours by a permutation index.
 
-A vector is represented by its nearest pivots in order. Pivot inverted files post it
-under each of these; a query reads the files of its own nearest pivots, ranks what
-they hold by the footrule distance of the two orders, and reranks the best by the
-exact cosine. Files and queries of a pivot meet in blocks of bounded size.
+A vector is represented by its nearest pivots in order. The index is cut into blocks of
+vectors; in a block, pivot inverted files post every vector under each of its pivots,
+with the place that the pivot has in the vector's order. A query reads the files of its
+own pivots and adds up, per vector, what each shared pivot takes off the footrule
+distance of the two orders. The vectors nearest by footrule, a bounded share of the
+block, are reranked by the exact cosine; no other vector is looked at.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,28 +23,33 @@ from pulseweave.lineage import materialize
 
 NEIGHBOURS = 5
 SEED = 23
-#: Postings and queries of one block.
-BLOCK_POSTINGS = 16_384
-BLOCK_QUERIES = 1_024
+#: Vectors and queries of one block.
+BLOCK_VECTORS = 16_384
+BLOCK_QUERIES = 4_096
 #: More than cosines of unit vectors in single precision are off.
 ROUGH_ERROR = 1e-4
 
 
 @dataclass(frozen=True)
 class Layout:
-    """Pivots, how many of them represent a vector, and what a query looks at.
+    """Pivots, how many of them represent a vector, and how many vectors a query reranks.
 
-    ``pivots`` vectors are drawn by hash as pivots, whatever the table's size. A vector
-    is posted under its ``posted`` nearest; a query reads the files of its ``probes``
-    nearest and reranks the ``share`` of each block that is nearest by footrule, but no
-    fewer than ``least``.
+    Pivots are drawn by hash from the table, twice the square root of its size within the
+    bounds given. A vector is posted under its ``posted`` nearest, and a query reads as
+    many files. Of each block the ``share`` nearest by footrule are reranked, and ``more``.
     """
 
-    pivots: int = 128
-    posted: int = 16
-    probes: int = 24
-    share: float = 0.5
-    least: int = 512
+    least_pivots: int = 256
+    most_pivots: int = 4096
+    posted: int = 64
+    share: float = 0.08
+    more: int = 32
+
+    def pivots(self, rows: int) -> int:
+        return min(self.most_pivots, max(self.least_pivots, 2 * math.isqrt(rows)))
+
+    def shortlist(self, rows: int) -> int:
+        return min(rows, math.ceil(self.share * rows) + self.more)
 
 
 def usable(vector: Column) -> Column:
@@ -57,23 +65,31 @@ def orders(vectors: np.ndarray, pivots: np.ndarray, length: int) -> np.ndarray:
     return np.argsort(-(unit @ pivots.T), axis=1, kind="stable")[:, :length].astype(np.int16)
 
 
-def footrule_places(others: np.ndarray) -> np.ndarray:
-    """Places of an order's pivots in the table of ``footrule``; made once for many queries."""
-    return others.astype(np.int32) * others.shape[1] + np.arange(others.shape[1], dtype=np.int32)[None, :]
+class PivotFiles:
+    """Inverted files of a block: under each pivot the rows that hold it, and its place there."""
 
+    def __init__(self, held: np.ndarray, pivots: int) -> None:
+        self.rows, self.length = held.shape
+        by_pivot = np.argsort(held.ravel(), kind="stable")
+        self.row, self.place = np.divmod(by_pivot, max(self.length, 1))
+        self.starts = np.searchsorted(held.ravel()[by_pivot], np.arange(pivots + 1))
 
-def footrule(order: np.ndarray, places: np.ndarray, pivots: int) -> np.ndarray:
-    """Footrule distance of one order to many; a pivot missing in one stands behind its end.
+    def shared(self, order: np.ndarray) -> np.ndarray:
+        """Per row, half of what the pivots it shares with ``order`` take off the footrule distance.
 
-    A pivot that both have adds the difference of its places, one that only the other
-    has adds the way from its place to the end, and so does one that only the query
-    has. All of it is one table of pivot and place, summed along each order.
-    """
-    m = len(order)
-    place = np.full(pivots, m, np.int32)
-    place[order] = np.arange(m)
-    table = np.abs(place[:, None] - np.arange(m)[None, :]) - (m - place)[:, None]
-    return table.ravel()[places].sum(axis=1) + (m - np.arange(m)).sum()
+        A pivot that only one order has stands behind the end of the other. With places a
+        and b of a shared pivot in orders of length m, the distance is less by
+        (m - a) + (m - b) - abs(a - b), which is twice m - max(a, b).
+        """
+        low, high = self.starts[order], self.starts[order + 1]
+        size = high - low
+        at = np.repeat(low - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        worth = self.length - np.maximum(self.place[at], np.repeat(np.arange(len(order)), size))
+        return np.bincount(self.row[at], weights=worth, minlength=self.rows)
+
+    def footrule(self, order: np.ndarray) -> np.ndarray:
+        """Footrule distance of ``order`` to every row."""
+        return self.length * (self.length + 1) - 2 * self.shared(order)
 
 
 def exact_cosines(query: np.ndarray, vectors: np.ndarray) -> np.ndarray:
@@ -83,24 +99,35 @@ def exact_cosines(query: np.ndarray, vectors: np.ndarray) -> np.ndarray:
     return np.clip(dots / norms, -1.0, 1.0)
 
 
-def nearest(query: np.ndarray, ids: np.ndarray, of: np.ndarray, vectors: np.ndarray, rough: np.ndarray, allowed: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The k nearest ids of the allowed vectors and exact cosines, ties to the smaller id.
+def nearest(query: np.ndarray, ids: np.ndarray, vectors: np.ndarray, rough: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k nearest ids of a shortlist and their exact cosines, ties to the smaller id.
 
-    An id with several vectors counts once, by its nearest; ``of`` numbers the distinct
-    ids. ``rough`` are single precision cosines; what they put near the k-th id is
-    computed exactly.
+    An id with several vectors counts once, by its nearest. ``rough`` are single
+    precision cosines; what they put near the k-th id is computed exactly.
     """
-    rough = np.where(allowed, rough, -np.inf)
-    tops = np.full(of.max() + 1, -np.inf)
+    names, of = np.unique(ids, return_inverse=True)
+    tops = np.full(len(names), -np.inf)
     np.maximum.at(tops, of, rough)
     bound = np.partition(tops, len(tops) - k)[len(tops) - k] if len(tops) > k else -np.inf
-    near = np.flatnonzero(allowed & (rough >= bound - ROUGH_ERROR))
+    near = np.flatnonzero(rough >= bound - ROUGH_ERROR)
     scores = exact_cosines(query, vectors[near].astype(float))
     best = np.lexsort((ids[near], -scores))
     best = best[np.sort(np.unique(ids[near][best], return_index=True)[1])][:k]
     return ids[near][best], scores[best]
 
 
+def shortlist(shared: np.ndarray, most: int, least: int) -> np.ndarray:
+    """The ``most`` rows nearest by footrule, with all that tie with the last.
+
+    Rows that share no pivot are in it only if fewer than ``least`` others are.
+    """
+    if most >= len(shared):
+        return np.arange(len(shared))
+    bound = np.partition(shared, len(shared) - most)[len(shared) - most]
+    found = np.flatnonzero(shared >= max(bound, 1))
+    return found if len(found) >= least else np.arange(len(shared))
+
+
 def _matrix(column: pa.Array, dim: int, kind=np.float64) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(kind).reshape(-1, dim)
 
@@ -119,33 +146,29 @@ def _ordered(pivots: np.ndarray, length: int):
 
 
 def _search(layout: Layout, pivots: int, dim: int, k: int):
-    def run(posted: pa.Table, asked: pa.Table) -> pa.Table:
+    def run(held: pa.Table, asked: pa.Table) -> pa.Table:
         schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
-        if not posted.num_rows or not asked.num_rows:
+        if not held.num_rows or not asked.num_rows:
             return schema.empty_table()
-        posted, asked = posted.combine_chunks(), asked.combine_chunks()
+        held, asked = held.combine_chunks(), asked.combine_chunks()
         take = lambda t, c: t.column(c).combine_chunks()
-        ids = take(posted, "vec_id").to_numpy()
+        ids = take(held, "vec_id").to_numpy()
         unit = lambda rows: rows / np.abs(rows).max(axis=1, keepdims=True)
         single = lambda rows: (rows / np.linalg.norm(rows, axis=1, keepdims=True)).astype(np.float32)
-        vectors, queries = _matrix(take(posted, "v"), dim), _matrix(take(asked, "v"), dim)
-        names = take(asked, "vec_id").to_numpy()
-        rough = single(unit(queries)) @ single(unit(vectors)).T
-        length = len(take(posted, "order")[0])
-        held = take(posted, "order").flatten().to_numpy().reshape(-1, length)[:, : layout.posted]
-        own = take(asked, "order").flatten().to_numpy().reshape(-1, length)[:, : layout.posted]
-        places = footrule_places(held)
-        of = np.unique(ids, return_inverse=True)[1]
-        most = max(layout.least, int(np.ceil(layout.share * len(ids))))
-        out = []
-        for i, name in enumerate(names):
-            allowed = ids != name
-            if len(ids) > most:
-                far = footrule(own[i], places, pivots)
-                allowed &= far <= np.partition(far, most - 1)[most - 1]
-            near, scores = nearest(queries[i], ids, of, vectors, rough[i], allowed, k)
-            out.append((np.full(len(near), name), near, scores))
-        return pa.table([np.concatenate(c) for c in zip(*out)], schema=schema)
+        vectors, queries = _matrix(take(held, "v"), dim), _matrix(take(asked, "v"), dim)
+        length = len(take(held, "order")[0])
+        files = PivotFiles(take(held, "order").flatten().to_numpy().reshape(-1, length), pivots)
+        orders_asked = take(asked, "order").flatten().to_numpy().reshape(-1, length)
+        units, queries_unit = single(unit(vectors)), single(unit(queries))
+        most, out = layout.shortlist(len(ids)), []
+        for i, name in enumerate(take(asked, "vec_id").to_numpy()):
+            # The query's own rows are nearest to it, so they come on top of the shortlist.
+            own = np.flatnonzero(ids == name)
+            near = np.setdiff1d(shortlist(files.shared(orders_asked[i]), most + len(own), k + len(own)), own, assume_unique=True)
+            if len(near):
+                best, scores = nearest(queries[i], ids[near], vectors[near], units[near] @ queries_unit[i], k)
+                out.append((np.full(len(best), name), best, scores))
+        return pa.table([np.concatenate(c) for c in zip(*out)], schema=schema) if out else schema.empty_table()
 
     return run
 
@@ -163,11 +186,13 @@ def index_vectors(embeddings: DataFrame, layout: Layout) -> tuple[DataFrame, int
     common = rows.groupBy(F.size("v").alias("dim")).count().orderBy(F.desc("count"), "dim").first()
     dim = common["dim"] if common else 1
     rows = rows.filter(F.size("v") == dim)
-    drawn = rows.orderBy(F.xxhash64("vec_id", F.lit(SEED)), "vec_id").limit(layout.pivots).collect()
+    # A bounded number of vectors, from which alone the pivot orders are learned; all rows are indexed.
+    n_pivots = layout.pivots(common["count"] if common else 0)
+    drawn = rows.orderBy(F.xxhash64("vec_id", F.lit(SEED)), "vec_id").limit(n_pivots).collect()
     points = np.array([r["v"] for r in drawn], dtype=float).reshape(-1, dim)
     points /= np.abs(points).max(axis=1, keepdims=True)
     points /= np.linalg.norm(points, axis=1, keepdims=True)
-    length = min(max(layout.posted, layout.probes), len(points))
+    length = min(layout.posted, len(points))
     if not length:
         return rows.withColumn("order", F.array().cast("array<smallint>")), 0, dim
     found = rows.mapInArrow(_ordered(points, length), f"vec_id long, v array<{'float' if single else 'double'}>, order array<smallint>")
@@ -187,23 +212,15 @@ def nearest_neighbours(embeddings: DataFrame, queries: Column, k: int = NEIGHBOU
     if not pivots:
         empty = embeddings.sparkSession.createDataFrame([], schema)
         return empty.select("query_id", F.lit(1).alias("rank"), "vec_id", "score")
-    posted = index.select("vec_id", "v", "order", F.explode(F.slice("order", 1, layout.posted)).alias("pivot"))
-    asked = index.filter(queries).select("vec_id", "v", "order", F.explode(F.slice("order", 1, layout.probes)).alias("pivot"))
-    # One row per pivot: how many blocks its file and its queries are dealt over.
-    parts = lambda rows, block, name: rows.groupBy("pivot").agg(F.ceil(F.count("*") / block).cast("int").alias(name))
-    dealt = parts(posted, BLOCK_POSTINGS, "files").join(parts(asked, BLOCK_QUERIES, "groups"), "pivot")
-    dealt = F.broadcast(materialize(dealt, "pivot-blocks"))  # as many rows as pivots
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    one = lambda n: F.pmod(F.xxhash64("vec_id"), F.col(n)).cast("int")
-    posted = posted.join(dealt, "pivot").withColumn("file", one("files")).withColumn("group", every("groups"))
-    asked = asked.join(dealt, "pivot").withColumn("group", one("groups")).withColumn("file", every("files"))
-    columns = ["pivot", "file", "group", "vec_id", "v", "order"]
-    keys = ["pivot", "file", "group"]
-    asked = asked.select(*[F.col(c).alias(c) for c in columns])  # columns of its own, as both sides are one table
-    found = (
-        posted.select(columns).groupBy(*keys).cogroup(asked.groupBy(*keys))
-        .applyInArrow(_search(layout, pivots, dim, k), schema)
-    )
+    asked = index.filter(queries)
+    blocks, groups = (max(1, math.ceil(rows.count() / size)) for rows, size in ((index, BLOCK_VECTORS), (asked, BLOCK_QUERIES)))
+    one = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    columns, keys = ["vec_id", "v", "order"], ["block", "group"]
+    held = index.select(*columns, one(blocks).alias("block"), every(groups).alias("group"))
+    # Columns of its own, as both sides are one table.
+    asked = asked.select(*[F.col(c).alias(c) for c in columns], one(groups).alias("group"), every(blocks).alias("block"))
+    found = held.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(_search(layout, pivots, dim, k), schema)
     found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     by_score = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(by_score)).filter(F.col("rank") <= k)

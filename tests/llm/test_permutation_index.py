@@ -18,9 +18,13 @@ def brute(ids, vectors, queries, k=5):
     return out
 
 
-def test_recall(spark):
+def test_recall(spark, monkeypatch):
+    """Footrule picks about a tenth of the vectors of each of two blocks."""
+    monkeypatch.setattr(pi, "BLOCK_VECTORS", 1200)
     frame = spark.read.parquet(SMALL)
-    got = pi.nearest_neighbours(frame, F.expr(EVERY)).collect()
+    layout = pi.Layout()
+    assert layout.shortlist(1000) <= 0.12 * 1000
+    got = pi.nearest_neighbours(frame, F.expr(EVERY), layout=layout).collect()
     rows = frame.orderBy("vec_id").collect()
     ids, vectors = [r["vec_id"] for r in rows], np.array([r["embedding"] for r in rows], float)
     want = brute(ids, vectors, [i for i in ids if i % 50 == 0])
@@ -32,7 +36,7 @@ def test_recall(spark):
 
 
 def test_small_and_odd_vectors_are_exact(spark, monkeypatch):
-    monkeypatch.setattr(pi, "BLOCK_POSTINGS", 3)
+    monkeypatch.setattr(pi, "BLOCK_VECTORS", 3)
     monkeypatch.setattr(pi, "BLOCK_QUERIES", 1)
     rng = np.random.default_rng(0)
     good = [(i, rng.normal(size=4).tolist()) for i in range(12)] + [(i, [1.0, 1.0, 0.0, 0.0]) for i in (50, 20, 21, 22, 23, 24, 25)]
@@ -54,7 +58,15 @@ def test_footrule():
     order, others = np.array([3, 1, 2]), np.array([[3, 1, 2], [1, 3, 2], [4, 5, 6], [2, 4, 3]])
     place = lambda o, p: list(o).index(p) if p in o else 3
     want = [sum(abs(place(order, p) - place(o, p)) for p in set(order) | set(o)) for o in others]
-    assert pi.footrule(order, pi.footrule_places(others), 8).tolist() == want
+    assert pi.PivotFiles(others, 8).footrule(order).tolist() == want
+
+
+def test_shortlist_is_bounded_and_keeps_ties():
+    shared = np.array([5, 0, 3, 3, 9, 0, 1, 3.0])
+    assert pi.shortlist(shared, 3, 2).tolist() == [0, 2, 3, 4, 7]
+    assert pi.shortlist(shared, 7, 2).tolist() == [0, 2, 3, 4, 6, 7]
+    assert len(pi.shortlist(np.zeros(9), 3, 2)) == 9 and len(pi.shortlist(shared, 20, 2)) == 8
+    assert pi.Layout().shortlist(51_282) < 0.1 * 51_282 and pi.Layout().pivots(51_282) == 452
 
 
 def test_rows_that_repeat_fill_no_places(spark):
