@@ -22,9 +22,9 @@ from pulseweave.llm.textbytes import Hasher, Words, mixed, portions, row_sums, s
 #: Labelled good documents that the target model takes at most, by hash of their ids.
 TARGET_ROWS = 20_000
 BUCKET_BITS = 16
-#: Longer documents weigh as so many of their average n-grams, so length alone decides nothing.
+#: A document weighs as so many of its average n-grams, so length alone decides nothing.
 EFFECTIVE_GRAMS = 64
-#: Least weight of a plausible document: half a nat lost on every effective n-gram.
+#: Least weight of a plausible document of any length: half a nat lost on its average n-gram.
 PLAUSIBLE = -0.5 * EFFECTIVE_GRAMS
 SMOOTHING = 1.0
 SEED = 17
@@ -90,7 +90,7 @@ def _score(ratio: np.ndarray):
                 rows = slice(first, first + len(offsets) - 1)
                 total[rows] = row_sums((ratio[buckets] * exists).sum(axis=1), words.per_row)
                 grams[rows] = row_sums(exists.sum(axis=1), words.per_row)
-            weight = total * EFFECTIVE_GRAMS / np.maximum(grams, EFFECTIVE_GRAMS)
+            weight = total * EFFECTIVE_GRAMS / np.maximum(grams, 1)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), *batch.columns[3:], pa.array(grams), pa.array(weight, mask=grams == 0)],
                 ["doc_id", "target", *batch.schema.names[3:], "n_grams", "log_weight"],
@@ -166,12 +166,14 @@ def kth_largest(keys: DataFrame, k: int) -> float | None:
 def quality_selection(documents: DataFrame, labels: DataFrame, k: int | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """Draws documents by weight: adds ``selection_key`` and ``selected`` to the weights.
 
-    The noise of a row is a hash of its id, so a run gives the same draw again. Without
-    ``k`` as many rows are drawn as have a weight of ``PLAUSIBLE`` or more. Texts without words are never drawn;
+    The noise of a row is a hash of its id and text, so a run gives the same draw again and
+    rows that share an id, or have none, draw for themselves. Without ``k`` as many rows
+    are drawn as have a weight of ``PLAUSIBLE`` or more. Texts without words are never drawn;
     rows that tie with the k-th are all drawn. The columns ``keep`` come along with their row.
     """
-    scored = materialize(importance_weights(documents, labels, keep), "weights")
-    uniform = (F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(1 << 52)).cast("double") + 0.5) / F.lit(float(1 << 52))
+    marked = documents.withColumn("_noise", F.xxhash64("doc_id", F.col("text").cast("string"), F.lit(SEED)))
+    scored = materialize(importance_weights(marked, labels, (*keep, "_noise")), "weights")
+    uniform = (F.pmod(F.col("_noise"), F.lit(1 << 52)).cast("double") + 0.5) / F.lit(float(1 << 52))
     keyed = scored.withColumn("selection_key", F.col("log_weight") - F.log(-F.log(uniform)))
     if k is None:
         k = scored.filter(F.col("log_weight") >= PLAUSIBLE).count()

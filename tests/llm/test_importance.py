@@ -24,7 +24,7 @@ def plain_weights(texts, good):
             target[g] = target.get(g, 0) + is_good
     n, m, size = sum(raw.values()), sum(target.values()), 1 << im.BUCKET_BITS
     ratio = {g: np.log((target[g] + 1) / (m + size) / ((raw[g] * m / n + 1) / (m + size))) for g in raw}
-    return [sum(ratio[g] for g in own) * 64 / max(64, len(own)) if own else None for own in grams]
+    return [sum(ratio[g] for g in own) * 64 / len(own) if own else None for own in grams]
 
 
 def test_weights_against_plain_counts(spark):
@@ -73,3 +73,22 @@ def test_draw_of_k_and_empty_tables(spark):
     assert {r["selection_key"] for r in rows if r["selected"]} == set(keys[:10])
     assert im.quality_selection(docs.limit(0), none).count() == 0
     assert docs.select(F.count("*")).first()[0] == 51
+
+
+def test_rows_that_share_an_id_draw_for_themselves(spark):
+    rows = [(None, f"the words of text number {i} are here") for i in range(50)] + [(7, f"another text {i} of the same id") for i in range(50)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([], "doc_id long, quality int")
+    got = im.quality_selection(frame, labels, k=20).collect()
+    # Without labels all weights are zero, so keys are noise alone.
+    assert len({r["selection_key"] for r in got}) == 100 and sum(r["selected"] for r in got) == 20
+
+
+def test_short_texts_are_held_to_the_same_bound(spark):
+    good = [(i, "we walk to the old town and talk about the long day " * 3) for i in range(40)]
+    poor = [(100 + i, "BUY NOW!!! 100% $$$ CLICK >>> WIN " * 9) for i in range(40)]
+    short = [(200, "BUY NOW!!!"), (201, "we walk to the old town")]
+    labels = spark.createDataFrame([(i, 1) for i in range(40)] + [(100 + i, 0) for i in range(40)], "doc_id long, quality int")
+    frame = spark.createDataFrame(good + poor + short, "doc_id long, text string")
+    drawn = {r["doc_id"] for r in im.quality_selection(frame, labels).collect() if r["selected"]}
+    assert 201 in drawn and 200 not in drawn and set(range(40)) <= drawn and not drawn & set(range(100, 140))

@@ -43,8 +43,36 @@ def test_batches_and_odd_texts(spark, monkeypatch):
 
 def test_bins_are_bounded(spark):
     bins = spark.range(0, 1 << 20).select(packing.length_bin(F.col("id")).alias("b"), "id")
-    assert bins.filter("b < id").count() == 0
-    assert bins.select("b").distinct().count() < 64 * 16 and bins.filter("id <= 128 AND b <> id").count() == 0
+    assert bins.filter("b < id").count() == 0 and bins.filter("id <= 131072 AND b <> id").count() == 0
+    wide = spark.range(0, 1 << 20).select(packing.length_bin((1 << 40) + F.col("id") * (1 << 20)).alias("b"))
+    assert wide.distinct().count() <= (1 << 16) + 1
+
+
+def plain_padding(lengths, buckets):
+    """Least padding over all cuts of the sorted lengths, by the plain recurrence."""
+    lengths = sorted(lengths)
+    n = len(lengths)
+    total = [0, *itertools.accumulate(lengths)]
+    best = [0] + [float("inf")] * n
+    for _ in range(buckets):
+        best = [0] + [min(best[i] + lengths[j - 1] * (j - i) - (total[j] - total[i]) for i in range(j)) for j in range(1, n + 1)]
+    return best[n]
+
+
+def test_padding_is_least_over_exact_lengths(spark):
+    rng = np.random.default_rng(4)
+    for buckets in (1, 3, 6):
+        lengths = [int(x) for x in rng.lognormal(6, 1.5, 180)]
+        frame = spark.createDataFrame(list(enumerate(lengths)), "doc_id long, n long").withColumn("text", F.lit(""))
+        rows = packing.pack(frame, F.col("n"), buckets=buckets)
+        assert rows.agg(F.sum("padding")).first()[0] == plain_padding(lengths, buckets)
+
+
+def test_rows_without_id_are_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(packing, "ROWS_PER_CHUNK", 50)
+    frame = spark.range(1000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("a b").alias("text"))
+    rows = packing.pack(frame, budget=20).groupBy("bucket", "batch").count().collect()
+    assert len(rows) == 100 and all(r["count"] == 10 for r in rows)
 
 
 def test_empty_table(spark):
