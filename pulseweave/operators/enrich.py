@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from pulseweave.functions.text import WORD_RUN
 from pulseweave.lineage import broadcast_if_small, materialize
 
+#: First words of names that are looked up inside a text's row; with more, every place is tried.
+MOST_STARTS = 10_000
+
 Enricher = Callable[[DataFrame], DataFrame]
 
 _ENRICHERS: dict[str, Enricher] = {}
@@ -27,17 +30,32 @@ def enricher(name: str) -> Enricher:
     return _ENRICHERS[name]
 
 
-def word_grams(words: Column, longest: int) -> Column:
-    """Words of a text and their neighbours joined, up to ``longest`` words.
+def word_grams(words: str, starts: dict[int, list[str] | None]) -> Column:
+    """Runs of words of the column ``words`` that may be names, each once.
 
-    Each longer run is the shorter one zipped with the words further on, so the
-    work stays linear in the length of the text.
+    ``starts`` holds the lengths that names have, and for each the words that such a name
+    can start with (None: any word), so only these places and lengths are joined.
     """
-    runs = [words]
-    for n in range(2, longest + 1):
-        ahead = F.slice(words, n, F.greatest(F.size(words), F.lit(1)))
-        runs.append(F.zip_with(runs[-1], ahead, lambda a, b: F.concat(a, F.lit(" "), b)))
-    return F.array_distinct(F.array_compact(F.concat(*runs)))
+
+    def of_length(n: int, first: list[str] | None) -> Column:
+        if n == 1:
+            return F.col(words)
+        places = F.sequence(F.lit(1), F.size(words) - F.lit(n - 1))
+        if first is not None:
+            places = F.filter(places, lambda i: F.get(words, i - 1).isin(first))
+        return F.when(F.size(words) >= n, F.transform(places, lambda i: F.array_join(F.slice(words, i, n), " ")))
+
+    runs = [of_length(n, first) for n, first in sorted(starts.items())]
+    none = F.array().cast("array<string>")
+    return F.array_distinct(F.concat(none, *[F.coalesce(r, none) for r in runs]))
+
+
+def name_starts(names: DataFrame, most: int = MOST_STARTS) -> dict[int, list[str] | None]:
+    """Lengths of the names in words, and their first words where these are at most ``most``."""
+    words = F.regexp_extract_all("label", F.lit(WORD_RUN), 1)
+    first = names.select(F.size(words).alias("n"), F.get(words, F.lit(0)).alias("first")).distinct()
+    counts = first.groupBy("n").agg(F.count("*").alias("firsts"), F.sort_array(F.collect_set("first")).alias("list"))
+    return {r["n"]: r["list"] for r in counts.select("n", F.when(F.col("firsts") <= most, F.col("list")).alias("list")).collect() if r["n"]}
 
 
 def extract_entities(
@@ -53,11 +71,9 @@ def extract_entities(
     names = gazetteer.select("label", "tag")
     if tag is not None:
         names = names.where(F.col("tag") == tag)
-    if longest is None:
-        n_words = F.size(F.regexp_extract_all("label", F.lit(WORD_RUN), 1))
-        longest = names.agg(F.max(n_words)).first()[0] or 1
+    starts = {n: first for n, first in name_starts(names).items() if longest is None or n <= longest}
     words = docs.select(doc_id, F.regexp_extract_all(F.lower(text), F.lit(WORD_RUN), 1).alias("words"))
-    grams = words.select(doc_id, F.explode_outer(word_grams(F.col("words"), longest)).alias("label"))
+    grams = words.select(doc_id, F.explode_outer(word_grams("words", starts)).alias("label"))
     return grams.join(broadcast_if_small(names.distinct()), "label").select(doc_id, "label", "tag")
 
 

@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pulseweave.functions import text as tx
-from pulseweave.functions.vector import cosine, dot, norm, scale, sum_vector
+from pulseweave.functions.vector import dot, norm, scale, sum_vector, usable
 from pulseweave.lineage import broadcast_if_small, materialize
+from pulseweave.operators.ordering import kth_value, with_rank, with_row_index
 
 TOP_IDF = 3
-PROBE_DOCS = 100
+#: Documents that one task holds against as many others.
+PROBE_BLOCK = 4096
 #: A word vector task trains on no fewer and about no more than so many tokens.
 MIN_TOKENS_PER_TASK, TOKENS_PER_TASK = 10_000, 20_000_000
 
@@ -144,67 +149,71 @@ def doc_cosines(vectors: DataFrame, doc_id: str, query_id: int | str) -> DataFra
     )
 
 
-def most_similar_docs(cosines: DataFrame, doc_id: str, bins: int = 4096) -> DataFrame:
+def most_similar_docs(cosines: DataFrame, doc_id: str) -> DataFrame:
     """Most, median and least similar document by (cosine desc, id).
 
-    The median is found through a histogram: counts per bin say which bin holds
-    the middle row, and only that bin's rows are ranked.
+    The median is an order statistic of the cosines; only documents whose cosine is just
+    that value are put in order of their ids, by a distributed sort.
     """
-    rounded = F.round("cosine", 9)
-    rows = cosines.select(doc_id, rounded.alias("cosine")).withColumn(
-        "_bin", F.floor((1.0 - F.col("cosine")) / (2.0 / bins))
-    )
-    per_bin = rows.groupBy("_bin").agg(F.count("*").alias("n"))
-    before = Window.orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
-    placed = per_bin.withColumn("_before", F.coalesce(F.sum("n").over(before), F.lit(0))).withColumn(
-        "_middle", F.floor(F.sum("n").over(Window.partitionBy()) / 2)
-    )
-    holds = placed.where(
-        (F.col("_before") <= F.col("_middle")) & (F.col("_middle") < F.col("_before") + F.col("n"))
-    )
-    in_bin = rows.join(F.broadcast(holds.select("_bin", "_before", "_middle")), "_bin")
-    order = Window.partitionBy("_bin").orderBy(F.col("cosine").desc(), doc_id)
-    median = (
-        in_bin.withColumn("_pos", F.col("_before") + F.row_number().over(order) - 1)
-        .where(F.col("_pos") == F.col("_middle"))
-        .select(F.lit("median").alias("which"), doc_id, "cosine")
-    )
+    rows = cosines.select(doc_id, F.round("cosine", 9).alias("cosine"))
+    falling = rows.select((-F.col("cosine")).alias("down"))
+    n = rows.count()
+    found = kth_value(falling, "down", n // 2)
+    if found is None:
+        return rows.select(F.lit("most").alias("which"), doc_id, "cosine")
+    value, before = found
+    ties = with_row_index(rows.where(F.col("cosine") == -value), [doc_id], "_place")
+    median = ties.where(F.col("_place") == n // 2 - before)
     most = rows.orderBy(F.col("cosine").desc(), doc_id).limit(1)
     least = rows.orderBy(F.col("cosine").asc(), F.col(doc_id).desc()).limit(1)
-    return (
-        most.select(F.lit("most").alias("which"), doc_id, "cosine")
-        .unionByName(median)
-        .unionByName(least.select(F.lit("least").alias("which"), doc_id, "cosine"))
-    )
+    named = lambda df, which: df.select(F.lit(which).alias("which"), doc_id, "cosine")
+    return named(most, "most").unionByName(named(median, "median")).unionByName(named(least, "least"))
+
+
+def _unit_vectors(column: pd.Series) -> np.ndarray:
+    rows = np.stack(column.to_numpy()).astype(float)
+    return rows / np.linalg.norm(rows, axis=1, keepdims=True)
 
 
 def probe_word_cosines(
     tokens: DataFrame, vectors: DataFrame, doc_id: str, word_a: str, word_b: str,
-    bin_width: float = 0.01, first: int = PROBE_DOCS,
+    bin_width: float = 0.01, first: int | None = None, block_rows: int = PROBE_BLOCK,
 ) -> DataFrame:
-    """Histogram of cosines between the first documents with word A, and of A against B."""
-
-    def firsts(word: str) -> DataFrame:
-        ids = tokens.where(F.col("token") == word).select(doc_id).orderBy(doc_id).limit(first)
-        return vectors.join(F.broadcast(ids), doc_id)
-
-    a, b = firsts(word_a), firsts(word_b)
-    left = a.select(F.col(doc_id).alias("id_x"), F.col("vector").alias("x"))
-    within = left.join(
-        F.broadcast(a.select(F.col(doc_id).alias("id_y"), F.col("vector").alias("y"))),
-        F.col("id_x") < F.col("id_y"),
-    ).withColumn("kind", F.lit("within"))
-    across = left.join(
-        F.broadcast(b.select(F.col(doc_id).alias("id_y"), F.col("vector").alias("y"))), F.lit(True)
-    ).withColumn("kind", F.lit("across"))
-    pairs = within.unionByName(across).withColumn("cosine", cosine(F.col("x"), F.col("y")))
-    # Rounding first keeps values that sit on a bin edge in one bin everywhere.
-    slot = F.floor(F.round("cosine", 9) / bin_width + 1e-9).cast("long")
-    return (
-        pairs.where(F.col("cosine").isNotNull())
-        .groupBy("kind", slot.alias("bin"))
-        .agg(F.count("*").alias("n_pairs"))
-    )
+    """Histogram of cosines among the documents with word A, and of A against B.
+
+    All of them, or the ``first`` by id. Documents are dealt into blocks of bounded size;
+    each pair of blocks is one task's matrix product, of which only the counts per bin
+    leave the task. Vectors without length have no cosine.
+    """
+
+    def having(word: str) -> DataFrame:
+        ids = tokens.where(F.col("token") == word).select(doc_id).distinct()
+        if first is not None:
+            ids = ids.orderBy(doc_id).limit(first)
+        rows = vectors.join(broadcast_if_small(ids), doc_id).select(F.col(doc_id).alias("id"), F.col("vector").alias("v"))
+        return materialize(rows.where(usable(F.col("v"))), "probe-documents")
+
+    a, b = having(word_a), having(word_b)
+    blocks_a, blocks_b = (max(1, math.ceil(rows.count() / block_rows)) for rows in (a, b))
+    own = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    dealt = lambda rows, kind, i, j: rows.select("id", "v", F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"))
+    left = dealt(a, "within", own(blocks_a), every(blocks_a)).where("i <= j").unionByName(dealt(a, "across", own(blocks_a), every(blocks_b)))
+    right = dealt(a, "within", every(blocks_a), own(blocks_a)).where("i <= j").unionByName(dealt(b, "across", every(blocks_a), own(blocks_b)))
+
+    def count(key, x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        if not len(x) or not len(y):
+            return pd.DataFrame({"kind": [], "bin": [], "n": []})
+        cosines = _unit_vectors(x["v"]) @ _unit_vectors(y["v"]).T
+        if key[0] == "within" and key[1] == key[2]:
+            cosines = cosines[x["id"].to_numpy()[:, None] < y["id"].to_numpy()[None, :]]
+        # Rounding first keeps values that sit on a bin edge in one bin everywhere.
+        slots, n = np.unique(np.floor(np.round(cosines, 9) / bin_width + 1e-9).astype(np.int64), return_counts=True)
+        return pd.DataFrame({"kind": key[0], "bin": slots, "n": n})
+
+    keys = ("kind", "i", "j")
+    counted = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(count, "kind string, bin long, n long")
+    return counted.groupBy("kind", "bin").agg(F.sum("n").alias("n_pairs"))
 
 
 def vector_sparsity(vectors: DataFrame, vec_id: str, vector: str) -> DataFrame:
@@ -275,13 +284,13 @@ def joined_terms(clusters: DataFrame, by: Sequence[str], term: str = "term") ->
     A view joins them with commas; rows have no bound on how many there are.
     """
     rows = clusters.where(F.col(term).isNotNull()).select(*by, F.col(term).alias("part")).distinct()
-    return rows.withColumn("position", F.row_number().over(Window.partitionBy(*by).orderBy("part")))
+    return with_rank(rows, by, ["part"])
 
 
 def joined_texts(posts: DataFrame, by: Sequence[str], order: str, text: str = "text") -> DataFrame:
     """All texts of each selection as rows in reading order."""
-    w = Window.partitionBy(*by).orderBy(order)
-    return posts.select(*by, F.col(text).alias("part"), F.row_number().over(w).alias("position"))
+    ranked = with_rank(posts.select(*by, F.col(order).alias("_order"), F.col(text).alias("part")), by, ["_order"])
+    return ranked.select(*by, "part", "position")
 
 
 def kinds_of_tokens(docs: DataFrame, doc_id: str, tokens: Column) -> DataFrame:

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pulseweave.functions.text import PROFILE_PREFIX, flat_spaces
 from pulseweave.schemas import TWEET
@@ -14,17 +15,22 @@ from pulseweave.schemas import TWEET
 TRACK = ("police", "riot", "shooting", "protest", "march", "crowd", "gathering")
 
 
+def tweet_lines(spark: SparkSession, path: str, glob: str = "*.json", schema=TWEET) -> DataFrame:
+    """All lines of a folder as tweets; a line that is no JSON has only ``_broken``, its text."""
+    lines = T.StructType([*schema.fields, T.StructField("_broken", T.StringType())]) if "_broken" not in schema.names else schema
+    return spark.read.schema(lines).option("columnNameOfCorruptRecord", "_broken").option("pathGlobFilter", glob).json(path)
+
+
 def read_tweet_json_lines(
     spark: SparkSession, path: str, lang: str, glob: str = "*.json", schema=TWEET
 ) -> DataFrame:
-    """Tweets of one language from a folder of JSON lines; broken lines are skipped."""
-    return (
-        spark.read.schema(schema)
-        .option("mode", "DROPMALFORMED")
-        .option("pathGlobFilter", glob)
-        .json(path)
-        .where(F.col("lang") == lang)
-    )
+    """Tweets of one language from a folder of JSON lines; broken lines are left out."""
+    return tweet_lines(spark, path, glob, schema).where(F.col("_broken").isNull() & (F.col("lang") == lang)).drop("_broken")
+
+
+def line_counts(lines: DataFrame) -> DataFrame:
+    """Lines per language, and how many were broken (``lang`` null, ``broken`` true)."""
+    return lines.groupBy("lang", F.col("_broken").isNotNull().alias("broken")).agg(F.count("*").alias("n_lines"))
 
 
 def parse_tweets(raw: DataFrame, column: str = "value") -> DataFrame:

@@ -186,3 +186,24 @@ def test_shared_dir_comes_from_the_session(spark):
     with pytest.raises(RuntimeError):
         shared_dir(Session(None, "yarn"))
     assert shared_dir(spark) == shared_dir(spark)
+
+
+def test_messages_are_delivered_once(spark, tmp_path):
+    """Two deliveries add up, attempts that do not win leave nothing, and broken tasks abort."""
+    from pulseweave.sources.exports import MessageWriter, read_messages
+
+    rows = spark.range(500).select("id", F.concat(F.lit("é\n"), F.col("id").cast("string")).alias("text")).repartition(7)
+    for _ in range(2):
+        event_export_sink(rows, str(tmp_path), "events")
+    got = read_messages(rows, f"{tmp_path}/events")
+    assert got.count() == 1000 and got.distinct().exceptAll(rows).count() == 0 and got.where("text IS NULL").count() == 0
+    writer = MessageWriter(f"{tmp_path}/retry")
+    first, second = (writer.write(iter(as_messages(rows.limit(3)).collect())) for _ in range(2))
+    writer.commit([second, None])
+    names = sorted(f.name for f in (tmp_path / "retry").iterdir())
+    assert names == sorted([second.name, "_SUCCESS"]) and first.name != second.name
+    writer.write(iter(as_messages(rows.limit(3)).collect()))
+    writer.abort([None])
+    assert sorted(f.name for f in (tmp_path / "retry").iterdir()) == names
+    event_export_sink(rows.limit(0), str(tmp_path), "none")
+    assert (tmp_path / "none" / "_SUCCESS").exists()

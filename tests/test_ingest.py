@@ -156,3 +156,34 @@ def test_filter_with_relations(spark):
     assert {r.id: [k.age for k in r.kids] for r in nested} == {1: [10, 11], 2: []}
     rows = apply_filter(parents, {"include": ["kids"]}, {"kids": Relation(kids, "id", "pid")})
     assert sorted((r.id, r.kids.age if r.kids else None) for r in rows.collect() if r.id != 2) == [(1, 10), (1, 11), (3, 12)]
+
+
+def test_ranks_and_order_statistics(spark):
+    from pulseweave.operators.ordering import kth_value, with_rank
+
+    rows = [(g, i * 7 % 50) for g in ("a", None, "b") for i in range(50 if g == "a" else 9)]
+    df = spark.createDataFrame(rows, "g string, x long").repartition(5)
+    got = {(r.g, r.x): r.position for r in with_rank(df, ["g"], ["x"]).collect()}
+    assert got == {(g, x): sorted(b for a, b in rows if a == g).index(x) + 1 for g, x in rows}
+    values = [0.5] * 40 + [0.25, -1.0, 7.5, 0.5000000000000001] + [i / 7 for i in range(30)]
+    frame = spark.createDataFrame([(v,) for v in values], "v double")
+    for k in (0, 1, 20, 45, 60, len(values) - 1):
+        value, smaller = kth_value(frame, "v", k, bins=8)
+        assert value == sorted(values)[k] and smaller == sum(v < value for v in values)
+    assert kth_value(frame, "v", len(values)) is None
+
+
+def test_names_of_every_length(spark):
+    from pulseweave.operators import enrich as en
+
+    long = " ".join(f"w{i}" for i in range(40))
+    names = [("new york", "LOCATION"), ("york", "PERSON"), (long, "ORGANIZATION"), ("the new york times", "ORGANIZATION")]
+    gazetteer = spark.createDataFrame(names, "label string, tag string")
+    texts = [(1, "The New York Times in York"), (2, "x " + long + " y"), (3, "new, york"), (4, ""), (5, None), (6, "york new york")]
+    docs = spark.createDataFrame(texts, "id long, text string")
+    want = {(1, "new york"), (1, "york"), (1, "the new york times"), (2, long), (3, "new york"), (3, "york"), (6, "york"), (6, "new york")}
+    for most in (10_000, 1):
+        found = en.name_starts(gazetteer, most)
+        assert set(found) == {1, 2, 4, 40} and found[40] == ["w0"]
+        assert {(r.id, r.label) for r in en.extract_entities(docs, "id", "text", gazetteer).collect()} == want
+    assert {(r.id, r.label) for r in en.extract_entities(docs, "id", "text", gazetteer, longest=1).collect()} == {w for w in want if " " not in w[1]}

@@ -240,9 +240,7 @@ EXPORT_SQL = """SELECT e.event_id AS uid, c.campaign AS "campaignId", round(c.sh
 EXPORT_VIEWS = ("doc_campaigns", "doc_events", "doc_tags", "doc_keywords", "doc_locations")
 
 
-@case("export_events", v.sql(EXPORT_SQL.format(more="", joins=""), *EXPORT_VIEWS))
-def export_events(spark, sf):
-    rows = export_rows(spark, sf)
+def flat_exports(rows):
     return rows.select(
         "uid", "campaignId", F.round("importanceScore", 9).alias("importanceScore"), "label",
         "startDate", "endDate", F.array_join("hashtags", ",").alias("hashtags"),
@@ -252,22 +250,44 @@ def export_events(spark, sf):
     )
 
 
+EXPORTED = v.sql(EXPORT_SQL.format(more="", joins=""), *EXPORT_VIEWS)
+
+
+@case("export_events", EXPORTED)
+def export_events(spark, sf):
+    return flat_exports(export_rows(spark, sf))
+
+
 def export_rows(spark, sf):
     doc = v.doc_graph(spark, sf)
     picked = materialize(sampled(spark, sf, doc), "sampled-posts")
+    words = materialize(ev.event_words(picked), "event-words")
     return ev.export_events(
-        ev.event_rollup(doc.ec), ev.event_hashtags(doc.ec), ev.event_keywords(ev.event_words(picked)),
+        ev.event_rollup(doc.ec), ev.event_hashtags(doc.ec), ev.event_keywords(words),
         ev.event_campaigns(doc.ec, picked), doc_locations(spark, sf, picked), threshold=0.4,
-        urls=ev.event_urls(ev.event_words(picked)), images=ev.event_images(doc.ec, doc.members, v.text_posts(spark, sf)),
+        urls=ev.event_urls(words), images=ev.event_images(doc.ec, doc.members, v.text_posts(spark, sf)),
     )
 
 
-@case("event_export_messages")
+@case("event_export_messages", EXPORTED)
 def event_export_messages(spark, sf):
-    """Export records as the JSON messages that are sent on."""
+    """Export records as the JSON messages that are sent on, read as records again."""
     from pulseweave.sources.exports import as_messages
 
-    return as_messages(export_rows(spark, sf))
+    rows = export_rows(spark, sf)
+    return flat_exports(as_messages(rows).select(F.from_json("value", rows.schema).alias("r")).select("r.*"))
+
+
+@case("event_export_sink", EXPORTED)
+def event_export_sink(spark, sf):
+    """Export records delivered to a folder by the tasks that hold them, and read back."""
+    from pulseweave.lineage import new_path
+    from pulseweave.sources.exports import event_export_sink, read_messages
+
+    rows = materialize(export_rows(spark, sf), "export-records")
+    folder = new_path(spark, "delivered")
+    event_export_sink(rows, folder, "events")
+    return flat_exports(read_messages(rows, f"{folder}/events"))
 
 
 v.cte(

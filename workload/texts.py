@@ -408,9 +408,9 @@ def most_similar_docs(spark, sf):
     "probe_word_cosines",
     v.sql(
         """, a AS (SELECT doc_id, v0, v1, v2, v3, sqrt(v0*v0 + v1*v1 + v2*v2 + v3*v3) AS n FROM doc_vectors
-            WHERE doc_id IN (SELECT doc_id FROM doc_tokens WHERE token = 'thth' ORDER BY doc_id LIMIT 100)),
+            WHERE doc_id IN (SELECT doc_id FROM doc_tokens WHERE token = 'thth')),
         b AS (SELECT doc_id, v0, v1, v2, v3, sqrt(v0*v0 + v1*v1 + v2*v2 + v3*v3) AS n FROM doc_vectors
-            WHERE doc_id IN (SELECT doc_id FROM doc_tokens WHERE token = 'reti' ORDER BY doc_id LIMIT 100)),
+            WHERE doc_id IN (SELECT doc_id FROM doc_tokens WHERE token = 'reti')),
         p AS (SELECT 'within' AS kind, (x.v0*y.v0 + x.v1*y.v1 + x.v2*y.v2 + x.v3*y.v3) / (x.n * y.n) AS c
             FROM a x JOIN a y ON x.doc_id < y.doc_id WHERE x.n * y.n > 0
           UNION ALL SELECT 'across', (x.v0*y.v0 + x.v1*y.v1 + x.v2*y.v2 + x.v3*y.v3) / (x.n * y.n)
