@@ -21,11 +21,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pulseweave.lineage import materialize
+from pulseweave.lineage import broadcast_if_small, materialize
 from pulseweave.llm.textbytes import Hasher, Words, mixed, portions, row_sums, split_words
 
 #: Labelled documents of each language that training takes at most, by hash of their ids.
 ROWS_PER_LANGUAGE = 250
+#: Bytes of training texts of one language, and of all languages, that the driver takes.
+BYTES_PER_LANGUAGE, BYTES_OF_ALL = 4 << 20, 128 << 20
 #: Languages up to which each has that sample; with more it shrinks, down to the least. All are learned.
 LANGUAGES = 64
 LEAST_ROWS = 20
@@ -255,6 +257,9 @@ def train(texts: list[str], langs: list[str]) -> Model:
 def training_rows(documents: DataFrame, rows: int = ROWS_PER_LANGUAGE) -> tuple[list[str], list[str]]:
     """A bounded sample of labelled documents that are not held out, whole texts, for every language.
 
+    A language has at most ``rows`` texts and ``BYTES_PER_LANGUAGE`` bytes of them, all
+    languages ``BYTES_OF_ALL``; one whose texts are all longer has its shortest.
+
     Ids are ranked by hash within their language before any text is read. Distinct ids
     of the languages are counted first, and only ids whose hash lies in the share that
     holds about four times the sample are ranked, so that ranking has few rows whatever
@@ -264,17 +269,24 @@ def training_rows(documents: DataFrame, rows: int = ROWS_PER_LANGUAGE) -> tuple[
     usable = own.filter("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL").filter(~held_out())
     # An estimate will do: the share is four times the sample, and the ranking is exact.
     common = materialize(usable.groupBy("lang").agg(F.approx_count_distinct("doc_id").alias("count")), "languages")
-    rows = min(rows, max(LEAST_ROWS, rows * LANGUAGES // max(1, common.count())))
+    languages = max(1, common.count())
+    rows = min(rows, max(LEAST_ROWS, rows * LANGUAGES // languages))
+    most = min(BYTES_PER_LANGUAGE, BYTES_OF_ALL // languages)
     place = F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(1 << 52)) / F.lit(1 << 52)
     by_hash = Window.partitionBy("lang").orderBy("place", "doc_id")
-    ranked = usable.select("doc_id", "lang", place.alias("place")).join(F.broadcast(common), "lang")
+    ranked = usable.select("doc_id", "lang", place.alias("place")).join(broadcast_if_small(common), "lang")
     ranked = ranked.filter(F.col("place") < 4 * rows / F.col("count")).select("doc_id", "lang", "place").distinct()
     ids = ranked.withColumn("nth", F.row_number().over(by_hash)).filter(F.col("nth") <= rows).select("doc_id", "lang")
-    chosen = usable.join(F.broadcast(ids), ["doc_id", "lang"]).select("doc_id", "lang", "text", F.xxhash64("text").alias("h"))
+    ids = broadcast_if_small(materialize(ids, "training-ids"))
+    chosen = usable.join(ids, ["doc_id", "lang"]).select("doc_id", "lang", "text", F.xxhash64("text").alias("h"))
     of_id = Window.partitionBy("lang", "doc_id").orderBy("h")
     chosen = chosen.withColumn("copy", F.row_number().over(of_id)).filter(F.col("copy") <= rows)
     of_language = Window.partitionBy("lang").orderBy("copy", "doc_id", "h")
     chosen = chosen.withColumn("nth", F.row_number().over(of_language)).filter(F.col("nth") <= rows)
+    # Texts that would take much of the bytes come last, the shortest of them first.
+    size = F.octet_length("text").cast("long")
+    by_size = Window.partitionBy("lang").orderBy(F.when(size > most // 8, size).otherwise(0), "nth").rowsBetween(Window.unboundedPreceding, -1)
+    chosen = chosen.withColumn("before", F.coalesce(F.sum(size).over(by_size), F.lit(0))).filter((F.col("before") == 0) | (F.col("before") + size <= most))
     found = chosen.select("doc_id", "lang", "text", "h").orderBy("doc_id", "lang", "h").collect()
     return [r["text"] for r in found], [r["lang"] for r in found]
 

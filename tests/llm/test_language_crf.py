@@ -99,3 +99,18 @@ def test_every_label_is_learned(spark):
     assert max(langs.count(x) for x in open_labels) <= crf.ROWS_PER_LANGUAGE * crf.LANGUAGES // 81
     _, few = crf.training_rows(docs, 3)
     assert all(few.count(x) == 3 for x in open_labels)
+
+
+def test_training_texts_have_a_byte_bound(spark, monkeypatch):
+    monkeypatch.setattr(crf, "BYTES_PER_LANGUAGE", 4000)
+    rows = [(i, "kurz " * 5, "de") for i in range(40)] + [(100 + i, "x" * (5000 + i), "xx") for i in range(40)] + [(200 + i, "y" * 300 if i % 2 else "y" * 3000, "yy") for i in range(40)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    texts, langs = crf.training_rows(frame, 30)
+    own = {k: [t for t, n in zip(texts, langs) if n == k] for k in set(langs)}
+    assert len(own["de"]) == min(30, len([i for i in held_in(spark, frame) if i < 100]))
+    assert len(own["xx"]) == 1 and len(own["xx"][0]) == min(len(t) for i, t, n in rows if n == "xx" and i in held_in(spark, frame))
+    assert sum(map(len, own["yy"])) <= 4000 and all(len(t) == 300 for t in own["yy"][:10])
+
+
+def held_in(spark, frame):
+    return {r["doc_id"] for r in frame.filter(~crf.held_out()).collect()}
