@@ -61,11 +61,15 @@ def top_terms(terms: DataFrame, n: int = TOP_TERMS) -> DataFrame:
     return terms.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
 
 
+def event_tag_weights(ec: DataFrame) -> DataFrame:
+    """All tags of each event with their weight: what matching compares."""
+    tags = ec.where(F.col("data_type") == "hashtag").groupBy("event_id", "term")
+    return tags.agg(F.max("size").alias("weight"))
+
+
 def event_hashtags(ec: DataFrame, n: int = TOP_TERMS) -> DataFrame:
-    tags = ec.where(F.col("data_type") == "hashtag").groupBy("event_id", "term").agg(
-        F.max("size").alias("weight")
-    )
-    return top_terms(tags, n)
+    """The heaviest tags of each event, as views and messages list them."""
+    return top_terms(event_tag_weights(ec), n)
 
 
 def sample_cluster_posts(members: DataFrame, n: int, seed: str = "", key: Sequence[str] = ("cluster_id",)) -> DataFrame:

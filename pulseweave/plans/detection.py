@@ -128,7 +128,7 @@ def detect_events(
     keywords = ev.event_keywords(words)
     campaigns = ev.event_campaigns(ec, sampled)
     stored = ev.event_size_gate(rolled, s.min_clusters)
-    matched = ev.match_prior_events(stored, tags, min_score=s.min_match_score)
+    matched = ev.match_prior_events(stored, ev.event_tag_weights(ec), min_score=s.min_match_score)
     if places is not None:
         locations = ev.event_locations(place_entities(sampled, places), places, s.geo_threshold)
     else:

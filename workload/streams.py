@@ -173,7 +173,7 @@ def stream_event_match(spark, sf):
         groups = v.with_ids(ht.hashtag_groups(rows).where(F.col("size") >= v.DOC_MIN_POSTS))
         ec = v.graph_of(rows, materialize(groups, "clusters")).ec
         heads = ev.event_rollup(ec).select("event_id", "start_time_ms", "end_time_ms")
-        return ev.event_hashtags(ec).join(heads, "event_id").select("event_id", "start_time_ms", "end_time_ms", "term", "weight")
+        return ev.event_tag_weights(ec).join(heads, "event_id").select("event_id", "start_time_ms", "end_time_ms", "term", "weight")
 
     def run(stream):
         closed = state.stream_closed_windows(stream.select("post_id", "hashtags", "ts"), "ts", v.DOC_SPAN_MS, "6 hours", parts=2)
