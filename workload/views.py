@@ -21,7 +21,7 @@ from pulseweave.operators.textjobs import token_rows
 DAY_MS = 86_400_000
 MIN_TAG_POSTS = 5
 DOC_MIN_POSTS = 4
-DOC_SPAN_MS = 6 * 3_600_000
+DOC_SPAN_MS = 2 * DAY_MS
 LAST_MS = 1_706_659_200_000  # 2024-01-31
 
 _CTES: dict[str, tuple[str, tuple[str, ...]]] = {}
@@ -127,15 +127,18 @@ def posts_w(spark: SparkSession, sf: str) -> DataFrame:
     return wn.tumbling_windows(posts(spark, sf), DAY_MS)
 
 
-# text_posts: documents as posts, with tags, a url and a place added -----------
+# text_posts: documents as posts, with tags, a url and a place added. Time and author come from
+# every n-th event, so that the posts cover the times of all events. -------------------------------
 
 
 def text_posts(spark: SparkSession, sf: str) -> DataFrame:
     d = wide(spark, sf, "documents", "doc_id").select("doc_id", "text", "lang", "source")
     e = table(spark, sf, "events").select("event_id", "ts", "user_id")
+    n_events, n_docs = e.count(), table(spark, sf, "documents").count()
+    nth = F.lit(max(1, n_events // max(1, n_docs)))
     doc = F.col("doc_id").cast("string")
     place = F.concat(F.lit(" in nation"), (F.col("doc_id") % 25).cast("string"))
-    return d.join(e, F.col("doc_id") == F.col("event_id")).select(
+    return d.join(e, F.col("doc_id") * nth % F.lit(max(1, n_events)) == F.col("event_id")).select(
         F.col("doc_id").alias("post_id"),
         F.col("user_id"),
         F.concat(F.lit("user_"), F.col("user_id").cast("string")).alias("screen_name"),
@@ -171,7 +174,9 @@ cte(
       'hashtag' AS featurizer,
       [CAST(100 * (1 + doc_id % 2 * (doc_id % 3)) AS VARCHAR)] AS campaigns,
       'http://img/' || (doc_id % 40) AS primary_image_url
-    FROM documents JOIN events ON doc_id = event_id""",
+    FROM (SELECT *, doc_id * greatest(1, (SELECT count(*) FROM events) // (SELECT count(*) FROM documents))
+        % (SELECT count(*) FROM events) AS nth FROM documents)
+      JOIN events ON nth = event_id""",
 )
 
 
