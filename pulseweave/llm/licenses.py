@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulseweave.llm.common import lower_ascii
+from pulseweave.llm.license_texts import KNOWN
 
 #: Spellings that count as one (fixed values, from the public license matching guidelines).
 EQUIVALENT = (
@@ -29,48 +30,60 @@ EQUIVALENT = (
 #: A copyright line: it names a holder or a year, or reserves all rights.
 COPYRIGHT_LINE = r"(?:^|\n)[ \t]*(?:copyright[ \t:]*(?:\(c\)|©|[12][0-9][0-9][0-9]|<|\[)|\(c\)[ \t]|©|all rights reserved)[^\n]*"
 PUNCTUATION = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+PUNCTUATION_IN_LINE = r"[\x00-\x09\x0B-\x2F\x3A-\x60\x7B-\x7F]+"
 
-#: Known texts (fixed values): license notices and short license texts, by identifier.
-KNOWN = {
-    "Apache-2.0": ("Licensed under the Apache License, Version 2.0.",),
-    "CC-BY-NC-4.0": ("Licensed under CC BY-NC 4.0.",),
-    "GPL-3.0": ("This work is licensed under the GNU General Public License, version 3.",),
-    "MIT": (
-        "Released under the MIT License.",
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
-        'documentation files (the "Software"), to deal in the Software without restriction, including without limitation '
-        "the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to "
-        "permit persons to whom the Software is furnished to do so, subject to the following conditions:\n"
-        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of "
-        'the Software.\nTHE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT '
-        "NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT "
-        "SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF "
-        "CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS "
-        "IN THE SOFTWARE.",
-    ),
-    "ISC": (
-        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby "
-        "granted, provided that the above copyright notice and this permission notice appear in all copies.\n"
-        'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL '
-        "IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, "
-        "INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN "
-        "AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR "
-        "PERFORMANCE OF THIS SOFTWARE.",
-    ),
-}
+#: Title lines of license texts (fixed values, in lower case).
+TITLES = (
+    "0bsd license", "2-clause bsd license", "3-clause bsd license", "boost software license - version 1.0 - august 17th, 2003",
+    "boost software license", "bsd 2-clause license", "bsd 3-clause license", "bsd license", "bsd zero clause license", "expat license",
+    "isc license", "mit license", "mit no attribution license", "modified bsd license", "new bsd license", "simplified bsd license",
+    "unlicense", "zlib license", "zlib/libpng license",
+)
+#: A line that is a title and nothing else; "m" lets the ends match at line breaks.
+TITLE_LINE = (
+    r"(?m)^[ \t]*(?:the )?(?:"
+    + "|".join(t.replace(".", "[.]").replace("license", "licen[cs]e") for t in TITLES)
+    + r")(?: [(][a-z0-9 .-]+[)])?[ \t\r.:]*$"
+)
 
 
-def canonical(text: Column) -> Column:
-    """Canonical form: words in lower case with one blank between; null counts as empty."""
+def _marked(text: Column) -> Column:
+    """Words in lower case between single blanks, and line breaks as words; the equivalents within lines are replaced."""
     text = lower_ascii(F.coalesce(text, F.lit("")))
     text = F.regexp_replace(text, COPYRIGHT_LINE, "\n")
+    # Every title has these letters. "d": no other character ends a line.
+    text = F.when(text.contains("licen"), F.regexp_replace(text, TITLE_LINE.replace("(?m)", "(?md)"), "")).otherwise(text)
+    text = F.regexp_replace(F.replace(text, F.lit("\n"), F.lit(" \n ")), PUNCTUATION_IN_LINE, " ")
+    return _replaced(text, EQUIVALENT)
+
+
+def _replaced(text: Column, pairs) -> Column:
+    """Words or phrases exchanged for their equivalents in a text of words between single blanks."""
     # Two blanks between words, so that neighbouring words can both be replaced.
-    text = F.concat(F.lit(" "), F.replace(F.trim(F.regexp_replace(text, PUNCTUATION, " ")), F.lit(" "), F.lit("  ")), F.lit(" "))
-    for given, kept in EQUIVALENT:
+    text = F.concat(F.lit("  "), F.replace(text, F.lit(" "), F.lit("  ")), F.lit("  "))
+    for given, kept in pairs:
         text = F.replace(text, F.lit(f" {given} ".replace(" ", "  ")[1:-1]), F.lit(f" {kept} ".replace(" ", "  ")[1:-1]))
     return F.trim(F.replace(text, F.lit("  "), F.lit(" ")))
 
 
+def _whole(marked: Column) -> Column:
+    """The canonical form of a text from its marked one: phrases may go on over a line break."""
+    return _replaced(F.trim(F.replace(F.concat(F.lit(" "), marked), F.lit(" \n"), F.lit(""))), [(a, b) for a, b in EQUIVALENT if " " in a])
+
+
+def _lines(marked: Column) -> Column:
+    """The canonical forms of the lines that have words."""
+    return F.filter(F.transform(F.split(marked, "\n"), lambda x: F.trim(x)), lambda x: x != "")
+
+
+def canonical(text: Column) -> Column:
+    """Canonical form: words in lower case with one blank between; null counts as empty.
+
+    Copyright lines and lines that are the title of a license are left out.
+    """
+    return _whole(_marked(text))
+
+
 def known_digests(spark: SparkSession, known: DataFrame | None = None) -> DataFrame:
     """``digest`` and ``license`` of the known texts, or of a table (license, text) of one's own.
 
@@ -98,19 +111,23 @@ def scan_licenses(documents: DataFrame, known: DataFrame | None = None) -> DataF
         F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"),
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
     )
-    whole = F.array(F.struct(F.lit(True).alias("whole"), F.col("text").alias("part")))
-    lines = F.transform(F.split("text", "\n"), lambda x: F.struct(F.lit(False).alias("whole"), x.alias("part")))
-    parts = docs.select("row", "doc_id", F.inline(F.concat(whole, lines)))
-    parts = parts.select("row", "doc_id", "whole", canonical(F.col("part")).alias("form"))
-    parts = parts.select("row", "doc_id", "whole", (F.col("form") != "").alias("words"), F.sha2("form", 256).alias("digest"))
+    # Each text is put in canonical form once; its lines are cut from that.
+    marked = docs.select("row", "doc_id", _marked(F.col("text")).alias("marked"))
+    whole = F.array(F.struct(F.lit(True).alias("whole"), _whole(F.col("marked")).alias("form")))
+    lines = F.transform("lines", lambda x: F.struct(F.lit(False).alias("whole"), x.alias("form")))
+    cut = marked.select("row", "doc_id", "marked", _lines(F.col("marked")).alias("lines"))
+    parts = cut.select("row", "doc_id", F.size("lines").cast("long").alias("n_lines"), F.inline(F.concat(whole, lines)))
+    parts = parts.select("row", "doc_id", "n_lines", "whole", F.sha2("form", 256).alias("digest"))
     found = parts.join(digests.withColumnRenamed("digest", "known"), F.col("digest") == F.col("known"), "left")
+    # Lines that are no known text end here: nothing of them is shuffled.
+    found = found.filter(F.col("whole") | F.col("license").isNotNull())
     line = ~F.col("whole") & F.col("license").isNotNull()
     return (
         found.groupBy("row", "doc_id")
         .agg(
             F.max(F.when(F.col("whole"), F.col("digest"))).alias("digest"),
             F.max(F.when(F.col("whole"), F.col("license"))).alias("license"),
-            F.count_if(~F.col("whole") & F.col("words")).alias("n_lines"),
+            F.max("n_lines").alias("n_lines"),
             F.count_if(line).alias("n_license_lines"),
             F.sort_array(F.collect_set(F.when(line, F.col("license")))).alias("line_licenses"),
         )

@@ -129,11 +129,12 @@ FROM node LEFT JOIN node above ON above.key = node.parent LEFT JOIN kids ON kids
 
 
 def _license_sql() -> str:
-    from pulseweave.llm.licenses import COPYRIGHT_LINE, EQUIVALENT, KNOWN, PUNCTUATION
+    from pulseweave.llm.licenses import COPYRIGHT_LINE, EQUIVALENT, KNOWN, PUNCTUATION, TITLE_LINE
 
     def canonical(text: str) -> str:
         sql = f"translate(coalesce({text}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
         sql = f"regexp_replace({sql}, '{COPYRIGHT_LINE}', chr(10), 'g')"
+        sql = f"regexp_replace({sql}, '{TITLE_LINE}', '', 'g')"
         sql = f"' ' || replace(trim(regexp_replace({sql}, '{PUNCTUATION}', ' ', 'g')), ' ', '  ') || ' '"
         for given, kept in EQUIVALENT:
             pair = [f" {w} ".replace(" ", "  ")[1:-1] for w in (given, kept)]
