@@ -307,6 +307,16 @@ v.cte(
 )
 
 
+def flat_chain(rows):
+    """Export records with their lists as texts."""
+    return rows.select(
+        "uid", "campaignId", F.round("importanceScore", 9).alias("importanceScore"), "label", "startDate", "endDate",
+        F.array_join("hashtags", ",").alias("hashtags"), F.array_join("keywords", ",").alias("keywords"),
+        F.get("location.coordinates", F.lit(0)).alias("lng"), F.get("location.coordinates", F.lit(1)).alias("lat"),
+        F.array_join("urls", ",").alias("urls"), F.array_join("photos", ",").alias("photos"),
+    )
+
+
 @case(
     "detect_events_chain",
     v.sql(
@@ -330,12 +340,7 @@ def detect_events_chain(spark, sf):
     )
     places = v.gazetteer(spark, sf).withColumn("state", F.lit(None).cast("string"))
     rows = detect_events(v.text_posts(spark, sf), s, places=places, communities=neighbour_partition).exports
-    return rows.select(
-        "uid", "campaignId", F.round("importanceScore", 9).alias("importanceScore"), "label", "startDate", "endDate",
-        F.array_join("hashtags", ",").alias("hashtags"), F.array_join("keywords", ",").alias("keywords"),
-        F.get("location.coordinates", F.lit(0)).alias("lng"), F.get("location.coordinates", F.lit(1)).alias("lat"),
-        F.array_join("urls", ",").alias("urls"), F.array_join("photos", ",").alias("photos"),
-    )
+    return flat_chain(rows)
 
 
 @case("detect_events_whole")
