@@ -11,7 +11,7 @@ import math
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -219,6 +219,20 @@ def event_tags_batch(store: str, form: Callable[[DataFrame], DataFrame]) -> Call
     return write
 
 
+def end_event_tags(spark: SparkSession, store: str, span_ms: int) -> None:
+    """Ends the rows of ``event_tags_batch``: a nameless event after all others lets the last windows be matched.
+
+    For streams that end; it is no row of a batch and has no match of its own.
+    """
+    rows = spark.read.schema(f"{WINDOW[1]} long").parquet(store)
+    last = rows.agg((F.coalesce(F.max(WINDOW[1]), F.lit(0)) + 2 * span_ms).alias(WINDOW[1]))
+    end = last.select(
+        F.lit("").alias("event_id"), (F.col(WINDOW[1]) - (span_ms - 1)).alias(WINDOW[0]), WINDOW[1],
+        F.lit("").alias("term"), F.lit(0).cast("long").alias("weight"), F.lit(0.0).alias("share"),
+    )
+    end.write.mode("overwrite").parquet(f"{store}/batch=-1")
+
+
 def event_match_batch(store: str, min_score: float = ev.MIN_MATCH_SCORE) -> Callable[[DataFrame, int], None]:
     """The best earlier event of each event whose window is over: event_id, the bounds, sibling_id, score."""
 

@@ -92,3 +92,22 @@ def test_events_match_over_batches(spark):
     arrive(spark, rows, schema, [(0, 3), (3, 5), (5, 6), (6, 8), (8, 10)], lambda s: jobs.run_batches(state.stream_match_parts(s), match, "match", offsets))
     got = sorted((r["event_id"], r["sibling_id"], r["score"]) for r in spark.read.parquet(store).collect())
     assert got == [("a", None, None), ("b", None, None), ("c", "b", 0.75), ("d", None, None), ("e", None, None), ("f", "e", 1.0)]
+
+
+def test_registered_match_holds_the_last_windows(spark, tmp_path):
+    """Every event of the batch chain is there, also those of the windows that no post comes after."""
+    from pulseweave.operators import events as ev
+    from workload import load
+    from workload import views as v
+
+    docs = [(i, "some words", "en" if i % 2 else "fr", f"s{i % 2}") for i in range(48)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    events = spark.range(48).selectExpr("id AS event_id", "timestamp_millis(1704067200000 + id * 10800000) AS ts", "id AS user_id")
+    events.coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    ec = v.doc_ec(spark, str(tmp_path))
+    want = ev.match_prior_events(ev.event_rollup(ec), ev.event_hashtags(ec), min_score=0.2)
+    want = {(r["event_id"], r["sibling_id"]) for r in want.collect()}
+    assert len({e.split("|")[0] for e, _ in want}) == 4 and any(s for _, s in want)
+    rows = load().QUERIES["stream_event_match"](spark, str(tmp_path)).collect()
+    assert {(r["event_id"], r["sibling_id"]) for r in rows} == want
+    assert len(rows) == len(set(rows)) == ev.event_hashtags(ec).count()
