@@ -6,19 +6,26 @@ on in the same jobs. Edges are (g, source, target, weight).
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pulseweave.functions.hashing import string_hash32
-from pulseweave.lineage import broadcast_if_small, materialize
+from pulseweave.lineage import broadcast_if_small, materialize, plan_bytes
 
 MIN_GAIN = 1e-7
 #: Rounds from one measurement of the modularity (added up over graphs) to the next, and
 #: the gain from one to the next below which a level ends.
 MEASURED, MEASURED_GAIN = 4, 5e-4
+LINKS_PER_TASK = 1_000_000
+BROADCAST_BYTES = 64 << 20
 
 
 def undirected(edges: DataFrame) -> DataFrame:
@@ -116,24 +123,85 @@ def neighbour_partition(edges: DataFrame) -> DataFrame:
     )
 
 
-def _rated(state: DataFrame, active: DataFrame, links: DataFrame, turn: int) -> DataFrame:
-    """The state after a round: ``active`` nodes are rated, and those that gain and whose turn it is move.
+def _by_node(links: DataFrame, state: DataFrame) -> tuple[DataFrame, bool]:
+    """Links and a weightless one of each node to itself, and whether all of a node's are in one partition.
 
-    Columns ``wants`` (would gain by moving) and ``moved`` say what came of it.
+    They are dealt by node once a level, so that rounds rate a node where its links are
+    and shuffle none. If one node has more of them than a task's share, they stay as written.
+    """
+    own = state.select("g", "n", F.col("n").alias("m"), F.lit(0.0).alias("w"))
+    rows = links.select("g", "n", "m", F.col("w").cast("double").alias("w")).unionByName(own)
+    count, most = rows.groupBy("g", "n").count().agg(F.coalesce(F.sum("count"), F.lit(0)), F.coalesce(F.max("count"), F.lit(0))).first()
+    tasks = max(links.sparkSession.sparkContext.defaultParallelism, math.ceil(count / LINKS_PER_TASK))
+    if most > max(count / tasks, LINKS_PER_TASK / 10):
+        return materialize(rows, "graph-options"), False
+    fixed = state.select("g", "n", "k", "two_m")
+    return rows.join(broadcast_if_small(fixed), ["g", "n"]).repartition(tasks, "g", "n").persist(StorageLevel.MEMORY_AND_DISK), True
+
+
+def _codes(chunks: list[pa.Array]) -> np.ndarray:
+    """Numbers that order and tell apart values as the values do."""
+    found = pa.chunked_array(chunks).combine_chunks().dictionary_encode()
+    rank = np.empty(len(found.dictionary), np.int64)
+    rank[pc.sort_indices(found.dictionary).to_numpy()] = np.arange(len(rank))
+    return rank[found.indices.to_numpy()]
+
+
+def _wish_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Best community of each node that would gain; all rows of a node come to one task."""
+    held = [b for b in batches if b.num_rows]
+    if not held:
+        return
+    rows = pa.Table.from_batches(held)
+    g, n, c = (_codes(rows.column(x).chunks) for x in ("g", "n", "c"))
+    node = n * (g.max() + 1) + g
+    order = np.lexsort((c, node))
+    node, c = node[order], c[order]
+    w, tot, size, k, two_m, own = (rows.column(x).to_numpy()[order] for x in ("w", "tot", "size", "k", "two_m", "own"))
+    first = np.flatnonzero(np.concatenate(([True], (node[1:] != node[:-1]) | (c[1:] != c[:-1]))))
+    w_in, own = np.add.reduceat(w, first), np.logical_or.reduceat(own, first)
+    at, node, c, tot, size, k, two_m = order[first], node[first], c[first], tot[first], size[first], k[first], two_m[first]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        gain = np.round(w_in - (tot - np.where(own, k, 0.0)) * k / two_m, 9)
+    starts = np.flatnonzero(np.concatenate(([True], node[1:] != node[:-1])))
+    lengths = np.diff(np.append(starts, len(node)))
+    mine = np.repeat(np.flatnonzero(own), lengths)
+    gain[(size[mine] == 1) & (size == 1) & (c > c[mine])] = -np.inf
+    best = np.maximum.reduceat(gain, starts)
+    # Highest gain first, smallest community id among equals.
+    place = np.where(gain == np.repeat(best, lengths), np.arange(len(gain)), len(gain))
+    chosen = np.minimum.reduceat(place, starts)[best > gain[own] + MIN_GAIN]
+    yield from rows.select(["g", "n", "c"]).take(pa.array(at[chosen])).rename_columns(["g", "n", "best"]).combine_chunks().to_batches()
+
+
+def _wishes_in_place(state: DataFrame, active: DataFrame, options: DataFrame) -> DataFrame:
+    """What ``_wishes`` gives, for options kept by node and a state that fits a broadcast."""
+    totals = state.groupBy("g", "c").agg(F.sum("k").alias("tot"), F.count("*").alias("size"))
+    placed = state.select("g", F.col("n").alias("m"), "c").join(F.broadcast(totals), ["g", "c"])
+    near = options if active is state else options.join(F.broadcast(active.select("g", "n")), ["g", "n"], "left_semi")
+    around = near.join(F.broadcast(placed), ["g", "m"])
+    rows = around.select("g", "n", "c", "w", "tot", "size", "k", "two_m", (F.col("n") == F.col("m")).alias("own"))
+    return rows.mapInArrow(_wish_batches, state.select("g", "n", F.col("c").alias("best")).schema)
+
+
+def _wishes(state: DataFrame, active: DataFrame, options: DataFrame) -> DataFrame:
+    """The best community (g, n, best) of each of the ``active`` nodes that would gain by moving.
+
+    ``options`` has the links and each node itself: the node's own community is always an
+    option, with or without links to it.
     """
     totals = state.groupBy("g", "c").agg(F.sum("k").alias("tot"), F.count("*").alias("size"))
-    near = links if active is state else links.join(broadcast_if_small(active.select("g", "n")), ["g", "n"], "left_semi")
+    near = options.select("g", "n", "m", "w")
+    near = near if active is state else near.join(broadcast_if_small(active.select("g", "n")), ["g", "n"], "left_semi")
     around = near.join(broadcast_if_small(state.select("g", F.col("n").alias("m"), "c")), ["g", "m"]).select("g", "n", "c", "w")
-    # The node's own community is always an option, with or without links to it.
-    own = active.select("g", "n", "c", F.lit(0.0).alias("w"))
-    options = around.unionByName(own).groupBy("g", "n", "c").agg(F.sum("w").alias("w_in"))
+    options = around.groupBy("g", "n", "c").agg(F.sum("w").alias("w_in"))
     lone = totals.select("g", F.col("c").alias("c_own"), (F.col("size") == 1).alias("alone"))
     mine = state.select("g", "n", "k", "two_m", F.col("c").alias("c_own")).join(broadcast_if_small(lone), ["g", "c_own"])
     is_own = F.col("c") == F.col("c_own")
     without = F.col("tot") - F.when(is_own, F.col("k")).otherwise(0.0)
     rated = (
-        options.join(totals, ["g", "c"])
-        .join(mine, ["g", "n"])
+        options.join(broadcast_if_small(totals), ["g", "c"])
+        .join(broadcast_if_small(mine), ["g", "n"])
         .where(~F.col("alone") | (F.col("size") > 1) | (F.col("c") <= F.col("c_own")))
         .withColumn("gain", F.round(F.col("w_in") - without * F.col("k") / F.col("two_m"), 9))
     )
@@ -142,7 +210,16 @@ def _rated(state: DataFrame, active: DataFrame, links: DataFrame, turn: int) ->
         # Highest gain first, smallest community id among equals.
         F.min_by("c", F.struct(-F.col("gain"), F.col("c"))).alias("best"),
     )
-    wishes = best.where(F.col("best_gain") > F.col("own_gain") + MIN_GAIN).select("g", "n", "best")
+    return best.where(F.col("best_gain") > F.col("own_gain") + MIN_GAIN).select("g", "n", "best")
+
+
+def _rated(state: DataFrame, active: DataFrame, options: DataFrame, by_node: bool, turn: int) -> DataFrame:
+    """The state after a round: ``active`` nodes are rated, and those that gain and whose turn it is move.
+
+    Columns ``wants`` (would gain by moving) and ``moved`` say what came of it.
+    """
+    in_place = by_node and plan_bytes(state) <= BROADCAST_BYTES
+    wishes = (_wishes_in_place if in_place else _wishes)(state, active, options)
     # Not a CRC: that one is linear, so two nodes would stay in step for ever.
     turns = F.pmod(F.xxhash64("n", F.lit(turn // 2)), F.lit(2)) == turn % 2
     wants = F.col("best").isNotNull()
@@ -193,10 +270,19 @@ def _local_moves(edges: DataFrame, start: DataFrame | None) -> DataFrame:
     seen = materialize(seen, "graph-links")
     links = seen.where(F.col("n") != F.col("m"))
     degree = links.count() / max(1, state.count())
+    options, by_node = _by_node(links, state)
+    try:
+        return _moved_on(state, seen, links, options, by_node, degree)
+    finally:
+        options.unpersist()
+
+
+def _moved_on(state: DataFrame, seen: DataFrame, links: DataFrame, options: DataFrame, by_node: bool, degree: float) -> DataFrame:
+    """The rounds of a level, from ``state`` on."""
     turn, everyone, best_q, best_state = 0, True, float("-inf"), state
     while True:
         active = state if everyone else state.join(broadcast_if_small(_frontier(state, links)), ["g", "n"], "left_semi")
-        state = materialize(_rated(state, active, links, turn), "graph-state")
+        state = materialize(_rated(state, active, options, by_node, turn), "graph-state")
         size, wanted, moved = state.agg(F.count("*"), F.count_if("wants"), F.count_if("moved")).first()
         turn += 1
         if not wanted and everyone:

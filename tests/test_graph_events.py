@@ -52,6 +52,34 @@ def test_planted_graph_modularity(spark):
     assert gr.modularity(df, part).first().modularity == pytest.approx(q)
 
 
+def test_nodes_are_rated_where_their_links_are(spark):
+    """Options kept by node give the wishes of the joins, without a shuffle of links; a hub leaves them as written."""
+    rng = np.random.default_rng(7)
+    links = {(g, f"n{i}", f"n{j}") for g, i, j in rng.integers(0, (2, 60, 60), (900, 3)).tolist() if i != j}
+    rows = [(g, a, b, float(rng.integers(1, 4))) for g, a, b in sorted(links)]
+    links = spark.createDataFrame(rows, "g long, n string, m string, w double")
+    nodes = links.groupBy("g", "n").agg(F.sum("w").alias("k")).withColumn("two_m", F.lit(900.0))
+    state = nodes.withColumn("c", F.concat(F.lit("n"), (F.xxhash64("g", "n") % 9).cast("string")))
+    options, by_node = gr._by_node(links, state)
+    assert by_node and {"k", "two_m"} <= set(options.columns)
+    some = state.where("pmod(xxhash64(n), 3) = 0")
+    for active in (state, some):
+        want = sorted(map(tuple, gr._wishes(state, active, options).collect()))
+        wishes = gr._wishes_in_place(state, active, options)
+        assert sorted(map(tuple, wishes.collect())) == want and len(want) > 20
+    options.unpersist()
+
+
+def test_a_hub_is_not_kept_in_one_task(spark, monkeypatch):
+    monkeypatch.setattr(gr, "LINKS_PER_TASK", 100)
+    star = [("hub", f"n{i}", 1) for i in range(400)] + TRIANGLES
+    seen = gr.both_ways(gr.undirected(edges_of(spark, star)))
+    state = seen.groupBy("g", "n").agg(F.sum("w").alias("k")).select("g", "n", "k", F.lit(1.0).alias("two_m"), F.col("n").alias("c"))
+    assert not gr._by_node(seen, state)[1]
+    got = parts(gr.louvain_communities(edges_of(spark, star)).collect())
+    assert ["a", "b", "c"] in got and sorted(map(len, got)) == [3, 3, 401]
+
+
 def test_long_path_and_lone_nodes(spark):
     edges = [(f"n{i:04d}", f"n{i + 1:04d}", 1.0) for i in range(300)]
     nodes = spark.createDataFrame([(1, "alone"), (1, "n0003"), (2, "other")], "g long, node string")
