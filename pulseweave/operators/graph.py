@@ -372,17 +372,20 @@ def user_network(authors: DataFrame, follows: DataFrame) -> tuple[DataFrame, Dat
     ``follows`` holds (follower, followed). Authors without a relation to
     another author of the event are left out.
     """
-    known = authors.withColumnRenamed("author", "follower")
-    relations = (
-        known.join(follows.where(F.col("follower") != F.col("followed")).distinct(), "follower")
-        .join(authors.withColumnRenamed("author", "followed"), ["event_id", "followed"])
-        .select(
-            "event_id",
-            F.least("follower", "followed").alias("a"),
-            F.greatest("follower", "followed").alias("b"),
-        )
+    known = materialize(authors.select("event_id", "author").distinct(), "known-authors")
+    who = broadcast_if_small(known.select("author").distinct())
+    pair = [F.least("follower", "followed").alias("a"), F.greatest("follower", "followed").alias("b")]
+    # Pairs are told apart once and not once per event, and only those of two authors.
+    pairs = (
+        follows.where(F.col("follower") != F.col("followed"))
+        .join(who.withColumnRenamed("author", "follower"), "follower", "left_semi")
+        .join(who.withColumnRenamed("author", "followed"), "followed", "left_semi")
+        .select(*pair)
         .distinct()
     )
+    pairs = materialize(pairs, "follow-pairs")
+    near, far = (broadcast_if_small(known.withColumnRenamed("author", x)) for x in ("a", "b"))
+    relations = pairs.join(near, "a").join(far, ["event_id", "b"]).select("event_id", "a", "b")
     links = relations.select(
         "event_id", string_hash32(F.col("a")).alias("source"), string_hash32(F.col("b")).alias("target")
     )

@@ -121,6 +121,23 @@ def test_user_network(spark):
     assert sorted(r.name for r in nodes.collect()) == ["a", "b"] and links.count() == 1
 
 
+def test_user_network_of_many_events(spark, tmp_path):
+    """Followers are dealt over all tasks, and a pair is looked at once, however many events have it."""
+    from workload import tags
+
+    spark.range(60).selectExpr("id AS event_id", "id % 30 AS user_id").write.parquet(str(tmp_path / "events.parquet"))
+    follows = tags.follows(spark, str(tmp_path))
+    assert follows.rdd.getNumPartitions() >= 2 * spark.sparkContext.defaultParallelism
+    known = {e: {f"user_{u}" for u in range(30) if (u * 3 + e) % 4} for e in range(5)}
+    authors = spark.createDataFrame([(e, u) for e, us in known.items() for u in us] * 2, "event_id int, author string")
+    pairs = {tuple(sorted(p)) for p in map(tuple, follows.collect())}
+    want = sorted((e, a, b) for e, us in known.items() for a, b in pairs if a in us and b in us)
+    nodes, links = gr.user_network(authors, follows)
+    ids = {(r["event_id"], r["id"]): r["name"] for r in nodes.collect()}
+    assert sorted((r["event_id"], ids[r["event_id"], r["source"]], ids[r["event_id"], r["target"]]) for r in links.collect()) == want
+    assert len(ids) == len({(e, x) for e, *p in want for x in p}) and len(want) > 100
+
+
 def events_of(spark, rows):
     return spark.createDataFrame(rows, "event_id string, start_time_ms long, end_time_ms long")
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pulseweave.lineage import materialize
+from pulseweave.lineage import broadcast_if_small, materialize
 from pulseweave.operators import graph as gr
 from pulseweave.operators import hashtags as ht
 from pulseweave.operators import links as lk
@@ -354,11 +354,13 @@ def authors(spark, sf):
 
 def follows(spark, sf):
     # a*7 + b*3 = 0 (mod 11) holds for one remainder of b per remainder of a, so
-    # the follower table is an equi-join of the users with themselves.
+    # the follower table is an equi-join of the users with themselves. Users are few and
+    # their pairs many, so the followers are dealt over all tasks.
     users = v.table(spark, sf, "events").select("user_id").distinct()
+    users = users.repartition(4 * spark.sparkContext.defaultParallelism, "user_id")
     a = users.select(F.col("user_id").alias("a"), ((F.col("user_id") * 5) % 11).alias("r"))
     b = users.select(F.col("user_id").alias("b"), (F.col("user_id") % 11).alias("r"))
-    pairs = a.join(b, "r").where("a <> b")
+    pairs = a.join(broadcast_if_small(b), "r").where("a <> b")
     return pairs.select(
         F.concat(F.lit("user_"), F.col("a").cast("string")).alias("follower"),
         F.concat(F.lit("user_"), F.col("b").cast("string")).alias("followed"),
