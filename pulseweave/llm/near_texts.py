@@ -1,10 +1,11 @@
 """Near copies among texts: short SimHash fingerprints find them, exact Jaccard similarity confirms them.
 
-Every text has many fingerprints of a few bits, each with a seed of its own; texts
-that agree in all bits of one are compared by a sketch of 128 bits. An exact short
-fingerprint is a covering code of radius zero: for the rows it sends it finds more
-of the pairs at similarity 0.8 than visits around a longer one. Texts tied by close
-sketches form candidate groups, and within these all texts are compared exactly.
+Every text has many fingerprints of a few bits, each with a seed of its own and laid
+over a covering code: the perfect Hamming code on 15 bits, all words on the rest. A
+fingerprint goes to the anchor within the covering radius of one bit (there is always
+one, and only one), and texts that come to the same anchor are compared by a sketch of
+128 bits. Texts tied by close sketches form candidate groups, and within these all texts
+are compared exactly.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import types as T
 from pulseweave.lineage import broadcast_if_small, materialize
 from pulseweave.llm.common import blank_words, lower_ascii, task_count
 from pulseweave.llm.components import connected_components
-from pulseweave.llm.simhash import PAIRS_AT_ONCE, ROWS_PER_TASK, majority_bits, merge_labels, shingle_hashes
+from pulseweave.llm.simhash import HAMMING_BITS, PAIRS_AT_ONCE, ROWS_PER_TASK, hamming_tables, majority_bits, merge_labels, shingle_hashes
 from pulseweave.llm.textbytes import mixed
 
 SHINGLE_WORDS = 5
@@ -29,18 +30,31 @@ SHINGLE_WORDS = 5
 SIMILAR = 0.8
 #: Share of the pairs at just ``SIMILAR`` that some short fingerprint is to bring together.
 RECALL = 0.99
-LEAST_WIDTH = 14
+#: Bits of an anchor's name at least: 11 tell the code words of 15 bits apart.
+LEAST_NAME, CODE_NAME = 14, 11
 #: Differing bits of the sketch up to which texts become candidates: 0.8 gives 19, with a deviation of 4; strangers 64.
 SKETCH_DISTANCE = 32
-#: Texts that share a short fingerprint beyond which they are compared by spreading from one to the next.
+#: Texts at one anchor beyond which they are compared by spreading from one to the next.
 CROWD = 256
 
 
+def meeting(differ: float, width: int) -> float:
+    """Share of the pairs, with bits that differ at the rate ``differ``, that a fingerprint brings to one anchor.
+
+    Around one anchor, words are two bits apart at most; an eighth of the pairs one bit
+    apart are around one anchor, and of those two bits apart.
+    """
+    n, same = HAMMING_BITS, 1 - differ
+    one, two = n * differ * same ** (n - 1), math.comb(n, 2) * differ**2 * same ** (n - 2)
+    return (same**n + (one + two) / 8) * same ** (width - n)
+
+
 def layout(texts: int) -> tuple[int, int]:
-    """Width of the short fingerprints and how many: strangers that share one stay about 1,000."""
-    width = max(LEAST_WIDTH, math.ceil(math.log2(max(texts, 1))) - 10)
+    """Width of the short fingerprints and how many: strangers that come to one anchor stay about 1,000."""
+    name = max(LEAST_NAME, math.ceil(math.log2(max(texts, 1))) - 10)
+    width = HAMMING_BITS + name - CODE_NAME
     turned = math.acos(2 * SIMILAR / (1 + SIMILAR)) / math.pi  # share of bits that differ
-    return width, math.ceil(math.log(1 - RECALL) / math.log1p(-((1 - turned) ** width)))
+    return width, math.ceil(math.log(1 - RECALL) / math.log1p(-meeting(turned, width)))
 
 
 def prints_needed(width: int, bands: int) -> int:
@@ -63,7 +77,14 @@ def _print_batches(n: int):
     return run
 
 
-def _band_batches(width: int, bands: int):
+def anchors(prints: np.ndarray, width: int) -> np.ndarray:
+    """The anchor of fingerprints of ``width`` bits: the code word next to their first 15, and the rest."""
+    code, rest = prints & np.uint64((1 << HAMMING_BITS) - 1), prints >> np.uint64(HAMMING_BITS)
+    home = hamming_tables()[0].astype(np.uint64)[code.astype(np.int64)]
+    return (rest & np.uint64((1 << (width - HAMMING_BITS)) - 1)) << np.uint64(HAMMING_BITS) | home
+
+
+def _anchor_batches(width: int, bands: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         each = 64 // width
         for batch in batches:
@@ -72,7 +93,7 @@ def _band_batches(width: int, bands: int):
             prints = batch.column(0).flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(batch.num_rows, -1)
             a, b = (pa.array(np.ascontiguousarray(prints[:, i]).view(np.int64)) for i in (0, 1))
             for k in range(bands):
-                part = (prints[:, k // each] >> np.uint64(width * (k % each))) & np.uint64((1 << width) - 1)
+                part = anchors(prints[:, k // each] >> np.uint64(width * (k % each)), width)
                 key = (np.uint64(k) << np.uint64(48)) | part
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), a, b], ["key", "a", "b"])
 
@@ -224,7 +245,7 @@ def keep_one(documents: DataFrame) -> DataFrame:
     rows = materialize(hashed.mapInArrow(_print_batches(count), schema), "text-prints")
     texts = rows.filter(F.size(_words("row.text")) > 0).select("text_id", "prints").distinct()
     prints = texts.select("prints").distinct()
-    bits = prints.mapInArrow(_band_batches(width, bands), "key long, a long, b long")
+    bits = prints.mapInArrow(_anchor_batches(width, bands), "key long, a long, b long")
     tasks = task_count(documents, prints.count() * bands, ROWS_PER_TASK)
     roots = connected_components(bits.repartition(tasks, "key").mapInArrow(_tie_batches, "u long, v long"))
     named = texts.select("text_id", F.get("prints", F.lit(0)).alias("u")).join(roots, "u", "left")

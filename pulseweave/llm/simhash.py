@@ -13,6 +13,7 @@ compared per anchor, homes with visitors, in all 64 bits.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -98,6 +99,7 @@ def fingerprints(documents: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
     return hashed.mapInArrow(_fingerprint_batches, "doc_id long, bits long")
 
 
+@lru_cache(maxsize=1)
 def hamming_tables() -> tuple[np.ndarray, np.ndarray]:
     """For each 15-bit word: its nearest code word, and all code words within two bits.
 

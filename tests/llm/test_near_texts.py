@@ -99,3 +99,19 @@ def test_crowds_give_the_same_ties(monkeypatch):
         monkeypatch.setattr(near_texts, "CROWD", crowd)
         found.append(near_texts.close_ties(np.arange(800) % 2, a, b))
     assert all((x == y).all() for x, y in zip(*found)) and len(found[0][0]) == 760
+
+
+def test_fingerprints_meet_at_anchors():
+    """Every fingerprint is within a bit of its anchor, and pairs meet there as often as the formula says."""
+    rng = np.random.default_rng(12)
+    width, bands = near_texts.layout(1000)
+    one = rng.integers(0, 1 << width, 400_000).astype(np.uint64)
+    anchor = near_texts.anchors(one, width)
+    off = np.bitwise_count(one ^ anchor)
+    assert off.max() == 1 and abs((off == 0).mean() - 1 / 16) < 0.002
+    assert len(np.unique(near_texts.anchors(np.arange(1 << width, dtype=np.uint64), width))) == 1 << near_texts.LEAST_NAME
+    differ = 0.15
+    flips = sum((rng.random(len(one)) < differ).astype(np.uint64) << np.uint64(i) for i in range(width))
+    met = (near_texts.anchors(one ^ flips, width) == anchor).mean()
+    assert abs(met - near_texts.meeting(differ, width)) < 0.003
+    assert 1 - (1 - met) ** bands > 0.985
