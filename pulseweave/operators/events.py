@@ -102,22 +102,29 @@ def sampled_event_posts(
 def event_words(sampled: DataFrame, stopwords: Iterable[str] = STOPWORDS_EN) -> DataFrame:
     """Display tokens of the events' posts without stop words, with their kind.
 
-    A post is tokenized once, however many clusters it is in.
+    A post is tokenized once, however many clusters it is in; its words go to its clusters
+    as one row and become rows there.
     """
     keys = ["post_id", "data_type"]
     texts = sampled.select(*keys, "text", "lang").dropDuplicates(keys)
-    words = texts.select(*keys, F.explode(display_tokens(F.col("text"), F.col("lang"))).alias("word"))
-    words = words.where(~F.col("word").isin(list(stopwords))).withColumn("kind", word_kind(F.col("word")))
-    places = sampled.select("event_id", "cluster_id", *keys)
-    return places.join(words, keys).select("event_id", "cluster_id", "post_id", "word", "kind")
+    posts = texts.select(*keys, display_tokens(F.col("text"), F.col("lang")).alias("words"))
+    places = sampled.select("event_id", "cluster_id", *keys).join(posts, keys)
+    words = places.select("event_id", "cluster_id", "post_id", F.explode("words").alias("word"))
+    return words.where(~F.col("word").isin(list(stopwords))).withColumn("kind", word_kind(F.col("word")))
+
+
+def word_counts(words: DataFrame) -> DataFrame:
+    """How often (``n``) each cluster of an event has a word: what keywords and urls need of ``event_words``."""
+    return words.groupBy("event_id", "cluster_id", "word", "kind").agg(F.count("*").alias("n"))
 
 
 def event_keywords(words: DataFrame, min_count: int = MIN_WORD_COUNT, n: int = TOP_TERMS) -> DataFrame:
-    """Words counted per cluster, rare ones dropped, then added up per event."""
+    """Words (or their ``word_counts``) counted per cluster, rare ones dropped, then added up per event."""
+    seen = F.sum("n") if "n" in words.columns else F.count("*")
     per_cluster = (
         words.where(F.col("kind") == "word")
         .groupBy("event_id", "cluster_id", "word")
-        .agg(F.count("*").alias("n"))
+        .agg(seen.alias("n"))
         .where(F.col("n") >= min_count)
     )
     merged = per_cluster.groupBy("event_id", remove_punctuation(F.col("word")).alias("term")).agg(

@@ -124,7 +124,7 @@ def detect_events(
     rolled = ev.event_rollup(ec)
     tags = ev.event_hashtags(ec)
     sampled = materialize(ev.sampled_event_posts(ec, members, posts, seed=s.seed), "sampled-posts")
-    words = materialize(ev.event_words(sampled), "event-words")
+    words = materialize(ev.word_counts(ev.event_words(sampled)), "event-words")
     keywords = ev.event_keywords(words)
     campaigns = ev.event_campaigns(ec, sampled)
     stored = ev.event_size_gate(rolled, s.min_clusters)

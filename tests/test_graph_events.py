@@ -252,3 +252,18 @@ def test_messages_are_delivered_once(spark, tmp_path):
     assert sorted(f.name for f in (tmp_path / "retry").iterdir()) == names
     event_export_sink(rows.limit(0), str(tmp_path), "none")
     assert (tmp_path / "none" / "_SUCCESS").exists()
+
+
+def test_keywords_and_urls_of_counted_words(spark):
+    """Counts of words give what the words give; a post's words become rows in its clusters only."""
+    text = "storm storm storm coast coast www.a.org the #tag http://b.org"
+    rows = [("e1", f"c{c}", p, "text", text, "en") for c in range(2) for p in range(3)] + [("e2", "c9", 9, "text", None, "en")]
+    posts = spark.createDataFrame(rows, "event_id string, cluster_id string, post_id long, data_type string, text string, lang string")
+    words = ev.event_words(posts)
+    counts = ev.word_counts(words)
+    assert words.count() == 6 * 8 and counts.count() == 2 * 5 and counts.agg(F.sum("n")).first()[0] == 6 * 8
+    for get in (ev.event_keywords, ev.event_urls):
+        assert sorted(map(tuple, get(counts).collect())) == sorted(map(tuple, get(words).collect())) != []
+    assert [(r.term, r.weight) for r in ev.event_keywords(counts).orderBy("rank").collect()] == [("storm", 18), ("coast", 12)]
+    plan = words._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate explode") < plan.index("Join")

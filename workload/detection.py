@@ -261,7 +261,7 @@ def export_events(spark, sf):
 def export_rows(spark, sf):
     doc = v.doc_graph(spark, sf)
     picked = materialize(sampled(spark, sf, doc), "sampled-posts")
-    words = materialize(ev.event_words(picked), "event-words")
+    words = materialize(ev.word_counts(ev.event_words(picked)), "event-words")
     return ev.export_events(
         ev.event_rollup(doc.ec), ev.event_hashtags(doc.ec), ev.event_keywords(words),
         ev.event_campaigns(doc.ec, picked), doc_locations(spark, sf, picked), threshold=0.4,
