@@ -38,6 +38,8 @@ LEXICON_BITS = 17
 LEXICON_LEAST = 3
 EPOCHS = 4
 BATCH_CHAINS = 256
+#: Bytes of texts that are predicted at a time: features and marginals take about a hundred times as much.
+PORTION_BYTES = 1 << 18
 RATE = 0.3
 DECAY = 1e-6
 SEED = 11
@@ -304,7 +306,7 @@ def _label(shared, word_labels: bool, names_out: list[str]):
             pred = np.full(rows, UNKNOWN, object)
             score = np.zeros(rows)
             per_word: list[list[str]] = [[] for _ in range(rows)]
-            for first, data, offsets in portions(batch.column(0)):
+            for first, data, offsets in portions(batch.column(0), PORTION_BYTES):
                 words = split_words(data, offsets, _IN_WORD)
                 if not len(words.start) or not model.languages:
                     continue

@@ -1,10 +1,14 @@
 """The random field against enumeration, and held-out accuracy."""
 
 import itertools
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
+from pyspark.sql import functions as F
 
 from pulseweave.llm import language_crf as crf
+from pulseweave.session import tune
 
 SMALL = "/root/testdata/sf0.01/documents.parquet"
 
@@ -114,3 +118,30 @@ def test_training_texts_have_a_byte_bound(spark, monkeypatch):
 
 def held_in(spark, frame):
     return {r["doc_id"] for r in frame.filter(~crf.held_out()).collect()}
+
+
+def test_prediction_takes_little_memory():
+    rng = np.random.default_rng(2)
+    texts = [" ".join("".join(map(chr, rng.integers(97, 123, 6))) for _ in range(300)) for _ in range(1000)]
+    weights = rng.normal(size=((1 << crf.FEATURE_BITS) + (1 << crf.LEXICON_BITS) + 1, 4)).astype(np.float32)
+    model = crf.Model(["a", "b", "c", "d"], np.zeros(1 << crf.LEXICON_BITS, bool), weights, np.zeros((4, 4)))
+    batch = pa.record_batch({"t": pa.array(texts), "l": pa.array([True] * len(texts)), "doc_id": pa.array(range(len(texts)))})
+
+    class Shared:
+        value = model
+
+    label = crf._label(Shared, False, ["doc_id", "lang_pred", "score"])
+    tracemalloc.start()
+    found = next(label(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found.num_rows == len(texts) and peak < 80 << 20
+
+
+def test_batches_of_long_texts_are_cut(spark):
+    def sizes(batches):
+        for batch in batches:
+            yield pa.record_batch({"n": pa.array([batch.nbytes])})
+
+    texts = tune(spark).range(0, 3000, 1, 1).select(F.repeat(F.lit("x"), 20_000).alias("text"))
+    assert max(r["n"] for r in texts.mapInArrow(sizes, "n long").collect()) < 10 << 20
