@@ -13,6 +13,8 @@ from pulseweave.functions.vector import cosine, mean_vector, usable
 from pulseweave.lineage import broadcast_if_small, materialize
 
 BLOCK_ROWS = 4096
+#: Cells of a product of two blocks that a task holds at a time.
+STRIP_CELLS = 1 << 18
 
 
 def skip_unusable_vectors(
@@ -30,17 +32,29 @@ def _unit_rows(vectors: pd.Series) -> np.ndarray:
     return rows / np.linalg.norm(rows, axis=1, keepdims=True)
 
 
+def strips(rows: int, columns: int) -> Iterator[slice]:
+    """Slices of the rows of a product of blocks, each of a bounded number of cells."""
+    height = max(1, STRIP_CELLS // max(1, columns))
+    for start in range(0, rows, height):
+        yield slice(start, start + height)
+
+
 def _block_matches(left: pd.DataFrame, right: pd.DataFrame, same: bool, threshold: float):
     a, b = _unit_rows(left["v"]), _unit_rows(right["v"])
-    # A margin below the threshold; the exact test follows on the pairs kept.
-    i, j = np.nonzero(a @ b.T > threshold - 1e-6)
-    ids_a, ids_b = left["id"].to_numpy()[i], right["id"].to_numpy()[j]
-    keep = ids_a < ids_b if same else ids_a != ids_b
-    i, j, ids_a, ids_b = i[keep], j[keep], ids_a[keep], ids_b[keep]
-    exact = np.einsum("ij,ij->i", a[i], b[j])
-    hit = exact > threshold
-    lo, hi = np.minimum(ids_a[hit], ids_b[hit]), np.maximum(ids_a[hit], ids_b[hit])
-    return lo, hi, exact[hit]
+    left_ids, right_ids = left["id"].to_numpy(), right["id"].to_numpy()
+    found = []
+    for part in strips(len(a), len(b)):
+        # A margin below the threshold; the exact test follows on the pairs kept.
+        i, j = np.nonzero(a[part] @ b.T > threshold - 1e-6)
+        i += part.start
+        ids_a, ids_b = left_ids[i], right_ids[j]
+        keep = ids_a < ids_b if same else ids_a != ids_b
+        i, j, ids_a, ids_b = i[keep], j[keep], ids_a[keep], ids_b[keep]
+        exact = np.einsum("ij,ij->i", a[i], b[j])
+        hit = exact > threshold
+        found.append((np.minimum(ids_a[hit], ids_b[hit]), np.maximum(ids_a[hit], ids_b[hit]), exact[hit]))
+    lo, hi, exact = (np.concatenate(x) for x in zip(*found))
+    return lo, hi, exact
 
 
 def similarity_pairs(
@@ -51,7 +65,7 @@ def similarity_pairs(
 
     Each group is cut into blocks of bounded size and every pair of blocks is a
     task of its own, so a group of any size spreads over the cluster and no task
-    holds more than two blocks. Before vectors are sent anywhere, block pairs
+    holds more than two blocks and a strip of their product. Before vectors are sent anywhere, block pairs
     are dropped that a distance bound rules out: blocks are slices of the angle
     to one vector of the group, and two vectors whose angles to that common
     vector differ by more than the threshold angle cannot be similar enough.

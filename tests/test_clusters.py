@@ -1,6 +1,8 @@
 import math
+import tracemalloc
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -89,6 +91,20 @@ def test_similarity_pairs_exact(spark, block):
     assert len(pairs) == len(set(pairs)) and set(pairs) == want
 
 
+def test_block_pairs_take_strips_of_memory():
+    rng = np.random.default_rng(4)
+    block = lambda first: pd.DataFrame({"id": np.arange(first, first + 4000), "v": list(rng.normal(size=(4000, 8)))})
+    left, right = block(0), block(4000)
+    tracemalloc.start()
+    lo, hi, cos = vj._block_matches(left, right, False, 0.9)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    x, y = (np.stack(b["v"].to_numpy()) for b in (left, right))
+    full = (x / np.linalg.norm(x, axis=1, keepdims=True)) @ (y / np.linalg.norm(y, axis=1, keepdims=True)).T
+    assert len(lo) == (full > 0.9).sum() and (lo < 4000).all() and (hi >= 4000).all() and np.allclose(full[lo, hi - 4000], cos)
+    assert peak < 60 << 20
+
+
 @pytest.mark.parametrize(
     "a, x",
     [(1e-5, 0.3), (1e-5, 1.0), (5.00001, 3.0), (40.0, 55.0), (900.0, 880.0), (1999.0, 2010.0),
