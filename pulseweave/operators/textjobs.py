@@ -34,9 +34,13 @@ def token_rows(docs: DataFrame, doc_id: str, tokens: Column) -> DataFrame:
 
 
 def stopword_filter(tokens: DataFrame, stopwords: DataFrame) -> DataFrame:
-    """Token rows whose word is not in the stop table (column ``word``)."""
-    stop = broadcast_if_small(stopwords.select(F.col("word").alias("token")))
-    return tokens.join(stop, "token", "left_anti")
+    """Token rows whose word is not in the stop table (column ``word``).
+
+    The stop table is written first: only its true size tells that it can be broadcast,
+    where a join by token would send and sort all rows, those of a frequent token in one task.
+    """
+    stop = materialize(stopwords.select(F.col("word").alias("token")), "stopwords")
+    return tokens.join(broadcast_if_small(stop), "token", "left_anti")
 
 
 def document_frequency(tokens: DataFrame) -> DataFrame:

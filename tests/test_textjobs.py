@@ -9,6 +9,23 @@ from pyspark.sql import functions as F
 from pulseweave.operators import textjobs as tj
 
 
+def many_words(spark):
+    """A few words, taken from a table whose estimated size is far too large for a broadcast."""
+    rows = spark.range(40_000_000).where("id < 5")
+    return rows.select(F.concat(F.lit("w"), F.col("id").cast("string")).alias("word"))
+
+
+def planned(df):
+    return df._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_stop_words_are_broadcast(spark):
+    tokens = spark.createDataFrame([(1, "w1"), (1, "w9"), (2, None), (2, "w4"), (2, "w9")], "doc_id long, token string")
+    kept = tj.stopword_filter(tokens, many_words(spark))
+    assert "SortMergeJoin" not in planned(kept) and "BroadcastHashJoin" in planned(kept)
+    assert sorted(kept.select("doc_id", "token").collect(), key=str) == [(1, "w9"), (2, "w9"), (2, None)]
+
+
 def test_cosines_of_blocks_take_strips_of_memory():
     rng = np.random.default_rng(3)
     block = pd.DataFrame({"id": rng.permutation(3000), "v": list(rng.normal(size=(3000, 4)))})
