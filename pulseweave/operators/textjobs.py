@@ -68,9 +68,11 @@ def train_word_vectors(docs: DataFrame, tokens: str, dim: int = 100, min_count:
     """Word vectors of a token column; gives the fitted model.
 
     Unless the caller says otherwise, there is a partition for each core or so many tokens.
+    The column is written first, as training reads it more than once.
     """
     from pyspark.ml.feature import Word2Vec
 
+    docs = materialize(docs.select(tokens), "word-lists")
     if "numPartitions" not in kw:
         total = docs.agg(F.sum(F.size(tokens))).first()[0] or 0
         cores = docs.sparkSession.sparkContext.defaultParallelism

@@ -26,6 +26,19 @@ def test_stop_words_are_broadcast(spark):
     assert sorted(kept.select("doc_id", "token").collect(), key=str) == [(1, "w9"), (2, "w9"), (2, None)]
 
 
+def test_word_lists_are_made_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def words(text):
+        made.add(1)
+        return text.split()
+
+    texts = spark.createDataFrame([("a b c a b",)] * 30, "text string")
+    model = tj.train_word_vectors(texts.select(F.udf(words, "array<string>")("text").alias("t")), "t", dim=4, min_count=1, seed=1)
+    assert tj.word_model_table(model).count() == 3
+    assert made.value == 30
+
+
 def test_cosines_of_blocks_take_strips_of_memory():
     rng = np.random.default_rng(3)
     block = pd.DataFrame({"id": rng.permutation(3000), "v": list(rng.normal(size=(3000, 4)))})
