@@ -120,9 +120,13 @@ def text_vectors(
 def text_vector_variants(
     tokens: DataFrame, model: DataFrame, idf: DataFrame, doc_id: str, top: int = TOP_IDF
 ) -> DataFrame:
-    """Plain, idf-weighted, and top-idf vector of each document."""
-    weights = broadcast_if_small(idf.select("token", "idf"))
-    known = broadcast_if_small(model.select("token", "vector"))
+    """Plain, idf-weighted, and top-idf vector of each document.
+
+    Weights and model are written first, so that their true sizes decide on a broadcast. The
+    three vectors of a token are added up as one.
+    """
+    weights = broadcast_if_small(materialize(idf.select("token", "idf"), "idf"))
+    known = broadcast_if_small(materialize(model.select("token", "vector"), "word-model"))
     by_idf = Window.partitionBy(doc_id).orderBy(F.coalesce("idf", F.lit(0.0)).desc(), "token")
     ranked = (
         tokens.join(weights, "token", "left")
@@ -133,11 +137,11 @@ def text_vector_variants(
     weight = F.coalesce("idf", zero)
     top_weight = F.when(F.col("_rank") <= top, weight).otherwise(zero)
     vector = F.col("vector")
-    return ranked.groupBy(doc_id).agg(
-        sum_vector(vector).alias("plain"),
-        sum_vector(scale(vector, weight)).alias("weighted"),
-        sum_vector(scale(vector, top_weight)).alias("top_weighted"),
-    )
+    three = F.concat(vector, scale(vector, weight), scale(vector, top_weight))
+    sums = ranked.select(doc_id, three.alias("three")).groupBy(doc_id).agg(sum_vector(F.col("three")).alias("three"))
+    width = (F.size("three") / 3).cast("int")
+    part = lambda i: F.slice("three", width * i + 1, width)
+    return sums.select(doc_id, part(0).alias("plain"), part(1).alias("weighted"), part(2).alias("top_weighted"))
 
 
 def split_by_position(indexed: DataFrame, index: str = "row_index") -> DataFrame:
@@ -183,16 +187,6 @@ def _unit_vectors(column: pd.Series) -> np.ndarray:
     return rows / np.linalg.norm(rows, axis=1, keepdims=True)
 
 
-def probe_word_cosines(
-    tokens: DataFrame, vectors: DataFrame, doc_id: str, word_a: str, word_b: str,
-    bin_width: float = 0.01, first: int | None = None, block_rows: int = PROBE_BLOCK,
-) -> DataFrame:
-    """Histogram of cosines among the documents with word A, and of A against B.
-
-    All of them, or the ``first`` by id. Documents are dealt into blocks of bounded size;
-    each pair of blocks is one task's matrix product, of which only the counts per bin
-    leave the task. Vectors without length have no cosine.
-    """
 def _bin_counts(x: pd.DataFrame, y: pd.DataFrame, same: bool, bin_width: float) -> pd.DataFrame:
     """Pairs per bin of cosine between two blocks; of a block with itself each pair once."""
     a, b = _unit_vectors(x["v"]), _unit_vectors(y["v"])
@@ -207,6 +201,16 @@ def _bin_counts(x: pd.DataFrame, y: pd.DataFrame, same: bool, bin_width: float)
     return pd.DataFrame({"bin": list(total.keys()), "n": list(total.values())})
 
 
+def probe_word_cosines(
+    tokens: DataFrame, vectors: DataFrame, doc_id: str, word_a: str, word_b: str,
+    bin_width: float = 0.01, first: int | None = None, block_rows: int = PROBE_BLOCK,
+) -> DataFrame:
+    """Histogram of cosines among the documents with word A, and of A against B.
+
+    All of them, or the ``first`` by id. Documents are dealt into blocks of bounded size;
+    each pair of blocks is one task's matrix product, of which only the counts per bin
+    leave the task. Vectors without length have no cosine.
+    """
 
     def having(word: str) -> DataFrame:
         ids = tokens.where(F.col("token") == word).select(doc_id).distinct()

@@ -26,6 +26,26 @@ def test_stop_words_are_broadcast(spark):
     assert sorted(kept.select("doc_id", "token").collect(), key=str) == [(1, "w9"), (2, "w9"), (2, None)]
 
 
+def test_vector_variants(spark):
+    tokens = [(d, f"w{i}") for d in (1, 2, None) for i in range(7) if d != 2 or i > 3] + [(3, "unknown")]
+    weights = {f"w{i}": float(i % 4) for i in range(6)}
+    vectors = {f"w{i}": [1.0 + i, -2.0 * i] for i in range(1, 7)}
+    idf = many_words(spark).select(F.col("word").alias("token"), (F.substring("word", 2, 1).cast("int") % 4).cast("double").alias("idf"))
+    idf = idf.unionByName(spark.createDataFrame([("w5", 1.0)], "token string, idf double"))
+    model = spark.createDataFrame(list(vectors.items()), "token string, vector array<double>")
+    found = tj.text_vector_variants(spark.createDataFrame(tokens, "doc_id long, token string"), model, idf, "doc_id")
+    assert "SortMergeJoin" not in planned(found)
+    want = {}
+    for doc in (1, 2, None):
+        own = sorted((t for d, t in tokens if d == doc), key=lambda t: (-weights.get(t, 0.0), t))
+        known = [(np.array(vectors[t]), weights.get(t, 0.0), i < 3) for i, t in enumerate(own) if t in vectors]
+        want[doc] = [sum(v * w for v, w in part) for part in ([(v, 1) for v, _, _ in known], [(v, w) for v, w, _ in known], [(v, w * top) for v, w, top in known])]
+    rows = {r["doc_id"]: r for r in found.collect()}
+    assert rows.keys() == want.keys()
+    for doc, (plain, weighted, top) in want.items():
+        assert np.allclose(rows[doc]["plain"], plain) and np.allclose(rows[doc]["weighted"], weighted) and np.allclose(rows[doc]["top_weighted"], top)
+
+
 def test_word_lists_are_made_once(spark):
     made = spark.sparkContext.accumulator(0)
 

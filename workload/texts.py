@@ -340,7 +340,8 @@ def text_vectors(spark, sf):
 )
 def text_vector_variants(spark, sf):
     tokens = materialize(v.doc_tokens(spark, sf), "tokens")
-    df = tj.document_frequency(tokens)
+    # Both tables of words come from the counts: one table, written once.
+    df = materialize(tj.document_frequency(tokens), "token-counts")
     weights = tj.idf_weights(df, tj.document_count(docs(spark, sf).where("lang = 'en'")), min_df=20)
     rows = tj.text_vector_variants(tokens, v.word_model(df), weights, "doc_id")
     return rows.select(
