@@ -16,9 +16,11 @@ import pyarrow.compute as pc
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pulseweave.functions.hashing import string_hash32
 from pulseweave.lineage import broadcast_if_small, materialize, plan_bytes
+from pulseweave.operators.ordering import with_row_index
 
 MIN_GAIN = 1e-7
 #: Rounds from one measurement of the modularity (added up over graphs) to the next, and
@@ -26,6 +28,9 @@ MIN_GAIN = 1e-7
 MEASURED, MEASURED_GAIN = 4, 5e-4
 LINKS_PER_TASK = 1_000_000
 BROADCAST_BYTES = 64 << 20
+#: Nodes up to which the state of a level is numbers on the driver, and links a block then holds.
+NUMBERED_NODES, BLOCK_LINKS = 2_000_000, 250_000
+_PRIMES = tuple(np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5))
 
 
 def undirected(edges: DataFrame) -> DataFrame:
@@ -269,7 +274,10 @@ def _local_moves(edges: DataFrame, start: DataFrame | None) -> DataFrame:
     state = materialize(state, "graph-state")
     seen = materialize(seen, "graph-links")
     links = seen.where(F.col("n") != F.col("m"))
-    degree = links.count() / max(1, state.count())
+    size = state.count()
+    degree = links.count() / max(1, size)
+    if size <= NUMBERED_NODES:
+        return _moved_in_numbers(state, seen, links, degree)
     options, by_node = _by_node(links, state)
     try:
         return _moved_on(state, seen, links, options, by_node, degree)
@@ -298,6 +306,183 @@ def _moved_on(state: DataFrame, seen: DataFrame, links: DataFrame, options: Data
     return state.select("g", F.col("n").alias("node"), F.col("c").alias("community"))
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links (i, j, w) by node in blocks: the nodes, how many links each has, their other ends and weights."""
+    held = [b for b in batches if b.num_rows]
+    if not held:
+        return
+    rows = pa.Table.from_batches(held)
+    i, j, w = (rows.column(x).to_numpy() for x in ("i", "j", "w"))
+    order = np.lexsort((j, i))
+    i, j, w = i[order].astype(np.int32), j[order].astype(np.int32), w[order].astype(np.float64)
+    first = np.flatnonzero(np.concatenate(([True], i[1:] != i[:-1])))
+    ends = np.append(first, len(i))
+    cut = 0
+    while cut < len(first):
+        to = max(cut + 1, int(np.searchsorted(ends, ends[cut] + BLOCK_LINKS, "right")) - 1)
+        low, high = ends[cut], ends[to]
+        values = (i[first[cut:to]], np.diff(ends[cut : to + 1]).astype(np.int32), j[low:high], w[low:high])
+        yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in values], ["i", "n", "j", "w"])
+        cut = to
+
+
+def _blocks(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, ...]]:
+    """The blocks of ``_packed``: nodes, the place of each link's node, other ends, weights."""
+    for row in range(batch.num_rows):
+        i, n, j = (np.frombuffer(batch.column(x)[row].as_buffer(), np.int32) for x in ("i", "n", "j"))
+        yield i, np.repeat(np.arange(len(i)), n), j, np.frombuffer(batch.column("w")[row].as_buffer(), np.float64)
+
+
+def _wishes_of_block(i, at, j, w, c, k, two_m, tot, size) -> tuple[np.ndarray, np.ndarray]:  # noqa: ANN001
+    """What ``_wish_batches`` gives, for the numbers of a block: nodes that gain, and where to."""
+    own_c = c[i].astype(np.int64)
+    key = np.concatenate((at.astype(np.int64) << 32 | c[j], np.arange(len(i)) << 32 | own_c))
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    w_in = np.add.reduceat(np.append(w, np.zeros(len(i)))[order], first)
+    at, to = key[first] >> 32, key[first] & 0xFFFFFFFF
+    own, k = to == own_c[at], k[i][at]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        gain = np.round(w_in - (tot[to] - np.where(own, k, 0.0)) * k / two_m[i][at], 9)
+    starts = np.searchsorted(at, np.arange(len(i)))
+    # Of two single nodes only the one with the larger id joins the other.
+    gain[(size[own_c[at]] == 1) & (size[to] == 1) & (to > own_c[at])] = -np.inf
+    best = np.maximum.reduceat(gain, starts)
+    # Highest gain first, smallest community id among equals.
+    place = np.where(gain == best[at], np.arange(len(gain)), len(gain))
+    gains = best > gain[own] + MIN_GAIN
+    return i[gains], to[np.minimum.reduceat(place, starts)[gains]].astype(np.int32)
+
+
+def _turn_bits(hashes: np.ndarray, number: int) -> np.ndarray:
+    """The lowest bit of Spark's ``xxhash64(n, number)`` for nodes of given ``xxhash64(n)``."""
+    one, two, three, five = _PRIMES
+    x = hashes + five + np.uint64(4)
+    x ^= np.uint64(number * int(one) % (1 << 64))
+    x = (x << np.uint64(23) | x >> np.uint64(41)) * two + three
+    x = (x ^ x >> np.uint64(33)) * two
+    x = (x ^ x >> np.uint64(29)) * three
+    return ((x ^ x >> np.uint64(32)) & np.uint64(1)).astype(np.int64)
+
+
+def _ranks(column: pa.ChunkedArray) -> np.ndarray:
+    """Numbers in the order of the values, nulls last."""
+    found = column.combine_chunks()
+    found = pa.concat_arrays(found.chunks) if isinstance(found, pa.ChunkedArray) else found
+    if not len(found):
+        return np.empty(0, np.int64)
+    return pc.rank(found, "ascending", null_placement="at_end", tiebreaker="dense").to_numpy().astype(np.int64) - 1
+
+
+def _null_sums(groups: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
+    """Sums as SQL makes them: nulls (NaN) count only where there is nothing else."""
+    has = ~np.isnan(values)
+    sums = np.bincount(groups[has], values[has], size)
+    return np.where(np.bincount(groups[has], minlength=size) > 0, sums, np.nan)
+
+
+def _moved_in_numbers(state: DataFrame, seen: DataFrame, links: DataFrame, degree: float) -> DataFrame:
+    """The rounds of a level whose state the driver holds as numbers: what ``_moved_on`` gives.
+
+    Nodes and communities are numbered in the order of their ids. Links are packed by node once
+    a level and stay in their tasks; a round is one job that is sent the communities and gives
+    the wishes, so it shuffles nothing and writes nothing.
+    """
+    spark = state.sparkSession
+    sc = spark.sparkContext
+    numbered = materialize(with_row_index(state.select("g", "n", "k", "two_m", "c"), ["g", "n"], "i"), "graph-numbers")
+    ends = broadcast_if_small(numbered.select("g", "n", "i"))
+    rows = seen.join(ends, ["g", "n"]).join(ends.select("g", F.col("n").alias("m"), F.col("i").alias("j")), ["g", "m"])
+    rows = rows.select("i", "j", F.col("w").cast("double").alias("w"))
+    tasks = max(sc.defaultParallelism, math.ceil(degree * numbered.count() / LINKS_PER_TASK))
+    packed = rows.repartitionByRange(tasks, "i").mapInArrow(_packed, "i binary, n binary, j binary, w binary").persist(StorageLevel.MEMORY_AND_DISK)
+    held = numbered.select("*", F.xxhash64("n").alias("h")).orderBy("i").toArrow()
+    size = held.num_rows
+    k, two_m = (held.column(x).cast(pa.float64()).to_numpy() for x in ("k", "two_m"))
+    hashes, graph = held.column("h").to_numpy().view(np.uint64), _ranks(held.column("g"))
+    wanted = graph * (size + 1) + _ranks(held.column("c"))
+    _, holder, c = np.unique(wanted, return_index=True, return_inverse=True)
+    c = c.astype(np.int32)
+    of_graph = graph[holder]
+    fixed = sc.broadcast((k, two_m, graph))
+
+    def told(run, schema: str, *values: np.ndarray | None) -> pa.Table:  # noqa: ANN001
+        sent = sc.broadcast(values)
+        try:
+            return packed.mapInArrow(lambda batches: run(batches, *sent.value), schema).toArrow()
+        finally:
+            sent.destroy()
+
+    def wishes(batches, c, tot, count, moved, waits):  # noqa: ANN001
+        k, two_m, _ = fixed.value
+        for batch in batches:
+            for i, at, j, w in _blocks(batch):
+                links = i[at] != j
+                if moved is not None:
+                    near = waits[i] | (np.bincount(at[links], moved[j[links]], len(i)) > 0)
+                    links &= near[at]
+                    at, i = (np.cumsum(near) - 1)[at], i[near]
+                if len(i):
+                    found = _wishes_of_block(i, at[links], j[links], w[links], c, k, two_m, tot, count)
+                    yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in found], ["i", "best"])
+
+    def inside(batches, c):  # noqa: ANN001
+        graph = fixed.value[2]
+        for batch in batches:
+            for i, at, j, w in _blocks(batch):
+                same = (c[i][at] == c[j]) & ~np.isnan(w)
+                of, place = np.unique(graph[i[at[same]]], return_inverse=True)
+                sums = np.bincount(place, w[same], len(of))
+                yield pa.RecordBatch.from_arrays([pa.array(of, pa.int64()), pa.array(sums, pa.float64())], ["g", "w"])
+
+    def modularity_now() -> float:
+        """As ``_state_modularity`` has it."""
+        found = told(inside, "g long, w double", c)
+        graphs = int(graph.max()) + 1
+        within = np.bincount(found.column("g").to_numpy(), found.column("w").to_numpy(), graphs)
+        totals = _null_sums(c, k, len(holder))
+        used = np.bincount(c, minlength=len(holder)) > 0
+        squares = _null_sums(of_graph[used], totals[used] ** 2, graphs)
+        whole = np.full(graphs, np.nan)
+        whole[graph] = two_m
+        with np.errstate(divide="ignore", invalid="ignore"):
+            return float(np.nansum(within / whole - squares / (whole * whole)))
+
+    turn, everyone, best_q, best_c = 0, True, float("-inf"), c
+    moved = wants = np.zeros(size, bool)
+    try:
+        while size:
+            frontier = (None, None) if everyone else (moved, wants & ~moved)
+            found = told(wishes, "i binary, best binary", c, _null_sums(c, k, len(holder)), np.bincount(c, minlength=len(holder)), *frontier)
+            nodes, best = (np.frombuffer(b"".join(found.column(x).to_pylist()), np.int32) for x in ("i", "best"))
+            wants, moved, c = np.zeros(size, bool), np.zeros(size, bool), c.copy()
+            wants[nodes] = True
+            moves = _turn_bits(hashes[nodes], turn // 2) == turn % 2
+            moved[nodes[moves]] = True
+            c[nodes[moves]] = best[moves]
+            turn += 1
+            if not len(nodes) and everyone:
+                break
+            # Moves that many nodes are next to leave next to nobody out.
+            everyone = not len(nodes) or np.count_nonzero(moves) * degree > size
+            if turn % MEASURED == 0:
+                q = modularity_now()
+                if q <= best_q + MEASURED_GAIN:
+                    c = c if q > best_q else best_c
+                    break
+                best_q, best_c = q, c
+    finally:
+        packed.unpersist()
+        fixed.destroy()
+    # A community bears the id it began with.
+    ids = held.column("c").take(pa.array(holder[c]))
+    part = pa.table({"g": held.column("g"), "node": held.column("n"), "community": ids})
+    fields = [("g", "g"), ("n", "node"), ("c", "community")]
+    schema = T.StructType([T.StructField(name, state.schema[x].dataType) for x, name in fields])
+    return materialize(spark.createDataFrame(part, schema), "graph-state")
+
+
 def _best_level(edges: DataFrame, partitions: Sequence[DataFrame]) -> DataFrame:
     """Per graph the partition with the highest modularity, the coarser among equals."""
     if len(partitions) == 1:

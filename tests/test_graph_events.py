@@ -80,6 +80,42 @@ def test_a_hub_is_not_kept_in_one_task(spark, monkeypatch):
     assert ["a", "b", "c"] in got and sorted(map(len, got)) == [3, 3, 401]
 
 
+@pytest.mark.parametrize("kind, name", [("string", lambda i: None if i % 37 == 36 else f"n{i}"), ("long", lambda i: None if i % 37 == 36 else i * 7 - 50)])
+def test_rounds_in_numbers_are_those_of_the_joins(spark, monkeypatch, kind, name):
+    """The same communities from the driver's numbers as from joined tables, also with null ids and weights; a round writes no table."""
+    rng = np.random.default_rng(3)
+    rows = [(i % 4 or None, name(int(a)), name(int(b)), float(rng.integers(1, 9)) / 3 if i % 31 else None) for i, (a, b) in enumerate(rng.integers(0, 80, (900, 2)))]
+    edges = spark.createDataFrame(rows, f"g long, source {kind}, target {kind}, weight double")
+    pairs = gr.materialize(gr.undirected(edges), "pairs")
+    start = gr.neighbour_partition(edges) if kind == "long" else None
+    written, plain = [], gr.materialize
+    with monkeypatch.context() as patch:
+        patch.setattr(gr, "materialize", lambda df, label: written.append(label) or plain(df, label))
+        got = gr._local_moves(pairs, start)
+    assert written == ["graph-state", "graph-links", "graph-numbers", "graph-state"]
+    monkeypatch.setattr(gr, "NUMBERED_NODES", -1)
+    want = gr._local_moves(pairs, start)
+    assert got.schema == want.schema
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+
+
+def test_turns_are_those_of_spark(spark):
+    rows = spark.range(200).select(F.xxhash64("id").alias("h"), *[F.pmod(F.xxhash64("id", F.lit(t)), F.lit(2)).alias(str(t)) for t in range(5)]).collect()
+    hashes = np.array([r["h"] for r in rows]).view(np.uint64)
+    for t in range(5):
+        assert gr._turn_bits(hashes, t).tolist() == [r[str(t)] for r in rows]
+
+
+def test_blocks_hold_all_links(monkeypatch):
+    monkeypatch.setattr(gr, "BLOCK_LINKS", 7)
+    links = sorted({(int(a) ** 2 // 9, int(b)) for a, b in np.random.default_rng(4).integers(0, 12, (90, 2))})
+    batch = gr.pa.RecordBatch.from_pydict({"i": [a for a, _ in links], "j": [b for _, b in links], "w": [a + b / 100 for a, b in links]})
+    blocks = [x for b in gr._packed(iter([batch.slice(40), batch.slice(0, 40)])) for x in gr._blocks(b)]
+    assert [(a, b, w) for i, at, j, ws in blocks for a, b, w in zip(i[at].tolist(), j.tolist(), ws.tolist())] == [(a, b, a + b / 100) for a, b in links]
+    nodes = [n for i, *_ in blocks for n in i.tolist()]
+    assert len(nodes) == len(set(nodes)) and len(blocks) > 5 and all(len(j) <= 7 or len(i) == 1 for i, _, j, _ in blocks)
+
+
 def test_long_path_and_lone_nodes(spark):
     edges = [(f"n{i:04d}", f"n{i + 1:04d}", 1.0) for i in range(300)]
     nodes = spark.createDataFrame([(1, "alone"), (1, "n0003"), (2, "other")], "g long, node string")
