@@ -557,26 +557,26 @@ def user_network(authors: DataFrame, follows: DataFrame) -> tuple[DataFrame, Dat
     ``follows`` holds (follower, followed). Authors without a relation to
     another author of the event are left out.
     """
-    known = materialize(authors.select("event_id", "author").distinct(), "known-authors")
-    who = broadcast_if_small(known.select("author").distinct())
-    pair = [F.least("follower", "followed").alias("a"), F.greatest("follower", "followed").alias("b")]
+    known = materialize(authors.where("event_id IS NOT NULL AND author IS NOT NULL").select("event_id", "author").distinct(), "known-authors")
+    # Authors are numbered in the order of their names and hashed once, so that pairs and relations are numbers.
+    names = with_row_index(known.select("author").distinct(), ["author"], "no")
+    names = materialize(names.select("author", "no", string_hash32(F.col("author")).alias("id")), "author-numbers")
+    events = with_row_index(known.select("event_id").distinct(), ["event_id"], "event")
+    n = F.lit(max(1, names.count())).cast("long")
+    at = (F.col("event") * n + F.col("no")).alias("at")
+    placed = known.join(broadcast_if_small(names), "author").join(broadcast_if_small(events), "event_id")
+    placed = materialize(placed.select("event_id", "author", "id", "event", "no", at), "placed-authors")
+    follower, followed = (broadcast_if_small(names.select(F.col("author").alias(x), F.col("no").alias(f"{x}_no"))) for x in ("follower", "followed"))
     # Pairs are told apart once and not once per event, and only those of two authors.
-    pairs = (
-        follows.where(F.col("follower") != F.col("followed"))
-        .join(who.withColumnRenamed("author", "follower"), "follower", "left_semi")
-        .join(who.withColumnRenamed("author", "followed"), "followed", "left_semi")
-        .select(*pair)
-        .distinct()
-    )
-    pairs = materialize(pairs, "follow-pairs")
-    near, far = (broadcast_if_small(known.withColumnRenamed("author", x)) for x in ("a", "b"))
-    relations = pairs.join(near, "a").join(far, ["event_id", "b"]).select("event_id", "a", "b")
-    links = relations.select(
-        "event_id", string_hash32(F.col("a")).alias("source"), string_hash32(F.col("b")).alias("target")
-    )
-    nodes = (
-        relations.select("event_id", F.explode(F.array("a", "b")).alias("name"))
-        .distinct()
-        .select("event_id", string_hash32(F.col("name")).alias("id"), "name")
-    )
+    both = follows.select("follower", "followed").where(F.col("follower") != F.col("followed")).join(follower, "follower").join(followed, "followed")
+    low, high = F.least("follower_no", "followed_no"), F.greatest("follower_no", "followed_no")
+    pairs = both.select((low * n + high).alias("pair")).repartition("pair").distinct()
+    a = F.call_function("div", "pair", n)
+    pairs = materialize(pairs.select(a.alias("a"), F.pmod("pair", n).alias("b")), "follow-pairs")
+    near = broadcast_if_small(placed.select(F.col("no").alias("a"), "event", F.col("id").alias("source")))
+    far = broadcast_if_small(placed.select(F.col("at").alias("at_b"), "event_id", F.col("id").alias("target")))
+    relations = pairs.join(near, "a").withColumns({"at_a": F.col("event") * n + F.col("a"), "at_b": F.col("event") * n + F.col("b")}).join(far, "at_b")
+    links = relations.select("event_id", "source", "target")
+    related = relations.select(F.explode(F.array("at_a", "at_b")).alias("at")).distinct()
+    nodes = related.join(broadcast_if_small(placed), "at").select("event_id", "id", F.col("author").alias("name"))
     return nodes, links

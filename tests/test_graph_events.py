@@ -178,6 +178,31 @@ def events_of(spark, rows):
     return spark.createDataFrame(rows, "event_id string, start_time_ms long, end_time_ms long")
 
 
+def test_user_network_hashes_an_author_once(spark):
+    """Relations are numbers: no name is hashed or sorted per link. Null and repeated rows, and both directions, are one link."""
+    import itertools
+
+    rng = np.random.default_rng(11)
+    names = [f"u{i}" for i in range(12)] + [None]
+    who = [(f"e{i % 3}" if i % 9 else None, names[k]) for i, k in enumerate(rng.integers(0, 13, 60).tolist())]
+    edges = [(names[a], names[b]) for a, b in rng.integers(0, 13, (70, 2)).tolist()] + [("u1", "u1"), ("u1", "stranger")]
+    authors = spark.createDataFrame(who, "event_id string, author string")
+    follows = spark.createDataFrame(edges + edges[:9], "follower string, followed string")
+    nodes, links = gr.user_network(authors, follows)
+    either, want, related = {frozenset(e) for e in edges if None not in e}, [], set()
+    hashes = {r["author"]: r["h"] for r in authors.select("author", string_hash32(F.col("author")).alias("h")).collect()}
+    for event in ("e0", "e1", "e2"):
+        for a, b in itertools.combinations(sorted({x for e, x in who if e == event and x}), 2):
+            if frozenset((a, b)) in either:
+                want.append((event, hashes[a], hashes[b]))
+                related |= {(event, hashes[a], a), (event, hashes[b], b)}
+    assert len(want) > 20 and sorted(map(tuple, links.collect())) == sorted(want)
+    assert sorted(map(tuple, nodes.collect())) == sorted(related)
+    for found in (nodes, links):
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert "regexp_extract_all" not in plan and "UTF-16BE" not in plan
+
+
 def test_only_the_window_before_matches(spark):
     now = events_of(spark, [("n", 100, 199)])
     prior = events_of(spark, [("p", 0, 99), ("q", 0, 98)])
